@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, secrets, sharding, urlfilter, warc
+from tidemark.llm import decontaminate, langid, licenses, secrets, sharding, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,21 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM f"""
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is kept from learning: crc32 of its id as text leaves 1 by 3. Null ids are not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
+
+
+def learn_language(docs: DataFrame) -> langid.Model:
+    return langid.learn(docs, F.col("doc_id").isNotNull() & ~held_out())
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    said = langid.identify(docs.select("doc_id", "text"), learn_language(docs))
+    return said.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +59,28 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+#: Words of alphanumerics of a column, as a list, in DuckDB.
+ALNUM_SQL = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({ALNUM_SQL.format("text")}, []) AS w FROM documents),
+     b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {ALNUM_SQL.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+     bw AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS words
+            FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT size FROM bw),
+     dw AS (SELECT row_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS words
+            FROM (SELECT row_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
+     hits AS (SELECT row_id, size, i, item FROM dw JOIN bw USING (size, words)),
+     n AS (SELECT row_id, count(DISTINCT at) AS n_hit FROM (SELECT row_id, unnest(generate_series(i, i + size - 1)) AS at FROM hits) GROUP BY row_id),
+     its AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM hits) GROUP BY row_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row_id) LEFT JOIN its USING (row_id)"""
+
+
 #: Rules of op9: host and path, verdict.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -76,12 +113,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_language": op2_language,
         "op3_licenses": op3_licenses,
         "op6_secrets": op6_secrets,
+        "op7_decontaminate": op7_decontaminate,
         "op9_urlfilter": op9_urlfilter,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op9_urlfilter": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL, "op9_urlfilter": OP9_SQL}
