@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, secrets, sharding, urlfilter, warc
+from tidemark.llm import decontaminate, langid, licenses, mixing, secrets, sharding, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -75,7 +79,7 @@ WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({ALNUM_SQL.fo
      dw AS (SELECT row_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS words
             FROM (SELECT row_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, sizes WHERE len(w) >= size)),
      hits AS (SELECT row_id, size, i, item FROM dw JOIN bw USING (size, words)),
-     n AS (SELECT row_id, count(DISTINCT at) AS n_hit FROM (SELECT row_id, unnest(generate_series(i, i + size - 1)) AS at FROM hits) GROUP BY row_id),
+     n AS (SELECT row_id, count(DISTINCT place) AS n_hit FROM (SELECT row_id, unnest(generate_series(i, i + size - 1)) AS place FROM hits) GROUP BY row_id),
      its AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM hits) GROUP BY row_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (row_id) LEFT JOIN its USING (row_id)"""
@@ -115,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_language": op2_language,
         "op3_licenses": op3_licenses,
+        "op5_mixing": op5_mixing,
         "op6_secrets": op6_secrets,
         "op7_decontaminate": op7_decontaminate,
         "op9_urlfilter": op9_urlfilter,
