@@ -75,6 +75,13 @@ def space_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
+def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+    """Let Spark close Arrow batches at so many bytes, unless the session says otherwise: rows may be very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > 256 << 20:
+        spark.conf.set(key, str(limit))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow where each task builds its state once: make() gives the function of a batch."""
 
@@ -84,6 +91,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for part in slices(batch):
                 yield step(part)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
