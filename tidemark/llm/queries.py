@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, licenses, mixing, secrets, sharding, urlfilter, warc
+from tidemark.llm import decontaminate, jaccard, langid, licenses, mixing, secrets, sharding, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,25 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_id, doc_id,
+            coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+     s AS (SELECT row_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i : i + 3], ' '))) END AS grams FROM d),
+     g AS (SELECT row_id, unnest(grams) AS gram FROM s),
+     o AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY ALL),
+     l AS (SELECT a, b FROM o JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE 100 * n >= 85 * (len(x.grams) + len(y.grams) - n)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     reach AS (SELECT a AS origin, a AS at FROM e UNION SELECT origin, e.b FROM reach JOIN e ON e.a = at)
+SELECT d.doc_id, len(s.grams) AS n_shingles, coalesce(min(m.doc_id), d.doc_id) AS component_id
+FROM d JOIN s USING (row_id) LEFT JOIN reach r ON r.origin = d.row_id LEFT JOIN d m ON m.row_id = r.at
+GROUP BY d.row_id, d.doc_id, len(s.grams)"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -119,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_language": op2_language,
         "op3_licenses": op3_licenses,
+        "op4_jaccard": op4_jaccard,
         "op5_mixing": op5_mixing,
         "op6_secrets": op6_secrets,
         "op7_decontaminate": op7_decontaminate,
@@ -128,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_decontaminate": OP7_SQL, "op9_urlfilter": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_urlfilter": OP9_SQL}
