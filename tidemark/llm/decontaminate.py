@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_FOLD, cut, slices, utf8, words_of
+from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, slices, utf8, words_of
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are a shingle themselves.
@@ -122,14 +122,15 @@ def occurrences(windows: Windows, ids: np.ndarray) -> Iterator[tuple[int, np.nda
             yield size, row[same], start[same]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs: columns of SCHEMA. n_hit counts words inside any occurrence of a window, items lists the items with
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, carry: bool = False) -> DataFrame:
+    """Per row of docs: columns of SCHEMA, and with carry the row itself as a struct named row. n_hit counts words inside any occurrence of a window, items lists the items with
     occurring windows, sorted as strings; items_sha256 is of these, comma-joined."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
     total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0.0
     blocks = 1 + int(total // (2 * BLOCK_WORDS))
-    state = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bounded_batches(spark)
+    state = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         windows = Windows(((r["item"], r["text"].encode()) for r in rows), window, shingle)
@@ -167,11 +168,14 @@ def _document_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]
 
 
 def _join_block(state: DataFrame, shared, first: bool, last: bool) -> DataFrame:
+    carried = ["row"] if "row" in state.columns else []
+
     def run(batches):
         windows = shared.value
         for whole in batches:
             for batch in slices(whole):
                 texts = utf8(batch.column(1))
+                row = [batch.column(batch.num_columns - 1)] if carried else []
                 ids, begins = _ids(texts, windows.vocabulary)
                 edge = np.zeros(len(ids) + 1, np.int64)
                 items: list[set[str]] = [set(x or ()) for x in batch.column(3).to_pylist()] if not first else [set() for _ in texts]
@@ -193,12 +197,13 @@ def _join_block(state: DataFrame, shared, first: bool, last: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0), pa.array(np.diff(begins) - 1), pa.array(n_hit), pa.array([len(x) for x in ordered], pa.int64()),
-                            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ordered], pa.string()), pa.array(n_hit > 0), pa.array(ordered, pa.list_(pa.string())),
+                            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ordered], pa.string()), pa.array(n_hit > 0), pa.array(ordered, pa.list_(pa.string())), *row,
                         ],
-                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *carried],
                     )
                 else:
                     bits = [np.packbits(hit[a : b - 1]).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *row], ["doc_id", "text", "hits", "items", *carried])
 
-    return state.mapInArrow(run, SCHEMA if last else STATE)
+    more = f", row {state.schema['row'].dataType.simpleString()}" if carried else ""
+    return state.mapInArrow(run, (SCHEMA if last else STATE) + more)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_FOLD, bounded_batches, cut, slices, utf8, words_of
@@ -305,15 +305,12 @@ def _between(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return pairs.where(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)").select("pn", "ph", "n", "h").distinct()
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id``. Sets of n-word shingles link when 100 * intersection >= percent * union;
-    component_id is the smallest doc_id that links reach, its own included."""
+def _solve(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): its rows' doc_id, n, h, and each node's component (cn, ch) with its smallest doc_id."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profile = cut(_profile(docs, n), "profile")
     rows = profile.where("kind = 0").select("doc_id", "n", "h")
-    nodes = rows.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("doc_id"))
+    nodes = cut(rows.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
     counts = spark.sparkContext.broadcast(_occurrences(profile))
     product = cut(_multiply(_prefixes(docs, n, percent, counts), percent), "product")
     columns = product.where("kind = 1").select("token", "n", "h")
@@ -338,8 +335,40 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id",
             break
         left, turn = pairs, turn + 1
     named = nodes.join(labels, ["n", "h"], "left").select("n", "h", F.coalesce("cn", "n").alias("cn"), F.coalesce("ch", "h").alias("ch"), "doc_id")
-    smallest = named.groupBy("cn", "ch").agg(F.min("doc_id").alias("component_id"))
-    member = cut(named.join(smallest, ["cn", "ch"]).select("n", "h", "component_id"), "members")
+    smallest = named.groupBy("cn", "ch").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "h")).alias("first"))
+    return rows, cut(named.join(smallest, ["cn", "ch"]).select("n", "h", "component_id", "first"), "members")
+
+
+def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_shingles, component_id``. Sets of n-word shingles link when 100 * intersection >= percent * union;
+    component_id is the smallest doc_id that links reach, its own included."""
+    rows, members = _solve(_inputs(docs, doc_id, text), n, percent)
     # empty sets match nothing; their keys are spread by id
     keyed = rows.withColumn("h", F.when(F.col("n") > 0, F.col("h")).otherwise(F.xxhash64("doc_id")))
-    return keyed.join(member, ["n", "h"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = keyed.join(members.select("n", "h", "component_id"), ["n", "h"], "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs with one row of each component: that of the smallest id (null ids after all others), any of equal
+    rows. Rows with empty sets all stay."""
+    _, members = _solve(_inputs(docs, doc_id, text), n, percent)
+    winners = members.where("first.n = n and first.h = h").select("n", "h", F.col("component_id").alias("won"))
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [shingle_set(t, n) for t in utf8(batch.column(2))]
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), *batch.columns[:2]], ["n", "h", "id", "row"])
+
+    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.struct("*").alias("row"), F.col(text).alias("text"))
+    keyed = keyed.mapInArrow(run, f"n int, h long, id long, row {keyed.schema['row'].dataType.simpleString()}")
+    empty = keyed.where("n = 0").select("row.*")
+    same = (keyed["n"] == winners["n"]) & (keyed["h"] == winners["h"]) & keyed["id"].eqNullSafe(winners["won"])
+    first = keyed.join(winners, same, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("n", "h", "id").orderBy("id")))
+    return first.where("place = 1").select("row.*").unionByName(empty)

@@ -68,9 +68,9 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_id, doc_id,
      o AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY ALL),
      l AS (SELECT a, b FROM o JOIN s x ON x.row_id = a JOIN s y ON y.row_id = b WHERE 100 * n >= 85 * (len(x.grams) + len(y.grams) - n)),
      e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-     reach AS (SELECT a AS origin, a AS at FROM e UNION SELECT origin, e.b FROM reach JOIN e ON e.a = at)
+     reach AS (SELECT a AS origin, a AS node FROM e UNION SELECT origin, e.b FROM reach JOIN e ON e.a = node)
 SELECT d.doc_id, len(s.grams) AS n_shingles, coalesce(min(m.doc_id), d.doc_id) AS component_id
-FROM d JOIN s USING (row_id) LEFT JOIN reach r ON r.origin = d.row_id LEFT JOIN d m ON m.row_id = r.at
+FROM d JOIN s USING (row_id) LEFT JOIN reach r ON r.origin = d.row_id LEFT JOIN d m ON m.row_id = r.node
 GROUP BY d.row_id, d.doc_id, len(s.grams)"""
 
 
@@ -133,6 +133,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -144,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op9_urlfilter": op9_urlfilter,
         "op10_sharding": op10_sharding,
+        "pipeline": pipeline,
     }
 
 
