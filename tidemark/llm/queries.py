@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, langid, licenses, mixing, secrets, sharding, urlfilter, warc
+from tidemark.llm import decontaminate, jaccard, langid, licenses, mixing, search, secrets, sharding, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,22 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN n USING (row_id) LEFT JOIN its USING (row_id)"""
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {ALNUM_SQL.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+     n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d WHERE len(w) > 0),
+     tf AS (SELECT row_id, doc_id, len(w) AS length, term, count(*) AS n FROM (SELECT row_id, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+     q AS (SELECT DISTINCT doc_id AS query_id, term FROM tf WHERE doc_id % 100 = 0),
+     s AS (SELECT q.query_id, tf.row_id, tf.doc_id,
+                  round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean)) ORDER BY q.term), 9) AS score
+           FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY q.query_id, tf.row_id, tf.doc_id)
+SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s) WHERE rank <= 10"""
+
+
 #: Rules of op9: host and path, verdict.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -148,6 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": op5_mixing,
         "op6_secrets": op6_secrets,
         "op7_decontaminate": op7_decontaminate,
+        "op8_search": op8_search,
         "op9_urlfilter": op9_urlfilter,
         "op10_sharding": op10_sharding,
         "pipeline": pipeline,
@@ -155,4 +172,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op7_decontaminate": OP7_SQL, "op9_urlfilter": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_search": OP8_SQL, "op9_urlfilter": OP9_SQL}
