@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("candle_queries", "indicator_queries", "portfolio_queries")
+
+
+def _collect(name: str) -> dict:
+    out: dict = {}
+    for module in MODULES:
+        own = getattr(import_module(f"tidemark.plans.{module}"), name)
+        assert not out.keys() & own.keys(), f"{module} repeats a query"
+        out |= own
+    return out
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _collect("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _collect("SQL")
