@@ -75,7 +75,7 @@ def space_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def bounded_batches(spark: SparkSession, limit: int = 32 << 20) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     """Let Spark close Arrow batches at so many bytes, unless the session says otherwise: rows may be very long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > 256 << 20:
@@ -96,7 +96,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 
 #: Bytes of input that a step holds at once; longer batches are cut between rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

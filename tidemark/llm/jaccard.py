@@ -9,9 +9,10 @@ that can reach the threshold are accumulated:
    shingle, each block pairs the nodes of its columns, and pairs of sizes too unlike are discarded.
 3. A column with up to SMALL nodes gives all its pairs, a larger one only pairs with its first node (a star).
 4. The pairs' overlaps are counted exactly, over whole sets, in blocks of a node and up to BLOCK of its partners.
-5. Large columns are taken up again until each pair of their nodes is in one component or compared: by further stars, with
-   other centres, while that at least halves the open pairs, and at last by all open pairs. Stars merge groups of near
-   copies in few rounds, so what is left is few; nothing is capped.
+5. Large columns are taken up again until each pair of their nodes is in one component, compared, or ruled out by sizes and
+   by signatures (parities of the sets, whose distance is a lower bound of the sets'): by further stars, with other
+   centres, while that at least halves the open pairs, and at last by all open pairs. Stars merge groups of near copies
+   in few rounds, so what is left is few; nothing is capped.
 
 Null texts and texts without words are empty sets, linked with nothing. A null id is reachable like any other but smaller
 than none: a component's id is its smallest id that is not null. Repeated rows are copies. Tables may be empty. Only the
@@ -20,19 +21,21 @@ named columns are read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_FOLD, bounded_batches, cut, slices, utf8, words_of
 
-#: Slots in which occurrences are counted: the table is this long whatever the input, so it may be broadcast.
-SLOT_BITS = 22
+#: Slots in which occurrences are counted, and kept as a byte each: the table has this size whatever the input, so it may be
+#: broadcast.
+SLOT_BITS = 24
 #: Slots of a row that goes to the sum.
 SLICE_BITS = 16
 #: Nodes of a column that are all paired.
@@ -41,6 +44,10 @@ SMALL = 8
 BLOCK = 256
 #: Bits of the filter of needed nodes; fixed, so it may be broadcast.
 FILTER_BITS = 24
+#: Parities that a node's signature has.
+SIGNATURE_BITS = 512
+#: Open pairs for each row of the open columns at which all of them are compared.
+FEW = 1
 #: Rows of a column that a task holds at once.
 HELD = 50_000
 
@@ -77,21 +84,18 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        pack = zstandard.ZstdCompressor(level=1).compress
         any_row = False
         for whole in batches:
             for batch in slices(whole):
                 any_row = True
                 sets = [shingle_set(t, n) for t in utf8(batch.column(1))]
-                for s in sets:
-                    counts += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32) if len(s) > 50_000 else 0
-                small = [s for s in sets if len(s) <= 50_000]
-                if small:
-                    np.add.at(counts, (np.concatenate(small) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
                 m = len(sets)
                 yield _rows([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.nulls(m, pa.binary())])
         for i, part in enumerate(np.split(counts, 1 << (SLOT_BITS - SLICE_BITS))) if any_row else ():
             if part.any():
-                yield _rows([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.nulls(1, pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)])])
+                yield _rows([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(part.tobytes())])])
 
     def _rows(columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "n", "h", "counts"])
@@ -100,25 +104,31 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _occurrences(profile: DataFrame) -> np.ndarray:
-    """The slots' counts over all documents, summed in as many streams as there are slices."""
+    """Eighths of the binary logarithm of the slots' counts over all documents, up to 255, summed in as many streams as there are
+    slices."""
+
+    def row(at, total) -> pa.RecordBatch:
+        level = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()])], ["n", "counts"])
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         at, total = None, None
         for batch in batches:
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.uint32)
+                part = np.frombuffer(unpack(data), np.uint32)
                 if i != at:
                     if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], ["n", "counts"])
+                        yield row(at, total)
                     at, total = i, np.zeros(1 << SLICE_BITS, np.uint64)
                 total += part
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()])], ["n", "counts"])
+            yield row(at, total)
 
     parts = profile.where("kind = 1").select("n", "counts").repartition(1 << (SLOT_BITS - SLICE_BITS), "n").sortWithinPartitions("n").mapInArrow(run, "n int, counts binary")
-    out = np.zeros(1 << SLOT_BITS, np.uint32)
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in parts.toLocalIterator():
-        out[r["n"] << SLICE_BITS : (r["n"] + 1) << SLICE_BITS] = np.minimum(np.frombuffer(r["counts"], np.uint64), np.uint64(2**32 - 1))
+        out[r["n"] << SLICE_BITS : (r["n"] + 1) << SLICE_BITS] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -212,21 +222,31 @@ def _multiply(prefixes: DataFrame, percent: int) -> DataFrame:
     return prefixes.repartition(blocks, "token").sortWithinPartitions("token", "n", "h").mapInArrow(run, PAIRS)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (pn, ph, n, h) whose sets reach the threshold; nodes: n, h and doc_id of a document that has the set."""
-    spark = docs.sparkSession
-    sizes = pairs.groupBy("pn", "ph").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK)
-    partners = pairs.join(sizes, ["pn", "ph"]).select("n", "h", "pn", "ph", F.pmod(F.col("h"), blocks).cast("int").alias("block"), F.lit(1).alias("kind"))
-    centres = sizes.select(F.col("pn").alias("n"), F.col("ph").alias("h"), "pn", "ph", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(0).alias("kind"))
-    roles = cut(partners.unionByName(centres), "roles")
-    needed = roles.select("n", "h").distinct().join(nodes, ["n", "h"])
-    place = F.expr(f"(h ^ coalesce(doc_id, 0L)) & {(1 << FILTER_BITS) - 1}L")
-    words = needed.select(F.shiftright(place, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, int((h ^ coalesce(doc_id, 0L)) & 31))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def _filter_place(h, doc_id):
+    """Where the filter of needed nodes keeps (h, doc_id); the same in Python and, as FILTER_PLACE, in SQL."""
+    return (h ^ (doc_id or 0)) & ((1 << FILTER_BITS) - 1)
+
+
+FILTER_PLACE = f"((h ^ coalesce(doc_id, 0L)) & {(1 << FILTER_BITS) - 1}L)"
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """SIGNATURE_BITS parities of a set. Two sets differ in at least as many shingles as their signatures in bits."""
+    odd = np.bincount((shingles & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _load(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """``n, h, shingles, signature`` of the needed nodes (n, h, doc_id of a document that has the set).
+
+    A filter of fixed size keeps most other documents' sets from the shuffle; the join with needed decides.
+    """
+    word, bit = f"int(shiftright({FILTER_PLACE}, 5))", f"shiftleft(1L, int({FILTER_PLACE} & 31))"
+    words = needed.groupBy(F.expr(word).alias("w")).agg(F.bit_or(F.expr(bit)).alias("b"))
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     found = words.toArrow()
     bits[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches):
         bits = shared.value
@@ -236,11 +256,27 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
                 for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                     s = shingle_set(text, n)
                     h = set_hash(s)
-                    at = (h ^ (i or 0)) & ((1 << FILTER_BITS) - 1)
+                    at = _filter_place(h, i)
                     if len(s) and bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                        out.append((i, len(s), h, s.tobytes()))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n", "h", "shingles"])
+                        out.append((i, len(s), h, s.tobytes(), signature(s).tolist()))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "h", "shingles", "signature"])
+
+    loaded = docs.mapInArrow(sets, "doc_id long, n int, h long, shingles binary, signature array<long>")
+    named = needed.select("n", "h", F.col("doc_id").alias("named"))
+    # of a node's copies only the one that is named passes
+    same = (loaded["n"] == named["n"]) & (loaded["h"] == named["h"]) & loaded["doc_id"].eqNullSafe(named["named"])
+    return loaded.join(named, same, "left_semi").select("n", "h", "shingles", "signature")
+
+
+def _links(loaded: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (pn, ph, n, h) whose sets, loaded as n, h, shingles, reach the threshold."""
+    sizes = pairs.groupBy("pn", "ph").agg(F.count("*").alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK)
+    partners = pairs.join(sizes, ["pn", "ph"]).select("n", "h", "pn", "ph", F.pmod(F.col("h"), blocks).cast("int").alias("block"), F.lit(1).alias("kind"))
+    centres = sizes.select(F.col("pn").alias("n"), F.col("ph").alias("h"), "pn", "ph", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(0).alias("kind"))
+    roles = partners.unionByName(centres)
 
     def compare(batches):
         key, centre = None, None
@@ -261,48 +297,67 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64()) * 2, strict=True)], ["pn", "ph", "n", "h"])
 
-    # sets of the needed nodes; of a node's copies only the one that nodes names passes the join
-    loaded = docs.mapInArrow(sets, "doc_id long, n int, h long, shingles binary").alias("s")
-    named = needed.select("n", "h", F.col("doc_id").alias("named"))
-    loaded = loaded.join(named, ["n", "h"]).where(F.col("doc_id").eqNullSafe(F.col("named"))).select("n", "h", "shingles")
-    rows = roles.join(loaded, ["n", "h"]).select("pn", "ph", "block", "kind", "n", "h", "shingles")
+    rows = roles.join(loaded.select("n", "h", "shingles"), ["n", "h"]).select("pn", "ph", "block", "kind", "n", "h", "shingles")
     return rows.repartition("pn", "ph", "block").sortWithinPartitions("pn", "ph", "block", "kind").mapInArrow(compare, "pn int, ph long, n int, h long")
 
 
-def components(links: DataFrame, name: str = "labels") -> DataFrame:
-    """``n, h, cn, ch``: the smallest node that each linked node reaches. Labels flow over links and are then taken from
-    the label's own node, until none changes."""
-    a, b = F.struct("pn", "ph"), F.struct(F.col("n").alias("pn"), F.col("h").alias("ph"))
-    edges = cut(links.select(a.alias("u"), b.alias("v")).union(links.select(b.alias("u"), a.alias("v"))).distinct(), "edges")
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), name)
+def _spread(edges: DataFrame) -> DataFrame:
+    """``u, c``: the smallest node that each node of the edges (u, v) reaches. Labels flow over edges and are then taken from the
+    label's own node, until none changes."""
+    both = cut(edges.union(edges.select("v", "u")).distinct(), "edges")
+    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), "labels")
     while True:
-        seen = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
+        seen = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         spread = labels.join(seen, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         hop = spread.select(F.col("u").alias("c"), F.col("c").alias("next"))
-        moved = cut(spread.join(hop, "c", "left").select("u", F.least("c", F.coalesce("next", "c")).alias("c"), "old"), name)
+        moved = cut(spread.join(hop, "c", "left").select("u", F.least("c", F.coalesce("next", "c")).alias("c"), "old"), "labels")
         if moved.where("c <> old").isEmpty():
-            return moved.select(F.col("u.pn").alias("n"), F.col("u.ph").alias("h"), F.col("c.pn").alias("cn"), F.col("c.ph").alias("ch"))
+            return moved.select("u", "c")
         labels = moved.drop("old")
 
 
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``n, h, cn, ch``: the smallest node that each linked node reaches, of links (pn, ph, n, h) and what labels say already; only
+    links between different labels count then."""
+    edges = links.select(F.struct("pn", "ph").alias("u"), F.struct(F.col("n").alias("pn"), F.col("h").alias("ph")).alias("v"))
+    if labels is None:
+        found = _spread(edges).select("u", "c")
+    else:
+        known = labels.select(F.struct(F.col("n").alias("pn"), F.col("h").alias("ph")).alias("u"), F.struct(F.col("cn").alias("pn"), F.col("ch").alias("ph")).alias("c"))
+        ends = edges.join(known, "u", "left").select(F.coalesce("c", "u").alias("a"), "v").join(known.withColumnRenamed("u", "v"), "v", "left").select("a", F.coalesce("c", "v").alias("b"))
+        merged = _spread(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        new = known.join(merged.select(F.col("u").alias("c"), F.col("c").alias("next")), "c", "left").select("u", F.coalesce("next", "c").alias("c"))
+        # labels that were nobody's, and nodes that had no link before
+        found = cut(new.union(merged.join(known, "u", "left_anti")), "labels")
+    return found.select(F.col("u.pn").alias("n"), F.col("u.ph").alias("h"), F.col("c.pn").alias("cn"), F.col("c.ph").alias("ch"))
+
+
+def _may_link(percent: int) -> str:
+    """Condition on n, pn, signature and ps that pairs which link meet: sets of n and pn shingles then differ in at most
+    n + pn - 2 * overlap, the overlap being at least this share of n + pn."""
+    apart = " + ".join(f"bit_count(signature[{i}] ^ ps[{i}])" for i in range(SIGNATURE_BITS // 64))
+    return f"100L * least(n, pn) >= {percent}L * greatest(n, pn) and {apart} <= n + pn - 2 * ceil({percent} * (n + pn) / {100 + percent}D)"
+
+
 def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, n, h and the label of columns whose nodes have several labels; two nodes without links have two."""
-    rows = columns.join(labels, ["n", "h"], "left").select("token", "n", "h", F.coalesce("cn", "n").alias("cn"), F.coalesce("ch", "h").alias("ch"))
+    """columns with the labels (cn, ch) of their nodes, where a column has several; nodes without links are their own."""
+    rows = columns.select("token", "n", "h").join(labels, ["n", "h"], "left").withColumns({"cn": F.coalesce("cn", "n"), "ch": F.coalesce("ch", "h")})
     open_ = rows.groupBy("token").agg(F.min(F.struct("cn", "ch")).alias("a"), F.max(F.struct("cn", "ch")).alias("b")).where("a <> b").select("token")
     return rows.join(open_, "token")
 
 
-def _open_pairs(columns: DataFrame) -> int:
-    """Pairs of nodes of different labels in the same column."""
+def _open_pairs(columns: DataFrame) -> tuple[int, int]:
+    """Pairs of nodes of different labels in the same column; rows."""
     by = columns.groupBy("token", "cn", "ch").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    return int(by.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0)
+    row = by.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def _between(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of one column with different labels and sizes near enough."""
-    other = right.select("token", F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("cn").alias("pcn"), F.col("ch").alias("pch"))
-    pairs = left.join(other, "token").where(F.struct("cn", "ch") != F.struct(F.col("pcn").alias("cn"), F.col("pch").alias("ch")))
-    return pairs.where(f"100L * least(n, pn) >= {percent}L * greatest(n, pn)").select("pn", "ph", "n", "h").distinct()
+    """Distinct pairs of nodes of one column with different labels that sizes and signatures let link."""
+    other = right.select("token", F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("cn").alias("pcn"), F.col("ch").alias("pch"), F.col("signature").alias("ps"))
+    fits = F.expr(f"(cn <> pcn or ch <> pch) and {_may_link(percent)}")
+    return left.join(other, (left["token"] == other["token"]) & fits).select("pn", "ph", "n", "h").distinct()
 
 
 def _solve(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -313,27 +368,35 @@ def _solve(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]
     nodes = cut(rows.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
     counts = spark.sparkContext.broadcast(_occurrences(profile))
     product = cut(_multiply(_prefixes(docs, n, percent, counts), percent), "product")
-    columns = product.where("kind = 1").select("token", "n", "h")
-    links = cut(_links(docs, nodes, product.where("kind = 0").select("pn", "ph", "n", "h").distinct(), n, percent), "links")
-    labels = components(links)
-    left, turn = None, 0
-    while True:
-        open_ = cut(_labelled(columns, labels), "open")
-        pairs = _open_pairs(open_)
-        if not pairs:
+    pairs = cut(product.where("kind = 0").select("pn", "ph", "n", "h").distinct(), "pairs")
+    large = product.where("kind = 1").select("token", "n", "h").distinct()
+    inside = cut(large.select("n", "h").distinct(), "inside")
+    needed = pairs.select("n", "h").union(pairs.select("pn", "ph")).union(inside).distinct()
+    loaded = cut(_load(docs, cut(needed.join(nodes, ["n", "h"]), "needed"), n), "loaded")
+    columns = large
+    marks = loaded.select("n", "h", "signature")
+    centres = marks.select(F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("signature").alias("ps"))
+    likely = cut(pairs.join(marks, ["n", "h"]).join(centres, ["pn", "ph"]).where(_may_link(percent)).select("pn", "ph", "n", "h"), "likely")
+    labels = components(cut(_links(loaded, likely, percent), "links"))
+    left = None
+    for turn in count():
+        # a column that is closed stays so; only open ones go on, with their nodes' signatures
+        columns = cut(_labelled(columns, labels), "open")
+        open_ = columns.join(marks, ["n", "h"])
+        pairs_left, rows_left = _open_pairs(columns)
+        if not pairs_left:
             break
-        last = left is not None and 2 * pairs > left
+        last = pairs_left <= FEW * rows_left or left is not None and 2 * pairs_left > left
         if last:
             more = _between(open_, open_, percent).where("struct(pn, ph) < struct(n, h)")
         else:
             order = F.xxhash64("h", F.lit(turn))
-            centres = open_.groupBy("token").agg(F.min(F.struct(order.alias("o"), "n", "h", "cn", "ch")).alias("c")).select("token", "c.n", "c.h", "c.cn", "c.ch")
+            centres = open_.groupBy("token").agg(F.min(F.struct(order.alias("o"), "n", "h", "cn", "ch", "signature")).alias("c")).select("token", "c.n", "c.h", "c.cn", "c.ch", "c.signature")
             more = _between(open_, centres, percent)
-        links = cut(links.unionByName(_links(docs, nodes, more, n, percent)), "links")
-        labels = components(links)
+        labels = components(cut(_links(loaded, cut(more, "more"), percent), "links"), labels)
         if last:
             break
-        left, turn = pairs, turn + 1
+        left = pairs_left
     named = nodes.join(labels, ["n", "h"], "left").select("n", "h", F.coalesce("cn", "n").alias("cn"), F.coalesce("ch", "h").alias("ch"), "doc_id")
     smallest = named.groupBy("cn", "ch").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "h")).alias("first"))
     return rows, cut(named.join(smallest, ["cn", "ch"]).select("n", "h", "component_id", "first"), "members")
