@@ -26,9 +26,9 @@ SELECT r.day, count(*) AS n, count(*) FILTER (h.day IS NULL) AS rejected FROM r
 
 
 def join_05_staleness(spark, sf_dir):
-    """Weekdays since the latest order of a priority at each ship date of R; -1 before the first."""
-    days = item_bars(spark, sf_dir).where("symbol = 'R'").select(F.to_date("ts").alias("ts")).distinct()
-    keys = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("ts")).distinct()
+    """Weekdays since the latest order of a priority at each ship date; -1 before the first."""
+    days = item_bars(spark, sf_dir).select(F.to_date("ts").alias("ts")).distinct()
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), F.to_date("o_orderdate").alias("ts")).distinct()
     left = days.crossJoin(F.broadcast(keys.select("k").distinct()))
     joined = asof(left, keys.withColumn("last", F.col("ts")), "last", "k")
     return joined.select("k", "ts", F.when(F.col("last").isNull(), -1).otherwise(calendar.weekdays_between(F.col("last"), F.col("ts"))).cast("long").alias("stale"))
