@@ -53,3 +53,12 @@ def test_copies_do_not_crowd_the_sample(spark):
     df = spark.createDataFrame(rows() + [(i, "copy of one text", "aa", "s", 1) for i in range(2000, 5000)], SCHEMA)
     names = [n for n, _ in langid.learn(df).dictionaries]
     assert set(names) == {"aa", "bb", "cc"} and names[0] == "aa"
+
+
+def test_copies_leave_the_sample_as_it_is(spark):
+    """However many copies a language has, its dictionary is that of its distinct texts."""
+    rng = random.Random(3)
+    texts = spark.createDataFrame([(sample(rng, "aa", 20), "aa") for _ in range(400)] + [(sample(rng, "bb", 20), "bb") for _ in range(50)], "text string, lang string")
+    copies = lambda n: spark.range(n).select(F.lit("copy of one text").alias("text"), F.lit("aa").alias("lang"))
+    once, often = (dict(langid.learn(texts.union(copies(n))).dictionaries) for n in (1, 500_000))
+    assert len(once["aa"]) > 20_000 and often == once

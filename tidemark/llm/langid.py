@@ -53,12 +53,13 @@ def learn(docs: DataFrame, usable: Column | None = None, text: str = "text", lan
     hold it, at most SAMPLE_TEXTS for each language; counts of labels are of all rows."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = (rows if usable is None else rows.where(usable)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64("text")
+    found = rows.groupBy("lang", h.alias("h")).agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return Model(())
-    # A share of the hash range that should hold SAMPLE_TEXTS; four times as much as copies share a hash.
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 4 * SAMPLE_TEXTS / n))])
-    h = F.xxhash64("text")
+    # A share of the hash range that holds SAMPLE_TEXTS; of the distinct texts, as copies share a hash, and four times as much, so that chance leaves enough.
+    share = F.create_map(*[F.lit(x) for r in sorted(found) for x in (r["lang"], min(1.0, 4 * SAMPLE_TEXTS / r["texts"]))])
     picked = (
         rows.withColumn("h", h)
         .where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40))
