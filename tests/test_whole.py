@@ -1,13 +1,17 @@
-"""Queries read whole tables: held against plain Python over all rows."""
+"""Queries read whole tables: held against plain Python, or the registered SQL widened, over all rows."""
 
 import os
+import re
 from bisect import bisect_right
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from tidemark.plans import registry
+from tests.test_registry import TABLES, norm
+from tidemark.operators import portfolio, strategies
+from tidemark.plans import indicator_queries, portfolio_queries, registry, sql
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -27,3 +31,50 @@ def test_staleness_reads_all_orders_and_ship_dates(spark):
             want[k, ts.item()] = int(np.busday_count(known[i - 1] + 1, ts + 1)) if i else -1
     got = registry.queries()["join_05_staleness"](spark, SF).collect()
     assert len(got) == len(want) and {(r.k, r.ts): r.stale for r in got} == want
+
+
+NAMES = {s.name for s in strategies.BASELINES}
+#: The equity of the registered SQL, with the states of all strategies in place of the three.
+WHOLE = f"""{indicator_queries.STATES_CTE},
+s0 AS (SELECT sig.symbol, sig.ts, bars.open, bars.close, strategy, CASE state WHEN 'LONG' THEN 1.0 WHEN 'FLAT' THEN 0.0 END AS asked FROM sig JOIN bars ON bars.symbol = sig.symbol AND bars.ts = sig.ts),
+s1 AS {portfolio_queries.EQUITY_CTE.partition("s1 AS")[2]}"""
+WIDER = {
+    "agg_11_concentration": {" WHERE strategy = 'buy_and_hold'": ""},
+    "agg_46_interval": {" WHERE strategy = 'sma_trend' GROUP BY symbol": " GROUP BY symbol, strategy", "SELECT symbol, round": "SELECT symbol, strategy, round"},
+    "agg_03_drawdown": {}, "agg_05_return_metrics": {}, "agg_12_redundancy": {}, "agg_25_subperiods": {}, "src_30_returns_matrix": {},
+}
+
+
+@pytest.mark.parametrize("name", sorted(WIDER))
+def test_equity_queries_take_all_strategies(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    text = registry.oracle_sql()[name]
+    given = f"WITH {portfolio_queries.EQUITY_CTE}"
+    assert text.startswith(given)
+    text = WHOLE + re.sub(r"\bm\b", "m_", text.removeprefix(given))  # the states have an m of their own
+    for a, b in WIDER[name].items():
+        assert text.count(a) == 1
+        text = text.replace(a, b)
+    if name == "src_30_returns_matrix":
+        text = f"{WHOLE} SELECT symbol, ts, " + ", ".join(sql.settled(f"max(daily_return) FILTER (strategy = '{n}')", n) for n in sorted(NAMES)) + " FROM eq GROUP BY symbol, ts"
+    cursor = con.execute(text)
+    columns = [d[0] for d in cursor.description]
+    df = registry.queries()[name](spark, SF)
+    assert sorted(df.columns) == sorted(columns)
+    want = sorted(tuple(map(norm, r)) for r in cursor.fetchall())
+    assert sorted(tuple(norm(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_simulations_and_bootstrap_take_all_strategies(spark):
+    bars, targets = portfolio_queries.signals(spark, SF)
+    free = portfolio.simulate(targets, bars, "symbol", "strategy", costs=portfolio.Costs().free())
+    folded = {(r.symbol, r.strategy, r.ts): r.equity for r in free.collect()}
+    closed = {(r.symbol, r.strategy, r.ts): r.equity for r in portfolio_queries.equity(spark, SF).collect()}
+    assert {k[1] for k in closed} == NAMES and folded.keys() == closed.keys()
+    assert all(abs(folded[k] - v) <= 1e-6 * v for k, v in closed.items())
+    out = portfolio_queries.stat_03_bootstrap(spark, SF).collect()
+    keys = {k[:2] for k in closed}
+    assert len(out) == 4 * len(keys) and {(r.symbol, r.strategy) for r in out} == keys
+    assert {r.finite for r in out if r.metric == "mean_return"} == {2000}

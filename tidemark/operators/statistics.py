@@ -16,16 +16,19 @@ def adjust(p_values: DataFrame, *family: str) -> DataFrame:
     return ranked.withColumns({"p_holm": F.when(F.col("p").isNotNull(), holm), "p_bh": F.when(F.col("p").isNotNull(), bh)}).drop("__k")
 
 
-def block_positions(rows: int, resamples: int, block: int, seed: int):
-    """(resamples, rows) source positions of a moving-block bootstrap that does not wrap; equal seeds give equal positions."""
+def block_positions(rows: int, resamples: int, block: int, seed: int, chosen: slice = slice(None)):
+    """(resamples, rows) source positions of a moving-block bootstrap that does not wrap; equal seeds give equal positions.
+    Only the chosen resamples are laid out; all starts are drawn."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     blocks = -(-rows // block)
-    starts = rng.integers(0, max(1, rows - block + 1), size=(resamples, blocks))
-    return (starts[:, :, None] + np.arange(min(block, rows))).reshape(resamples, -1)[:, :rows]
+    starts = rng.integers(0, max(1, rows - block + 1), size=(resamples, blocks))[chosen]
+    return (starts[:, :, None] + np.arange(min(block, rows))).reshape(len(starts), -1)[:, :rows]
 
 
+#: Resamples that a task lays out at most.
+SHARE = 25
 BOOTSTRAP = "resample long, mean_return double, annualized_volatility double, sharpe double, cumulative_log double"
 
 
@@ -35,7 +38,7 @@ def bootstrap(returns: DataFrame, *keys: str, resamples: int, block: int, seed:
     A key's series is dealt once for each share of the resamples, so that many resamples of one long series run in parallel;
     the positions depend on seed and length only.
     """
-    shares = 8
+    shares = -(-resamples // SHARE)
 
     def run(group):
         import numpy as np
@@ -43,7 +46,7 @@ def bootstrap(returns: DataFrame, *keys: str, resamples: int, block: int, seed:
 
         share = int(group["share"].iloc[0])
         r = group.sort_values("ts")["daily_return"].to_numpy(float)
-        chosen = block_positions(len(r), resamples, block, seed)[share::shares]
+        chosen = block_positions(len(r), resamples, block, seed, slice(share, None, shares))
         sampled = r[chosen]
         mean, sd = sampled.mean(1), sampled.std(1, ddof=1)
         with np.errstate(divide="ignore", invalid="ignore"):

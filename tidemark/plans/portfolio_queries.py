@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from tidemark.functions.semantics import rounded
 from tidemark.operators import indicators, metrics, portfolio, statistics, strategies
 from tidemark.plans import sql
+from tidemark.plans.indicator_queries import features
 from tidemark.sources.bars import item_bars
 
+#: What EQUITY_CTE and the SQL on it hold; the queries take all of strategies.BASELINES.
 FAST = (strategies.BUY_AND_HOLD, strategies.SMA_TREND, strategies.SMA_CROSSOVER)
 KEYS = ("symbol", "strategy")
 
 
-def signals(spark, sf_dir, chosen=FAST):
+def signals(spark, sf_dir, chosen=strategies.BASELINES):
     bars = item_bars(spark, sf_dir)
-    return bars, strategies.targets(strategies.states(indicators.windowed(bars), chosen)).select("symbol", "ts", "strategy", "target")
+    seen = indicators.windowed(bars)
+    if not {f for s in chosen for f in s.features} <= set(seen.columns):
+        seen = features(spark, sf_dir)
+    return bars, strategies.targets(strategies.states(seen, chosen)).select("symbol", "ts", "strategy", "target")
 
 
-def equity(spark, sf_dir, chosen=FAST):
+def equity(spark, sf_dir, chosen=strategies.BASELINES):
     bars, targets = signals(spark, sf_dir, chosen)
     return metrics.with_returns(portfolio.zero_cost_equity(targets, bars, *KEYS), *KEYS)
 
@@ -75,7 +80,7 @@ AGG_03_SQL = f"WITH {EQUITY_CTE} SELECT symbol, strategy, ts, {sql.all_settled('
 
 
 def agg_11_concentration(spark, sf_dir):
-    return rounded(metrics.concentration(equity(spark, sf_dir).where("strategy = 'buy_and_hold'"), *KEYS).withColumnRenamed("log_growth_without_best", "log_rest"))
+    return rounded(metrics.concentration(equity(spark, sf_dir), *KEYS).withColumnRenamed("log_growth_without_best", "log_rest"))
 
 
 AGG_11_SQL = f"""WITH {EQUITY_CTE}, rk AS (SELECT symbol, strategy, ln(daily_return + 1) AS l, row_number() OVER (PARTITION BY symbol, strategy ORDER BY daily_return DESC, ts) AS r, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM eq WHERE strategy = 'buy_and_hold')
@@ -107,7 +112,7 @@ AGG_12_SQL = f"""WITH {EQUITY_CTE} SELECT a.symbol, a.strategy AS first, b.strat
 
 
 def src_30_returns_matrix(spark, sf_dir):
-    wide = equity(spark, sf_dir).groupBy("symbol", "ts").pivot("strategy", [s.name for s in FAST]).agg(F.first("daily_return"))
+    wide = equity(spark, sf_dir).groupBy("symbol", "ts").pivot("strategy", [s.name for s in strategies.BASELINES]).agg(F.first("daily_return"))
     return rounded(wide)
 
 
@@ -173,12 +178,11 @@ SELECT name, {sql.settled("p", "p")}, {sql.settled("least(1.0, max((m - k + 1) *
 
 
 def stat_03_bootstrap(spark, sf_dir):
-    return statistics.bootstrap(equity(spark, sf_dir).where("strategy <> 'sma_crossover'").select("symbol", "strategy", "ts", "daily_return"), "symbol", "strategy", resamples=200, block=20, seed=7)
+    return statistics.bootstrap(equity(spark, sf_dir).select("symbol", "strategy", "ts", "daily_return"), "symbol", "strategy", resamples=2000, block=21, seed=7)
 
 
 def agg_46_interval(spark, sf_dir):
-    r = equity(spark, sf_dir).where("strategy = 'sma_trend'")
-    return rounded(r.groupBy("symbol").agg(F.percentile("daily_return", F.lit(0.025)).alias("low"), F.percentile("daily_return", F.lit(0.5)).alias("middle"), F.percentile("daily_return", F.lit(0.975)).alias("high"), F.count("daily_return").alias("n")))
+    return rounded(equity(spark, sf_dir).groupBy(*KEYS).agg(F.percentile("daily_return", F.lit(0.025)).alias("low"), F.percentile("daily_return", F.lit(0.5)).alias("middle"), F.percentile("daily_return", F.lit(0.975)).alias("high"), F.count("daily_return").alias("n")))
 
 
 AGG_46_SQL = f"WITH {EQUITY_CTE} SELECT symbol, {sql.settled('quantile_cont(daily_return, 0.025)', 'low')}, {sql.settled('quantile_cont(daily_return, 0.5)', 'middle')}, {sql.settled('quantile_cont(daily_return, 0.975)', 'high')}, count(daily_return) AS n FROM eq WHERE strategy = 'sma_trend' GROUP BY symbol"
