@@ -55,14 +55,16 @@ def zero_cost_equity(targets: DataFrame, bars: DataFrame, *keys: str, initial: f
 
 EQUITY = "position double, shares double, executed boolean, traded_notional double, costs double, cash double, equity double"
 TRADES = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, exit_price double, shares double, net_pnl double, net_return double, holding_sessions long"
+OPEN = "entry_ts timestamp_ntz, entry_price double, shares double, mark_ts timestamp_ntz, mark_price double, unrealized_gross_pnl double, entry_costs double, unrealized_net_pnl double"
+FILLS = "ts timestamp_ntz, side string, price double, shares double, notional double, commission double, spread_cost double, slippage_cost double, total_cost double, signal_observed_at timestamp_ntz"
 
 
 def _fold(rows, c: Costs):
-    """Equity rows and closed trades of one ordered series of (ts, open, close, target)."""
+    """Equity rows, closed trades, the position open at the end and fills of one ordered series of (ts, open, close, target)."""
     cash, shares, entry = c.initial, 0.0, None
     rate = (c.spread_bps / 2 + c.slippage_bps) / 1e4
     proportional = c.commission_bps / 1e4
-    equity, trades, wanted = [], [], 0.0
+    equity, trades, fills, wanted, seen = [], [], [], 0.0, None
     for i, (ts, opened, closed, target) in enumerate(rows):
         cost = notional = 0.0
         executed = i > 0 and (wanted > 0) != (shares > 0)
@@ -73,7 +75,9 @@ def _fold(rows, c: Costs):
                     notional = (cash - c.minimum) / (1 + rate)
             else:
                 notional = shares * opened
-            cost = max(c.flat + notional * proportional, c.minimum) + notional * rate
+            commission = max(c.flat + notional * proportional, c.minimum)
+            cost = commission + notional * rate
+            fills.append((ts, "BUY" if wanted > 0 else "SELL", opened, notional / opened if wanted > 0 else shares, notional, commission, notional * (c.spread_bps / 2 / 1e4), notional * (c.slippage_bps / 1e4), cost, seen))
             if wanted > 0:
                 shares, cash = notional / opened, cash - notional - cost
                 entry = (ts, i, opened, notional, cost)
@@ -84,8 +88,13 @@ def _fold(rows, c: Costs):
                 trades.append((began, ts, price, opened, shares, pnl, pnl / (paid + paid_cost), i - at))
                 shares = 0.0
         equity.append((ts, 1.0 if shares > 0 else 0.0, shares, executed, notional, cost, cash, cash + shares * closed))
-        wanted = target
-    return equity, trades
+        wanted, seen = target, ts
+    marks = []
+    if shares > 0:
+        began, _, price, paid, paid_cost = entry
+        gross = shares * closed - paid
+        marks.append((began, price, shares, ts, closed, gross, paid_cost, gross - paid_cost))
+    return equity, trades, marks, fills
 
 
 def _grouped(targets: DataFrame, bars: DataFrame, costs: Costs, keys: tuple[str, ...], which: int, columns: str) -> DataFrame:
@@ -114,3 +123,13 @@ def simulate(targets: DataFrame, bars: DataFrame, *keys: str, costs: Costs | Non
 def trades(targets: DataFrame, bars: DataFrame, *keys: str, costs: Costs | None = None) -> DataFrame:
     """keys and TRADES columns of each closed trade."""
     return _grouped(targets, bars, costs or Costs(), keys or ("symbol",), 1, TRADES)
+
+
+def open_positions(targets: DataFrame, bars: DataFrame, *keys: str, costs: Costs | None = None) -> DataFrame:
+    """keys and OPEN columns of a position held at the last bar, marked at its close; costs of leaving it are not taken off."""
+    return _grouped(targets, bars, costs or Costs(), keys or ("symbol",), 2, OPEN)
+
+
+def fills(targets: DataFrame, bars: DataFrame, *keys: str, costs: Costs | None = None) -> DataFrame:
+    """keys and FILLS columns of each order, its costs by kind."""
+    return _grouped(targets, bars, costs or Costs(), keys or ("symbol",), 3, FILLS)

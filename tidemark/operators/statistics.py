@@ -33,7 +33,8 @@ BOOTSTRAP = "resample long, mean_return double, annualized_volatility double, sh
 
 
 def bootstrap(returns: DataFrame, *keys: str, resamples: int, block: int, seed: int, year: int = 252) -> DataFrame:
-    """Interval and median of metrics over resamples of each key's series: keys, metric, low, median, high, finite.
+    """Interval and median of metrics over resamples of each key's series: keys, metric, low, median, high, finite,
+    and p_value, two-sided from the centred resamples, for a metric of 0.
 
     A key's series is dealt once for each share of the resamples, so that many resamples of one long series run in parallel;
     the positions depend on seed and length only.
@@ -47,10 +48,13 @@ def bootstrap(returns: DataFrame, *keys: str, resamples: int, block: int, seed:
         share = int(group["share"].iloc[0])
         r = group.sort_values("ts")["daily_return"].to_numpy(float)
         chosen = block_positions(len(r), resamples, block, seed, slice(share, None, shares))
+        number = np.arange(resamples)[share::shares]
+        if share == 0:  # the series itself as resample -1
+            chosen, number = np.vstack([np.arange(len(r)), chosen]), np.append(-1, number)
         sampled = r[chosen]
         mean, sd = sampled.mean(1), sampled.std(1, ddof=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = pd.DataFrame({"resample": np.arange(resamples)[share::shares], "mean_return": mean, "annualized_volatility": sd * year**0.5, "sharpe": np.where(sd > 0, mean / sd * year**0.5, np.nan), "cumulative_log": np.log1p(sampled).sum(1)})
+            out = pd.DataFrame({"resample": number, "mean_return": mean, "annualized_volatility": sd * year**0.5, "sharpe": np.where(sd > 0, mean / sd * year**0.5, np.nan), "cumulative_log": np.log1p(sampled).sum(1)})
         for k in reversed(keys):
             out.insert(0, k, group[k].iloc[0])
         return out
@@ -59,5 +63,38 @@ def bootstrap(returns: DataFrame, *keys: str, resamples: int, block: int, seed:
     dealt = returns.select(*keys, "ts", "daily_return", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
     samples = dealt.groupBy(*keys, "share").applyInPandas(run, schema)
     names = ("mean_return", "annualized_volatility", "sharpe", "cumulative_log")
-    long = samples.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.nanvl(n, F.lit(None)).alias("v")) for n in names])).alias("x")).select(*keys, "x.*")
-    return long.groupBy(*keys, "metric").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.975)).alias("high"), F.count("v").alias("finite"))
+    long = samples.select(*keys, "resample", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.nanvl(n, F.lit(None)).alias("v")) for n in names])).alias("x")).select(*keys, "resample", "x.*")
+    drawn = F.col("resample") >= 0
+    estimate = F.max(F.when(~drawn, F.col("v"))).over(Window.partitionBy(*keys, "metric"))
+    long = long.select(*keys, "metric", F.when(drawn, F.col("v")).alias("v"), estimate.alias("e"))
+    out = long.groupBy(*keys, "metric").agg(
+        F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.975)).alias("high"), F.count("v").alias("finite"),
+        F.count_if(F.abs(F.col("v") - F.col("e")) >= F.abs("e")).alias("extreme"), F.first("e").alias("e"),
+    )
+    return out.withColumn("p_value", F.when(F.col("e").isNotNull() & (F.col("finite") > 0), (1 + F.col("extreme")) / (F.col("finite") + 1))).drop("extreme", "e")
+
+
+def one_sided(returns: DataFrame, *keys: str, value: str = "r", resamples: int = 4000, seed: int = 7) -> DataFrame:
+    """keys, n and p for a mean of at most 0 against one above it, over blocks of n^(1/3) values by ts; null below 10 values."""
+    shares = -(-resamples // SHARE)
+
+    def run(group):
+        import numpy as np
+        import pandas as pd
+
+        share = int(group["share"].iloc[0])
+        r = group.sort_values("ts")[value].to_numpy(float)
+        estimate, extreme = r.mean(), 0
+        if len(r) >= 10 and estimate > 0:
+            means = r[block_positions(len(r), resamples, max(1, round(len(r) ** (1 / 3))), seed, slice(share, None, shares))].mean(1)
+            extreme = int(np.count_nonzero(means - estimate >= estimate))
+        out = pd.DataFrame({"n": [len(r)], "estimate": [estimate], "extreme": [extreme]})
+        for k in reversed(keys):
+            out.insert(0, k, group[k].iloc[0])
+        return out
+
+    schema = ", ".join(f"`{k}` {returns.schema[k].dataType.simpleString()}" for k in keys) + ", n long, estimate double, extreme long"
+    dealt = returns.select(*keys, "ts", value, F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    out = dealt.groupBy(*keys, "share").applyInPandas(run, schema).groupBy(*keys).agg(F.first("n").alias("n"), F.first("estimate").alias("e"), F.sum("extreme").alias("extreme"))
+    p = F.when(F.col("n") < 10, F.lit(None).cast("double")).when(F.col("e") <= 0, 1.0).otherwise((1 + F.col("extreme")) / (resamples + 1))
+    return out.select(*keys, "n", p.alias("p"))

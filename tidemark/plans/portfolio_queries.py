@@ -130,6 +130,21 @@ def sim_05_trades(spark, sf_dir):
     return portfolio.trades(targets, bars, *KEYS)
 
 
+def sim_06_open_positions(spark, sf_dir):
+    bars, targets = signals(spark, sf_dir)
+    return portfolio.open_positions(targets, bars, *KEYS)
+
+
+def sim_07_fills(spark, sf_dir):
+    bars, targets = signals(spark, sf_dir)
+    return portfolio.fills(targets, bars, *KEYS)
+
+
+def stat_10_one_sided(spark, sf_dir):
+    """Of the net returns of closed trades."""
+    return statistics.one_sided(sim_05_trades(spark, sf_dir).select(*KEYS, F.col("entry_ts").alias("ts"), F.col("net_return").alias("r")), *KEYS)
+
+
 def agg_06_trade_metrics(spark, sf_dir):
     return rounded(metrics.trade_metrics(sim_05_trades(spark, sf_dir), *KEYS))
 
@@ -189,7 +204,7 @@ AGG_46_SQL = f"WITH {EQUITY_CTE} SELECT symbol, {sql.settled('quantile_cont(dail
 
 QUERIES = {
     "m1_trend_metrics": m1_trend_metrics, "agg_05_return_metrics": agg_05_return_metrics, "agg_03_drawdown": agg_03_drawdown, "agg_11_concentration": agg_11_concentration, "agg_25_subperiods": agg_25_subperiods, "agg_12_redundancy": agg_12_redundancy,
-    "src_30_returns_matrix": src_30_returns_matrix, "sim_02_simulation": sim_02_simulation, "sim_05_trades": sim_05_trades, "agg_06_trade_metrics": agg_06_trade_metrics, "agg_07_activity": agg_07_activity, "agg_08_all_metrics": agg_08_all_metrics,
+    "src_30_returns_matrix": src_30_returns_matrix, "sim_02_simulation": sim_02_simulation, "sim_05_trades": sim_05_trades, "sim_06_open_positions": sim_06_open_positions, "sim_07_fills": sim_07_fills, "stat_10_one_sided": stat_10_one_sided, "agg_06_trade_metrics": agg_06_trade_metrics, "agg_07_activity": agg_07_activity, "agg_08_all_metrics": agg_08_all_metrics,
     "sim_08_benchmark": sim_08_benchmark, "stat_05_holm": stat_05_holm, "stat_03_bootstrap": stat_03_bootstrap, "agg_46_interval": agg_46_interval,
 }
 SQL = {

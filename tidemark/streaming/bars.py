@@ -45,19 +45,27 @@ def distinct_alerts(alerts: DataFrame, within: str = "1 day") -> DataFrame:
 
 def keyed_sink(spark: SparkSession, path: str, keys: tuple[str, ...]):
     """A foreachBatch function that appends the rows of a batch whose keys the table does not hold: a replayed batch adds nothing.
+    A row of a key that the batch or the table holds with other values is a revision: the batch is refused and nothing written.
 
     The table is partitioned by nothing and each batch adds files; a key is written once however often its batch runs.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
         try:
-            held = spark.read.parquet(path).select(*keys)
+            held = spark.read.parquet(path).select(*batch.columns)
         except Exception as e:  # the table does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             held = None
-        new = batch.dropDuplicates(list(keys))
-        (new if held is None else new.join(held, list(keys), "left_anti")).write.mode("append").parquet(path)
+        new = batch.distinct()
+        every = new if held is None else new.union(held.join(new.select(*keys).distinct().alias("n"), [held[k].eqNullSafe(F.col(f"n.{k}")) for k in keys], "left_semi"))
+        revised = every.distinct().groupBy(*keys).count().where("count > 1").drop("count").first()
+        if revised is not None:
+            raise ValueError(f"revision refused: {revised.asDict()} has different values")
+        if held is not None:
+            old = held.select(*keys).distinct().alias("o")
+            new = new.join(old, [new[k].eqNullSafe(F.col(f"o.{k}")) for k in keys], "left_anti")
+        new.write.mode("append").parquet(path)
 
     return write
 
