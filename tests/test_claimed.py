@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import portfolio, statistics
+from tidemark.operators import features, portfolio, statistics
 from tidemark.streaming import bars as streaming
 
 START = dt.datetime(2024, 1, 1)
@@ -55,3 +55,10 @@ def test_sink_refuses_revisions(spark, tmp_path):
         with pytest.raises(ValueError, match="revision"):
             write(bad, 2)
     assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def test_forest_has_the_trees_of_the_reference(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(features, "_fit", lambda df, names, classifier: seen.append(classifier.getNumTrees()))
+    features.forest_probabilities(None, features.NAMES)
+    assert seen == [300]

@@ -60,4 +60,4 @@ def logistic_probabilities(df: DataFrame, names: tuple[str, ...], c: float = 1.0
 def forest_probabilities(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     from pyspark.ml.classification import RandomForestClassifier
 
-    return _fit(df, names, RandomForestClassifier(numTrees=60, maxDepth=4, minInstancesPerNode=50, featureSubsetStrategy="sqrt", seed=7))
+    return _fit(df, names, RandomForestClassifier(numTrees=300, maxDepth=4, minInstancesPerNode=50, featureSubsetStrategy="sqrt", seed=7))
