@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import jaccard
@@ -74,9 +75,59 @@ def test_columns_cut_in_parts_lose_no_link(spark, monkeypatch):
     docs = case(11)
     monkeypatch.setattr(jaccard, "SMALL", 2)
     monkeypatch.setattr(jaccard, "HELD", 7)
+    monkeypatch.setattr(jaccard, "SIDE", 9)
+    monkeypatch.setattr(jaccard, "FILTER_IDS", 3)
     out = jaccard.join(spark.createDataFrame(docs, SCHEMA).repartition(2), 4, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(docs, 4, 85)
 
 
+def test_large_group_below_the_threshold(spark, monkeypatch):
+    """Long documents that share three quarters of a template do not link, some closer ones do, one very long text neither."""
+    rng = random.Random(4)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(2000)]
+    docs = []
+    for i in range(60):
+        w = list(template)
+        for k in rng.sample(range(2000), rng.choice((30, 60, 80, 90))):
+            w[k] = f"u{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w), 1, "x", 2))
+    docs.append((60, " ".join(docs[7][1].split(" ")[:1900]), 1, "x", 2))
+    docs.append((61, "long " * 300_000 + " ".join(template), 1, "x", 2))
+    monkeypatch.setattr(jaccard, "SIDE", 25)
+    out = jaccard.join(spark.createDataFrame(docs, SCHEMA).repartition(3), 4, 85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == brute(docs, 4, 85)
+
+
+def test_forest_spans_what_its_edges_connect():
+    rng = np.random.default_rng(0)
+    a, b, w = rng.integers(0, 200, 500), rng.integers(0, 200, 500), rng.random(500)
+    kept = jaccard.spanning_forest(200, a, b, w)
+
+    def roots(edges):
+        root = list(range(200))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        joined = 0
+        for i in edges:
+            x, y = find(a[i]), find(b[i])
+            joined += x != y
+            root[x] = y
+        return joined, [find(i) for i in range(200)]
+
+    joined, whole = roots(range(500))
+    spanned, part = roots(kept)
+    assert spanned == joined == len(kept) and len(set(zip(whole, part))) == len(set(whole)) == len(set(part))
+
+
+def test_keep_one_keeps_the_smallest_id_and_empty_texts(spark):
+    docs = [(3, "a b c d e f", 1, "x", 2), (2, "A b c d e f", 1, "y", 3), (2, "A b c d e f", 1, "y", 3), (None, "a b c d e f", 1, "x", 2), (9, "", 1, "x", 2), (9, None, 1, "x", 2), (9, "", 1, "x", 2), (None, "of no one else", 1, "x", 2)]
+    kept = jaccard.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([docs[1], docs[4], docs[5], docs[6], docs[7]], key=str)
+
+
 def test_no_documents(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,11 +43,15 @@ def words_of(text: bytes | None, fold: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session without executors of
+    its own (local[n], as in tests) sets a folder; on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_tidemark_shared", None)
         if path is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
             spark._tidemark_shared = path
     return path.rstrip("/")
@@ -70,6 +75,48 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """The tables of one run in the shared folder, by name. A table goes when another of its name has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back, so that lost executors recompute nothing before it."""
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, which the result still reads."""
+        self.drop(*(x for x in [*self.paths] if x not in names))
+
+
+def frugal(run: Callable) -> Callable:
+    """run for mapInArrow, after which the worker, which Spark uses again, gives freed memory back to the system."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return whole
+
+
 def space_words(text: Column) -> Column:
     """Number of white-space separated words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
@@ -123,5 +170,3 @@ def code_point_offsets(text: bytes, positions: list[int]) -> list[int]:
         return list(positions)
     return [len(text[:p].decode("utf-8", "replace")) for p in positions]
 
-
-LETTER = re.compile(r"[^\W\d_]")

@@ -1,28 +1,28 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, and the components of their links.
 
-The overlaps of all pairs are the product of the document by n-gram incidence matrix with its transpose. Only the entries
-that can reach the threshold are accumulated:
+The overlaps of all pairs are the product of the document by n-gram incidence matrix with its transpose. It is taken in blocks,
+and only for pairs whose sizes and places still allow the threshold:
 
 1. Documents with equal sets become one node (size and a 64-bit hash of the set), so copies are never paired.
 2. Shingles are ordered by how often they occur in all documents, counted in SLOTS hashed slots. Two sets that link share a
-   shingle among the first ``n - ceil(t n) + 1`` of either, so just these columns of the matrix are multiplied: dealt by
-   shingle, each block pairs the nodes of its columns, and pairs of sizes too unlike are discarded.
-3. A column with up to SMALL nodes gives all its pairs, a larger one only pairs with its first node (a star).
-4. The pairs' overlaps are counted exactly, over whole sets, in blocks of a node and up to BLOCK of its partners.
-5. Large columns are taken up again until each pair of their nodes is in one component, compared, or ruled out by sizes and
-   by signatures (parities of the sets, whose distance is a lower bound of the sets'): by further stars, with other
-   centres, while that at least halves the open pairs, and at last by all open pairs. Stars merge groups of near copies
-   in few rounds, so what is left is few; nothing is capped.
-
-Null texts and texts without words are empty sets, linked with nothing. A null id is reachable like any other but smaller
-than none: a component's id is its smallest id that is not null. Repeated rows are copies. Tables may be empty. Only the
-named columns are read.
+   shingle among the first ``n - ceil(t n) + 1`` of either, so just these entries are dealt by shingle (column). Where a pair meets in
+   its first shared shingle, at places i and j, its overlap is 1 + min(n - 1 - i, m - 1 - j) at most; a pair whom no column
+   lets reach the overlap that its sizes ask for is discarded.
+3. A column with up to SMALL nodes gives its pairs at once. The nodes of larger columns are multiplied in square blocks of up to
+   SIDE nodes with their signatures (parities of the sets over as many bits as the size class asks for, whose distance is a
+   lower bound of the sets' distance). A first round takes from each block only a spanning forest of the nearest pairs; once
+   its links have merged the nodes, a second takes every pair of different components that signatures let link.
+4. The overlaps of the pairs left are accumulated over blocks of n-grams, a node with up to PARTNERS others at a time; a
+   pair goes as soon as its count and what remains cannot reach the bound. Links are exact.
+
+Nothing is capped. Null texts and texts without words are empty sets, linked with nothing. A null id is reachable like any
+other but smaller than none: a component's id is its smallest id that is not null. Repeated rows are copies. Tables may be
+empty. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +31,31 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_FOLD, bounded_batches, cut, slices, utf8, words_of
+from tidemark.llm.common import SPACE_FOLD, SPACE_WORD, Scratch, bounded_batches, frugal, slices, utf8, words_of
 
 #: Slots in which occurrences are counted, and kept as a byte each: the table has this size whatever the input, so it may be
 #: broadcast.
-SLOT_BITS = 24
+SLOT_BITS = 22
 #: Slots of a row that goes to the sum.
 SLICE_BITS = 16
-#: Nodes of a column that are all paired.
-SMALL = 8
+#: Nodes of a column that are paired at once.
+SMALL = 16
+#: Nodes of a column that a task holds before it passes them on.
+HELD = 20_000
+#: Nodes on a side of a block of a large column.
+SIDE = 4096
 #: Partners that a task compares with one node's set.
-BLOCK = 256
-#: Bits of the filter of needed nodes; fixed, so it may be broadcast.
-FILTER_BITS = 24
-#: Parities that a node's signature has.
-SIGNATURE_BITS = 512
-#: Open pairs for each row of the open columns at which all of them are compared.
-FEW = 1
-#: Rows of a column that a task holds at once.
-HELD = 50_000
+PARTNERS = 256
+#: Blocks of n-grams over which an overlap is accumulated.
+GRAM_BLOCKS = 8
+#: Parities for each shingle of a signature, before the next power of two, and the least.
+PARITIES, LEAST_PARITIES = 8, 512
+#: Documents up to which their ids are found by a broadcast filter of 16 bits each; beyond, a join finds them.
+FILTER_IDS = 4_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
+_NO_ID = 0x5BD1E995
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -79,28 +82,36 @@ def set_hash(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def least_overlap(n, m, percent: int):
+    """Shared shingles that sets of n and m shingles need to link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
     """A row (kind 0) with size and hash of each document's set, rows (kind 1) with each task's counts of a slice of slots."""
 
+    def rows(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "text_hash", "n", "h", "counts"])
+
+    @frugal
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
         pack = zstandard.ZstdCompressor(level=1).compress
-        any_row = False
         for whole in batches:
             for batch in slices(whole):
-                any_row = True
-                sets = [shingle_set(t, n) for t in utf8(batch.column(1))]
-                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-                m = len(sets)
-                yield _rows([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.nulls(m, pa.binary())])
-        for i, part in enumerate(np.split(counts, 1 << (SLOT_BITS - SLICE_BITS))) if any_row else ():
+                m = batch.num_rows
+                sizes, hashes = np.zeros(m, np.int32), np.zeros(m, np.int64)
+                for i, text in enumerate(utf8(batch.column(2))):
+                    s = shingle_set(text, n)
+                    sizes[i], hashes[i] = len(s), set_hash(s)
+                    np.add.at(counts, (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+                yield rows([pa.array(np.zeros(m, np.int32)), batch.column(0), batch.column(1), pa.array(sizes), pa.array(hashes), pa.nulls(m, pa.binary())])
+        for i in range(1 << (SLOT_BITS - SLICE_BITS)):
+            part = counts[i << SLICE_BITS : (i + 1) << SLICE_BITS]
             if part.any():
-                yield _rows([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(part.tobytes())])])
-
-    def _rows(columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "n", "h", "counts"])
+                yield rows([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(part.tobytes())])])
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n int, h long, counts binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, text_hash long, n int, h long, counts binary")
 
 
 def _occurrences(profile: DataFrame) -> np.ndarray:
@@ -111,6 +122,7 @@ def _occurrences(profile: DataFrame) -> np.ndarray:
         level = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8)
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()])], ["n", "counts"])
 
+    @frugal
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         at, total = None, None
@@ -133,14 +145,15 @@ def _occurrences(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
-    """``token, n, h``: the necessary prefix of each set, once for each task that has it."""
+    """``token, n, h, place``: the necessary prefix of each set in order, once for each task that has it."""
 
+    @frugal
     def run(batches):
         counts = shared.value
         seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(whole):
-                tokens, sizes, nodes = [], [], []
+                tokens, sizes, nodes, places = [], [], [], []
                 for text in utf8(batch.column(0)):
                     s = shingle_set(text, n)
                     key = (len(s), set_hash(s))
@@ -152,259 +165,359 @@ def _prefixes(docs: DataFrame, n: int, percent: int, shared) -> DataFrame:
                     tokens.append(s[np.lexsort((s, f))[:k]])
                     sizes.append(np.full(k, len(s), np.int32))
                     nodes.append(np.full(k, key[1], np.int64))
+                    places.append(np.arange(k, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes))], ["token", "n", "h"])
+                    columns = [pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sizes, nodes, places))]
+                    yield pa.RecordBatch.from_arrays(columns, ["token", "n", "h", "place"])
 
-    return docs.select("text").mapInArrow(run, "token long, n int, h long")
+    return docs.select("text").mapInArrow(run, "token long, n int, h long, place int")
 
 
-PAIRS = "kind int, token long, pn int, ph long, n int, h long"
+def _reach(n, i, m, j, percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles, whose first shared one has places i and j, may link."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - 1 - i, m - 1 - j) >= least_overlap(n, m, percent))
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows without their repeats."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[new]
 
 
 def _multiply(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Kind 0: pairs (pn, ph) with (n, h) of columns' nodes; kind 1: the nodes of columns of more than SMALL nodes."""
+    """Kind 0: pairs (pn, ph) with (n, h) of columns of up to SMALL nodes; kind 1: the rows of larger columns."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
-        centre = None  # the first node of a large column, of which a part has gone
+        held = np.zeros((0, 4), np.int64)
+        large = False  # a part of the first column in held has gone
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
-            held = np.concatenate([held, rows])
-            last = np.flatnonzero(held[:, 0] != held[-1, 0])
-            whole = last[-1] + 1 if len(last) else 0
-            if whole:
-                yield from columns(held[:whole], centre)
-                held, centre = held[whole:], None
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+            held = _distinct(np.concatenate([held, rows]))
+            last = np.flatnonzero(held[:, 0] != held[-1, 0]) if len(held) else ()
+            if len(last):
+                yield from columns(held[: last[-1] + 1], large)
+                held, large = held[last[-1] + 1 :], False
             if len(held) > HELD:
-                centre = held[0] if centre is None else centre
-                yield from columns(held, centre, True)
-                held = held[-1:]
+                yield emit(1, held[:-1], None)
+                held, large = held[-1:], True
         if len(held):
-            yield from columns(held, centre)
+            yield from columns(held, large)
 
-    def columns(rows: np.ndarray, centre: np.ndarray | None, large: bool = False) -> Iterator[pa.RecordBatch]:
-        """rows are sorted; if centre is given, the first column goes on from before, or goes on after (large)."""
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        rows = rows[new]
+    def columns(rows: np.ndarray, large: bool) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
         length = np.diff(np.r_[first, len(rows)])
-        run_of = np.repeat(np.arange(len(first)), length)
         many = length > SMALL
-        if centre is not None:
-            many[0] = True
-        big = many[run_of]
-        a, b = [], []
+        many[0] |= large
+        big = np.repeat(many, length)
+        if big.any():
+            yield emit(1, rows[big], None)
+        left, right = [], []
         for d in range(1, SMALL):
-            i = np.flatnonzero(~big[:-d] & (run_of[d:] == run_of[:-d])) if len(rows) > d else np.zeros(0, np.int64)
-            a.append(i)
-            b.append(i + d)
-        i = np.flatnonzero(big & (np.arange(len(rows)) != first[run_of]))
-        a, b = rows[np.concatenate([*a, first[run_of[i]]])], rows[np.concatenate([*b, i])]
-        if centre is not None and len(rows):
-            at = len(a) - len(i) + np.flatnonzero(run_of[i] == 0)
-            a[at] = centre
-        alike = (100 * np.minimum(a[:, 1], b[:, 1]) >= percent * np.maximum(a[:, 1], b[:, 1])) & (a[:, 1:] != b[:, 1:]).any(1)
-        pairs = np.unique(np.concatenate([a[alike, 1:], b[alike, 1:]], 1), axis=0)
-        yield emit(0, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1], pairs[:, 2], pairs[:, 3])
-        kept = rows[big]
-        yield emit(1, kept[:, 0], None, None, kept[:, 1], kept[:, 2])
-
-    def emit(kind, token, pn, ph, n, h) -> pa.RecordBatch:
-        m = len(token)
-        none = lambda t: pa.nulls(m, t)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, kind, np.int32)), pa.array(token), none(pa.int32()) if pn is None else pa.array(pn.astype(np.int32)), none(pa.int64()) if ph is None else pa.array(ph), pa.array(n.astype(np.int32)), pa.array(h)],
-            ["kind", "token", "pn", "ph", "n", "h"],
-        )
+            i = np.flatnonzero(~big[:-d] & (rows[d:, 0] == rows[:-d, 0])) if len(rows) > d else np.zeros(0, np.int64)
+            left.append(i)
+            right.append(i + d)
+        a, b = rows[np.concatenate(left)], rows[np.concatenate(right)]
+        fit = _reach(a[:, 1], a[:, 3], b[:, 1], b[:, 3], percent)
+        pairs = np.unique(np.concatenate([a[fit, 1:3], b[fit, 1:3]], 1), axis=0)
+        if len(pairs):
+            yield emit(0, pairs[:, 2:], pairs[:, :2])
+
+    def emit(kind: int, rows: np.ndarray, others: np.ndarray | None) -> pa.RecordBatch:
+        m = len(rows)
+        if kind:
+            values = [rows[:, 0], None, None, rows[:, 1], rows[:, 2], rows[:, 3]]
+        else:
+            values = [None, others[:, 0], others[:, 1], rows[:, 0], rows[:, 1], None]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        arrays = [pa.nulls(m, t) if v is None else pa.array(v).cast(t) for v, t in zip(values, types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *arrays], ["kind", "token", "pn", "ph", "n", "h", "place"])
 
     blocks = max(16, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return prefixes.repartition(blocks, "token").sortWithinPartitions("token", "n", "h").mapInArrow(run, PAIRS)
-
-
-def _filter_place(h, doc_id):
-    """Where the filter of needed nodes keeps (h, doc_id); the same in Python and, as FILTER_PLACE, in SQL."""
-    return (h ^ (doc_id or 0)) & ((1 << FILTER_BITS) - 1)
-
-
-FILTER_PLACE = f"((h ^ coalesce(doc_id, 0L)) & {(1 << FILTER_BITS) - 1}L)"
+    dealt = prefixes.repartition(blocks, "token").sortWithinPartitions("token", "n", "h")
+    return dealt.mapInArrow(run, "kind int, token long, pn int, ph long, n int, h long, place int")
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """SIGNATURE_BITS parities of a set. Two sets differ in at least as many shingles as their signatures in bits."""
-    odd = np.bincount((shingles & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _load(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``n, h, shingles, signature`` of the needed nodes (n, h, doc_id of a document that has the set).
-
-    A filter of fixed size keeps most other documents' sets from the shuffle; the join with needed decides.
-    """
-    word, bit = f"int(shiftright({FILTER_PLACE}, 5))", f"shiftleft(1L, int({FILTER_PLACE} & 31))"
-    words = needed.groupBy(F.expr(word).alias("w")).agg(F.bit_or(F.expr(bit)).alias("b"))
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    found = words.toArrow()
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """Parities of a set, as bytes: two sets differ in at least as many shingles as their signatures in bits, also after the longer
+    one is folded to the shorter one's length."""
+    bits = max(LEAST_PARITIES, 1 << (PARITIES * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _load(tables: Scratch, docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """``n, h, shingles, signature`` of the needed nodes (n, h, doc_id of a document that has the set). Up to FILTER_IDS
+    nodes, a filter of their ids keeps other documents from being cut into shingles, beyond that a join does."""
+    wanted = needed.count()
+    shared = None
+    if wanted <= FILTER_IDS:
+        bits = max(16, (16 * wanted).bit_length())
+        place = f"(xxhash64(coalesce(doc_id, {_NO_ID}L)) & {(1 << bits) - 1}L)"
+        words = needed.groupBy(F.expr(f"int(shiftright({place}, 5))").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({place} & 31))")).alias("b")).toArrow()
+        table = np.zeros(1 << (bits - 5), np.uint32)
+        table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+        docs = docs.select("doc_id", "text", F.expr(place).alias("place"))
+    else:
+        ids = needed.select(F.col("doc_id").alias("named")).distinct()
+        docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["named"]), "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("place"))
 
+    @frugal
     def sets(batches):
-        bits = shared.value
+        table = None if shared is None else shared.value
+        seen: set[tuple[int, int]] = set()
         for whole in batches:
             for batch in slices(whole):
+                if table is not None:
+                    at = batch.column(2).to_numpy()
+                    batch = batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
                 out = []
                 for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                     s = shingle_set(text, n)
-                    h = set_hash(s)
-                    at = _filter_place(h, i)
-                    if len(s) and bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                        out.append((i, len(s), h, s.tobytes(), signature(s).tolist()))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "h", "shingles", "signature"])
-
-    loaded = docs.mapInArrow(sets, "doc_id long, n int, h long, shingles binary, signature array<long>")
+                    key = (i, set_hash(s))
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        out.append((i, len(s), key[1], s.tobytes(), signature(s).tobytes()))
+                if out:
+                    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n", "h", "shingles", "signature"])
+
+    loaded = docs.mapInArrow(sets, "doc_id long, n int, h long, shingles binary, signature binary")
     named = needed.select("n", "h", F.col("doc_id").alias("named"))
-    # of a node's copies only the one that is named passes
+    # of a node's copies only the one that is named passes; of its repeats, one
     same = (loaded["n"] == named["n"]) & (loaded["h"] == named["h"]) & loaded["doc_id"].eqNullSafe(named["named"])
-    return loaded.join(named, same, "left_semi").select("n", "h", "shingles", "signature")
+    kept = loaded.join(named, same, "left_semi")
+    written = tables.cut(kept.groupBy("n", "h").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "loaded")
+    if shared is not None:
+        shared.destroy()
+    return written
+
+
+def shared_shingles(a: np.ndarray, b: np.ndarray, least: int) -> int | None:
+    """Overlap of two sorted sets, accumulated over blocks of n-grams; None once it cannot reach least."""
+    bounds = np.arange(1, GRAM_BLOCKS, dtype=np.uint64) * np.uint64(2**64 // GRAM_BLOCKS)
+    cuts_a, cuts_b = np.r_[0, np.searchsorted(a, bounds), len(a)], np.r_[0, np.searchsorted(b, bounds), len(b)]
+    both = 0
+    for k in range(GRAM_BLOCKS):
+        if both + min(len(a) - cuts_a[k], len(b) - cuts_b[k]) < least:
+            return None
+        x, y = a[cuts_a[k] : cuts_a[k + 1]], b[cuts_b[k] : cuts_b[k + 1]]
+        if len(x) and len(y):
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both += int((y[at] == x).sum())
+    return both if both >= least else None
 
 
 def _links(loaded: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (pn, ph, n, h) whose sets, loaded as n, h, shingles, reach the threshold."""
     sizes = pairs.groupBy("pn", "ph").agg(F.count("*").alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK)
+    blocks = F.ceil(F.col("m") / PARTNERS)
     partners = pairs.join(sizes, ["pn", "ph"]).select("n", "h", "pn", "ph", F.pmod(F.col("h"), blocks).cast("int").alias("block"), F.lit(1).alias("kind"))
     centres = sizes.select(F.col("pn").alias("n"), F.col("ph").alias("h"), "pn", "ph", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("block"), F.lit(0).alias("kind"))
     roles = partners.unionByName(centres)
 
-    def compare(batches):
+    @frugal
+    def accumulate(batches):
         key, centre = None, None
         for whole in batches:
             for batch in slices(whole):
                 out = []
                 for pn, ph, block, kind, m, h, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = np.frombuffer(data, np.uint64)
                     if kind == 0:
-                        key, centre = (pn, ph, block), np.frombuffer(data, np.uint64)
-                    elif (pn, ph, block) == key:
-                        own = np.frombuffer(data, np.uint64)
-                        small, large = (own, centre) if len(own) <= len(centre) else (centre, own)
-                        at = np.searchsorted(large, small)
-                        at[at == len(large)] = 0
-                        both = int((large[at] == small).sum())
-                        if 100 * both >= percent * (len(own) + len(centre) - both):
-                            out.append((pn, ph, m, h))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64()) * 2, strict=True)], ["pn", "ph", "n", "h"])
+                        key, centre = (pn, ph, block), own
+                    elif (pn, ph, block) == key and shared_shingles(own, centre, least_overlap(m, pn, percent)) is not None:
+                        out.append((pn, ph, m, h))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64()) * 2, strict=True)], ["pn", "ph", "n", "h"])
 
     rows = roles.join(loaded.select("n", "h", "shingles"), ["n", "h"]).select("pn", "ph", "block", "kind", "n", "h", "shingles")
-    return rows.repartition("pn", "ph", "block").sortWithinPartitions("pn", "ph", "block", "kind").mapInArrow(compare, "pn int, ph long, n int, h long")
+    return rows.repartition("pn", "ph", "block").sortWithinPartitions("pn", "ph", "block", "kind").mapInArrow(accumulate, "pn int, ph long, n int, h long")
 
 
-def _spread(edges: DataFrame) -> DataFrame:
+def _apart(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the rows i of a differ from the rows j of b."""
+    out = np.zeros(len(i), np.int64)
+    step = max(1, (4 << 20) // max(1, a.shape[1] * 8))
+    for at in range(0, len(i), step):
+        out[at : at + step] = np.bitwise_count(a[i[at : at + step]] ^ b[j[at : at + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def near_pairs(n, place, label, marks: list[bytes], left: np.ndarray, percent: int, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block's rows that sizes, places and signatures let link, and the share of the permitted distance that their
+    signatures take: of all rows if within, else of a row in left with one that is not."""
+    length = np.array([len(m) for m in marks])
+    found = []
+    for size in np.unique(length):
+        own = np.flatnonzero(length == size)
+        a = np.stack([np.frombuffer(marks[i], np.uint64) for i in own])
+        for other in (size, 2 * size):  # sets more than twice as large cannot link
+            rows = own if other == size else np.flatnonzero(length == other)
+            if not len(rows):
+                continue
+            b = a if other == size else np.stack([np.frombuffer(marks[i], np.uint64) for i in rows])
+            if other != size:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            step = max(1, (1 << 20) // len(rows))
+            for at in range(0, len(own), step):
+                x, y = own[at : at + step, None], rows[None, :]
+                fit = _reach(n[x], place[x], n[y], place[y], percent) & (label[x] != label[y])
+                if other == size:
+                    fit &= x < y
+                if not within:
+                    fit &= left[x] != left[y]
+                i, j = np.nonzero(fit)
+                i += at
+                apart = _apart(a, b, i, j)
+                sizes = n[own[i]] + n[rows[j]]
+                most = sizes - 2 * least_overlap(n[own[i]], n[rows[j]], percent)
+                near = apart <= most
+                found.append((own[i[near]], rows[j[near]], apart[near] / np.maximum(1, most[near])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def spanning_forest(m: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a forest of the lightest edges that spans what the edges (a, b) of m nodes connect."""
+    order = np.lexsort((b, a, weight))
+    root, taken = np.arange(m), []
+    while len(order):
+        x, y = root[a[order]], root[b[order]]
+        lightest = np.full(m, len(order))
+        np.minimum.at(lightest, x, np.arange(len(order)))
+        np.minimum.at(lightest, y, np.arange(len(order)))
+        pick = np.unique(lightest[lightest < len(order)])
+        taken.append(order[pick])
+        u, v, to = x[pick], y[pick], np.arange(m)
+        while True:
+            low = np.minimum(to[u], to[v])
+            new = to.copy()
+            np.minimum.at(new, to[u], low)
+            np.minimum.at(new, to[v], low)
+            new = new[new]
+            if (new == to).all():
+                break
+            to = new
+        root = to[root]
+        order = order[root[a[order]] != root[b[order]]]
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
+def _blocks(columns: DataFrame, marks: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct pairs (pn, ph) and (n, h) of nodes with different labels (cn, ch) in one of the columns that may link: a spanning
+    forest from each block of a column, or all."""
+    counts = columns.groupBy("token").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    own = F.pmod(F.xxhash64("h", "n"), F.col("sides")).cast("int")
+    rows = columns.join(counts, "token").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    # a row meets every side of its column: once its own, and each other one
+    dealt = rows.join(marks, ["n", "h"]).select("token", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "place", "n", "h", F.xxhash64("cn", "ch").alias("label"), "signature")
+
+    @frugal
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if held:
+                        yield from block(key, held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield from block(key, held)
+
+    def block(key, held):
+        side, place, n, h, label, marks = zip(*held, strict=True)
+        n, place, label, h = (np.array(x, np.int64) for x in (n, place, label, h))
+        i, j, share = near_pairs(n, place, label, list(marks), np.array(side) == key[1], percent, key[1] == key[2])
+        if forest:
+            _, known = np.unique(label, return_inverse=True)
+            kept = spanning_forest(len(n), known[i], known[j], share)
+            i, j = i[kept], j[kept]
+        if len(i):
+            turned = (n[i] > n[j]) | (n[i] == n[j]) & (h[i] > h[j])
+            i, j = np.where(turned, j, i), np.where(turned, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(n[i].astype(np.int32)), pa.array(h[i]), pa.array(n[j].astype(np.int32)), pa.array(h[j])], ["pn", "ph", "n", "h"])
+
+    keyed = dealt.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    return keyed.mapInArrow(run, "pn int, ph long, n int, h long").distinct()
+
+
+def _spread(tables: Scratch, edges: DataFrame) -> DataFrame:
     """``u, c``: the smallest node that each node of the edges (u, v) reaches. Labels flow over edges and are then taken from the
     label's own node, until none changes."""
-    both = cut(edges.union(edges.select("v", "u")).distinct(), "edges")
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), "labels")
+    both = tables.cut(edges.union(edges.select("v", "u")).distinct(), "edges")
+    labels = tables.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), "spread")
     while True:
         seen = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("m"))
         spread = labels.join(seen, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         hop = spread.select(F.col("u").alias("c"), F.col("c").alias("next"))
-        moved = cut(spread.join(hop, "c", "left").select("u", F.least("c", F.coalesce("next", "c")).alias("c"), "old"), "labels")
+        moved = tables.cut(spread.join(hop, "c", "left").select("u", F.least("c", F.coalesce("next", "c")).alias("c"), "old"), "spread")
         if moved.where("c <> old").isEmpty():
             return moved.select("u", "c")
         labels = moved.drop("old")
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def components(tables: Scratch, links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``n, h, cn, ch``: the smallest node that each linked node reaches, of links (pn, ph, n, h) and what labels say already; only
     links between different labels count then."""
     edges = links.select(F.struct("pn", "ph").alias("u"), F.struct(F.col("n").alias("pn"), F.col("h").alias("ph")).alias("v"))
     if labels is None:
-        found = _spread(edges).select("u", "c")
+        found = _spread(tables, edges)
     else:
         known = labels.select(F.struct(F.col("n").alias("pn"), F.col("h").alias("ph")).alias("u"), F.struct(F.col("cn").alias("pn"), F.col("ch").alias("ph")).alias("c"))
         ends = edges.join(known, "u", "left").select(F.coalesce("c", "u").alias("a"), "v").join(known.withColumnRenamed("u", "v"), "v", "left").select("a", F.coalesce("c", "v").alias("b"))
-        merged = _spread(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        merged = _spread(tables, ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
         new = known.join(merged.select(F.col("u").alias("c"), F.col("c").alias("next")), "c", "left").select("u", F.coalesce("next", "c").alias("c"))
         # labels that were nobody's, and nodes that had no link before
-        found = cut(new.union(merged.join(known, "u", "left_anti")), "labels")
-    return found.select(F.col("u.pn").alias("n"), F.col("u.ph").alias("h"), F.col("c.pn").alias("cn"), F.col("c.ph").alias("ch"))
-
+        found = new.union(merged.join(known, "u", "left_anti"))
+    return tables.cut(found.select(F.col("u.pn").alias("n"), F.col("u.ph").alias("h"), F.col("c.pn").alias("cn"), F.col("c.ph").alias("ch")), "labels")
 
-def _may_link(percent: int) -> str:
-    """Condition on n, pn, signature and ps that pairs which link meet: sets of n and pn shingles then differ in at most
-    n + pn - 2 * overlap, the overlap being at least this share of n + pn."""
-    apart = " + ".join(f"bit_count(signature[{i}] ^ ps[{i}])" for i in range(SIGNATURE_BITS // 64))
-    return f"100L * least(n, pn) >= {percent}L * greatest(n, pn) and {apart} <= n + pn - 2 * ceil({percent} * (n + pn) / {100 + percent}D)"
 
-
-def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(columns: DataFrame, labels: DataFrame) -> DataFrame:
     """columns with the labels (cn, ch) of their nodes, where a column has several; nodes without links are their own."""
-    rows = columns.select("token", "n", "h").join(labels, ["n", "h"], "left").withColumns({"cn": F.coalesce("cn", "n"), "ch": F.coalesce("ch", "h")})
+    rows = columns.select("token", "place", "n", "h").join(labels, ["n", "h"], "left").withColumns({"cn": F.coalesce("cn", "n"), "ch": F.coalesce("ch", "h")})
     open_ = rows.groupBy("token").agg(F.min(F.struct("cn", "ch")).alias("a"), F.max(F.struct("cn", "ch")).alias("b")).where("a <> b").select("token")
     return rows.join(open_, "token")
 
 
-def _open_pairs(columns: DataFrame) -> tuple[int, int]:
-    """Pairs of nodes of different labels in the same column; rows."""
-    by = columns.groupBy("token", "cn", "ch").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    row = by.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
-def _between(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of nodes of one column with different labels that sizes and signatures let link."""
-    other = right.select("token", F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("cn").alias("pcn"), F.col("ch").alias("pch"), F.col("signature").alias("ps"))
-    fits = F.expr(f"(cn <> pcn or ch <> pch) and {_may_link(percent)}")
-    return left.join(other, (left["token"] == other["token"]) & fits).select("pn", "ph", "n", "h").distinct()
-
-
 def _solve(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, text): its rows' doc_id, n, h, and each node's component (cn, ch) with its smallest doc_id."""
+    """Of docs (doc_id, text_hash, text): its rows' doc_id, text_hash, n, h, and each node's component: its smallest doc_id,
+    and the row that comes first in it."""
     spark = docs.sparkSession
-    profile = cut(_profile(docs, n), "profile")
-    rows = profile.where("kind = 0").select("doc_id", "n", "h")
-    nodes = cut(rows.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    tables = Scratch(spark)
+    profile = tables.cut(_profile(docs, n), "profile")
+    rows = profile.where("kind = 0").select("doc_id", "text_hash", "n", "h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = tables.cut(rows.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("doc_id"), first), "nodes")
     counts = spark.sparkContext.broadcast(_occurrences(profile))
-    product = cut(_multiply(_prefixes(docs, n, percent, counts), percent), "product")
-    pairs = cut(product.where("kind = 0").select("pn", "ph", "n", "h").distinct(), "pairs")
-    large = product.where("kind = 1").select("token", "n", "h").distinct()
-    inside = cut(large.select("n", "h").distinct(), "inside")
-    needed = pairs.select("n", "h").union(pairs.select("pn", "ph")).union(inside).distinct()
-    loaded = cut(_load(docs, cut(needed.join(nodes, ["n", "h"]), "needed"), n), "loaded")
-    columns = large
+    product = tables.cut(_multiply(_prefixes(docs, n, percent, counts), percent), "product")
+    counts.destroy()
+    pairs = tables.cut(product.where("kind = 0").select("pn", "ph", "n", "h").distinct(), "pairs")
+    columns = tables.cut(product.where("kind = 1").select("token", "place", "n", "h").distinct(), "columns")
+    tables.drop("product")
+    needed = pairs.select("n", "h").union(pairs.select("pn", "ph")).union(columns.select("n", "h")).distinct()
+    loaded = _load(tables, docs, tables.cut(needed.join(nodes.select("n", "h", "doc_id"), ["n", "h"]), "needed"), n)
     marks = loaded.select("n", "h", "signature")
-    centres = marks.select(F.col("n").alias("pn"), F.col("h").alias("ph"), F.col("signature").alias("ps"))
-    likely = cut(pairs.join(marks, ["n", "h"]).join(centres, ["pn", "ph"]).where(_may_link(percent)).select("pn", "ph", "n", "h"), "likely")
-    labels = components(cut(_links(loaded, likely, percent), "links"))
-    left = None
-    for turn in count():
-        # a column that is closed stays so; only open ones go on, with their nodes' signatures
-        columns = cut(_labelled(columns, labels), "open")
-        open_ = columns.join(marks, ["n", "h"])
-        pairs_left, rows_left = _open_pairs(columns)
-        if not pairs_left:
-            break
-        last = pairs_left <= FEW * rows_left or left is not None and 2 * pairs_left > left
-        if last:
-            more = _between(open_, open_, percent).where("struct(pn, ph) < struct(n, h)")
-        else:
-            order = F.xxhash64("h", F.lit(turn))
-            centres = open_.groupBy("token").agg(F.min(F.struct(order.alias("o"), "n", "h", "cn", "ch", "signature")).alias("c")).select("token", "c.n", "c.h", "c.cn", "c.ch", "c.signature")
-            more = _between(open_, centres, percent)
-        labels = components(cut(_links(loaded, cut(more, "more"), percent), "links"), labels)
-        if last:
-            break
-        left = pairs_left
-    named = nodes.join(labels, ["n", "h"], "left").select("n", "h", F.coalesce("cn", "n").alias("cn"), F.coalesce("ch", "h").alias("ch"), "doc_id")
-    smallest = named.groupBy("cn", "ch").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "h")).alias("first"))
-    return rows, cut(named.join(smallest, ["cn", "ch"]).select("n", "h", "component_id", "first"), "members")
+    alone = columns.withColumns({"cn": F.col("n"), "ch": F.col("h")})
+    nearest = tables.cut(_blocks(alone, marks, percent, forest=True).unionByName(pairs).distinct(), "nearest")
+    labels = components(tables, tables.cut(_links(loaded, nearest, percent), "links"))
+    open_ = tables.cut(_open(columns, labels), "open")
+    if not open_.isEmpty():
+        rest = tables.cut(_blocks(open_, marks, percent, forest=False).join(nearest, ["pn", "ph", "n", "h"], "left_anti"), "rest")
+        labels = components(tables, tables.cut(_links(loaded, rest, percent), "links"), labels)
+    named = nodes.join(labels, ["n", "h"], "left").select("n", "h", F.coalesce("cn", "n").alias("cn"), F.coalesce("ch", "h").alias("ch"), "doc_id", "first")
+    smallest = named.groupBy("cn", "ch").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("first"))
+    members = tables.cut(named.select("n", "h", "cn", "ch").join(smallest, ["cn", "ch"]).select("n", "h", "component_id", "first"), "members")
+    tables.keep("profile", "members")
+    return rows, members
 
 
 def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -421,17 +534,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_
     """The rows of docs with one row of each component: that of the smallest id (null ids after all others), any of equal
     rows. Rows with empty sets all stay."""
     _, members = _solve(_inputs(docs, doc_id, text), n, percent)
-    winners = members.where("first.n = n and first.h = h").select("n", "h", F.col("component_id").alias("won"))
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole):
-                sets = [shingle_set(t, n) for t in utf8(batch.column(2))]
-                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int32()), pa.array([set_hash(s) for s in sets], pa.int64()), *batch.columns[:2]], ["n", "h", "id", "row"])
-
-    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.struct("*").alias("row"), F.col(text).alias("text"))
-    keyed = keyed.mapInArrow(run, f"n int, h long, id long, row {keyed.schema['row'].dataType.simpleString()}")
-    empty = keyed.where("n = 0").select("row.*")
-    same = (keyed["n"] == winners["n"]) & (keyed["h"] == winners["h"]) & keyed["id"].eqNullSafe(winners["won"])
-    first = keyed.join(winners, same, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("n", "h", "id").orderBy("id")))
-    return first.where("place = 1").select("row.*").unionByName(empty)
+    winners = members.select(F.col("first.doc_id").alias("won"), F.col("first.text_hash").alias("text_hash")).distinct()
+    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text).rlike(SPACE_WORD), F.lit(False)).alias("words"), F.struct("*").alias("row"))
+    some = keyed.where("words")
+    same = (some["text_hash"] == winners["text_hash"]) & some["id"].eqNullSafe(winners["won"])
+    first = some.join(winners, same, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("text_hash", "id").orderBy("id")))
+    return first.where("place = 1").select("row.*").unionByName(keyed.where("not words").select("row.*"))
