@@ -81,6 +81,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[str, str] = {}
+        self.catalogued: dict[str, str] = {}
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back, so that lost executors recompute nothing before it."""
@@ -90,8 +91,21 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        """Write df without repeats of its keys, in as many buckets of them as a shuffle has partitions: joins on the keys then
+        read it in place. It stands in the session's catalog until it is dropped."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path, table = fresh_path(self.spark, name), f"tidemark_{name}_{uuid.uuid4().hex}"
+        once = df.repartition(buckets, *keys).dropDuplicates(keys)
+        once.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        self.drop(name)
+        self.paths[name], self.catalogued[name] = path, table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.catalogued:
+                self.spark.sql(f"DROP TABLE {self.catalogued.pop(name)}")
             if name in self.paths:
                 drop_path(self.spark, self.paths.pop(name))
 

@@ -50,8 +50,8 @@ PARTNERS = 256
 GRAM_BLOCKS = 8
 #: Parities for each shingle of a signature, before the next power of two, and the least.
 PARITIES, LEAST_PARITIES = 8, 512
-#: Documents up to which their ids are found by a broadcast filter of 16 bits each; beyond, a join finds them.
-FILTER_IDS = 4_000_000
+#: Documents up to which their ids are found by a broadcast filter of 32 bits each; beyond, a join finds them.
+FILTER_IDS = 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -248,12 +248,13 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _load(tables: Scratch, docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``n, h, shingles, signature`` of the needed nodes (n, h, doc_id of a document that has the set). Up to FILTER_IDS
-    nodes, a filter of their ids keeps other documents from being cut into shingles, beyond that a join does."""
+    """``n, h, shingles, signature`` of the needed nodes (n, h, doc_id of a document that has the set) and of some others. Up to
+    FILTER_IDS nodes, a filter of their ids keeps most other documents from being cut into shingles, beyond that a join does.
+    The table is bucketed by node, so that joins with pairs do not shuffle it again."""
     wanted = needed.count()
     shared = None
     if wanted <= FILTER_IDS:
-        bits = max(16, (16 * wanted).bit_length())
+        bits = max(16, (32 * wanted).bit_length())
         place = f"(xxhash64(coalesce(doc_id, {_NO_ID}L)) & {(1 << bits) - 1}L)"
         words = needed.groupBy(F.expr(f"int(shiftright({place}, 5))").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({place} & 31))")).alias("b")).toArrow()
         table = np.zeros(1 << (bits - 5), np.uint32)
@@ -274,22 +275,18 @@ def _load(tables: Scratch, docs: DataFrame, needed: DataFrame, n: int) -> DataFr
                     at = batch.column(2).to_numpy()
                     batch = batch.filter(pa.array((table[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
                 out = []
-                for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                for text in utf8(batch.column(1)):
                     s = shingle_set(text, n)
-                    key = (i, set_hash(s))
+                    key = (len(s), set_hash(s))
                     if len(s) and key not in seen:
                         seen.add(key)
-                        out.append((i, len(s), key[1], s.tobytes(), signature(s).tobytes()))
+                        out.append((*key, s.tobytes(), signature(s).tobytes()))
                 if out:
-                    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n", "h", "shingles", "signature"])
-
-    loaded = docs.mapInArrow(sets, "doc_id long, n int, h long, shingles binary, signature binary")
-    named = needed.select("n", "h", F.col("doc_id").alias("named"))
-    # of a node's copies only the one that is named passes; of its repeats, one
-    same = (loaded["n"] == named["n"]) & (loaded["h"] == named["h"]) & loaded["doc_id"].eqNullSafe(named["named"])
-    kept = loaded.join(named, same, "left_semi")
-    written = tables.cut(kept.groupBy("n", "h").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature")), "loaded")
+                    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["n", "h", "shingles", "signature"])
+
+    loaded = docs.mapInArrow(sets, "n int, h long, shingles binary, signature binary")
+    written = tables.bucketed(loaded, "loaded", ["n", "h"])
     if shared is not None:
         shared.destroy()
     return written
