@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +22,11 @@ def brute(rows, k):
         for t in set(w):
             df[t] = df.get(t, 0) + 1
     out = []
-    for q, terms in {(i, tuple(sorted(set(w)))) for i, w in docs if i is not None and i % 10 == 0}:
+    asked = {}
+    for i, w in docs:
+        if i is not None and i % 10 == 0:
+            asked.setdefault(i, set()).update(w)
+    for q, terms in ((i, sorted(w)) for i, w in asked.items()):
         scored = []
         for i, w in docs:
             s = sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms if t in w)
@@ -39,10 +44,13 @@ def case(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("group", "shard"), [(1_000_000, 32 << 20), (300, 4000)])
-def test_against_brute_force(spark, monkeypatch, group, shard):
+@pytest.mark.parametrize(("group", "segment", "pilots"), [(2_000_000, 4 << 20, 8), (300, 1500, 3)])
+def test_against_brute_force(spark, monkeypatch, group, segment, pilots):
     monkeypatch.setattr(search, "GROUP_TERMS", group)
-    rows = case(group % 7, 250)
+    monkeypatch.setattr(search, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(search, "SHARD_WORDS", segment // 2)
+    monkeypatch.setattr(search, "PILOTS", pilots)
+    rows = [*case(group % 7, 250), (40, "two rows of one id w1 w2 w3", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string, rank int").repartition(3)
     got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in search.search(df, F.col("doc_id") % 10 == 0, 7).where("doc_id is not null").collect())
     want = sorted(x for x in brute(rows, 7) if x[2] is not None)
@@ -50,19 +58,46 @@ def test_against_brute_force(spark, monkeypatch, group, shard):
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-8)
 
 
+def languages(seed, n):
+    """Documents of four vocabularies; a few have near copies."""
+    rng = random.Random(seed)
+    own = [[f"{x}{int(rng.paretovariate(0.5))}" for _ in range(3000)] for x in "abcd"]
+    rows = []
+    for i in range(n):
+        words = own[i % 4]
+        w = [rng.choice(words) for _ in range(rng.randint(20, 200))]
+        rows += [(100 * i + j, w[: len(w) - j]) for j in range(12 if i % 50 == 0 else 1)]
+    return rows
+
+
 def test_pruned_blocks_hold_none_of_the_best():
-    rows = case(5, 3000)
-    own = [(i, words(t)) for i, t, *_ in rows if words(t)]
-    queries = search.Queries([(i, t.encode()) for i, t, *_ in rows[:40]])
-    queries.weigh(search.np.ones(len(queries.vocabulary)) * 9, 3000, 100_000)
-    shard = search.Shard([i for i, _ in own], [[x.encode() for x in w] for _, w in own], queries)
-    for _, terms in [*queries.terms, (0, queries.terms[3][1][:1]), (0, queries.terms[4][1][:2])]:
-        at = search._ranges(shard.at[terms], shard.at[terms + 1] - shard.at[terms])
-        full = search.np.round(search.np.bincount(shard.docs[at], shard.impact[at], len(shard.ids)), 9)
-        order = search.np.lexsort((shard.ids, -full))[:10]
-        scores, ids = shard.best(terms, 10)
-        keep = full[order] > 0
-        assert ids.tolist() == shard.ids[order][keep].tolist() and scores.tolist() == full[order][keep].tolist()
+    rows = languages(5, 3000)
+    counted = [Counter(x.encode() for x in w) for _, w in rows]
+    parts = [search.segment([i for i, _ in rows[a : a + 1000]], counted[a : a + 1000]) for a in range(0, len(rows), 1000)]
+    asked = [search.np.array(sorted(map(search.term, set(c))), search.np.uint64).tobytes() for c in counted[:100]]
+    queries = search.Queries([(i, t) for (i, _), t in zip(rows, asked)])
+    found = search.np.zeros(len(queries.vocabulary))
+    for part in parts:
+        held, at = queries.known(search.np.frombuffer(part["terms"], search.np.uint64))
+        found[at[held]] += search.np.frombuffer(part["counts"], search.np.int32)[held]
+    queries.weigh(found, len(rows), sum(len(w) for _, w in rows))
+    shard = search.Shard(parts, queries)
+    lengths = {i: len(w) for i, w in rows}
+    position = {i: n for n, (i, _) in enumerate(rows)}
+    for n in range(len(queries.ids)):
+        terms = queries.of(n)
+        full = []
+        words = {search.term(w): w for w in (x.encode() for x in rows[position[queries.ids[n]]][1])}
+        weight = {words[int(queries.vocabulary[t])]: queries.weights[t] for t in terms}
+        for (i, _), c in zip(rows, counted):
+            score = sum(v * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * lengths[i] / queries.mean)) for w, v in weight.items() if c[w])
+            if score:
+                full.append((-round(score, 9), i))
+        want = sorted(full)[:10]
+        for floor in (0.0, -want[-1][0] if len(want) == 10 else 0.0):
+            scores, ids = shard.best(terms, 10, floor)
+            assert ids.tolist() == [i for _, i in want] and scores.tolist() == pytest.approx([-s for s, _ in want], abs=1e-8)
+    assert shard.scored < 0.8 * shard.all
 
 
 def test_no_documents(spark):

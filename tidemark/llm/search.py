@@ -1,35 +1,53 @@
-"""Exact top-k search by BM25: inverted indexes of shards with block maxima, dynamic pruning, merged by global statistics.
-
-A query's terms are the distinct words of its whole text, each counted once. Document frequencies, the number of documents and
-their mean length are of all documents. A task gathers documents into shards of up to SHARD_BYTES of text, orders each by length and
-indexes the queries' terms; a posting's impact is its whole contribution to a score. Blocks of BLOCK documents have the
-largest impact of each term, whose sums bound the scores in a block. Blocks are scored by falling bound, in batches that
-double; once the k-th best score exceeds the next bound, the rest is skipped. Where most blocks stay in
-reach, the shard is scored outright. Each shard gives its k best of a query, and these are merged.
-
-Queries come in groups of at most GROUP_TERMS terms, each broadcast; every group is two passes over the documents. Scores
-are rounded to 9 decimals before they are compared, ties go by doc_id, null ids last. Null and empty texts are neither
-found nor find anything; neither do documents without a common term. Repeated rows are documents (queries: once) of their
-own. Only the named columns are read.
+"""Exact top-k search by BM25: inverted indexes of shards, block-max WAND in each, merged by global statistics.
+
+One pass over the documents cuts them into words and writes, to the shared folder, an inverted index in segments of up to
+SEGMENT_BYTES of text (a row each: terms, their documents, how often) and the terms of the queries. A query's terms are the distinct
+words of its whole text, each counted once; rows of one id are one query with the terms of all. Document frequencies,
+the number of documents and their mean length are of all documents, taken from the index.
+
+Queries come in groups of about GROUP_TERMS terms, each broadcast; a group reads the postings of its terms from the index. A
+task joins segments to a shard of up to SHARD_WORDS words, orders its documents so that like ones stand together, and cuts them
+into aligned blocks of BLOCK documents with the largest impact (whole contribution to a score) of each term. WAND moves the
+cursors of a query's terms to the next pivot, where their maxima exceed the floor, the k-th best score known; with
+aligned blocks one sum of the block maxima finds all pivot blocks at once, and they are taken by falling bound. In a pivot
+block the rare terms are added first, and the frequent ones only if the best score in it can still pass the floor. The
+floor rises with each batch of blocks and starts, but for a few pilot segments that are searched before, from the k-th best
+score of the pilots. Each shard gives what reaches the floor, k rows at most, and these are merged.
+
+Scores are rounded to 9 decimals before they are compared, ties go by doc_id, null ids last. Null and empty texts are
+neither found nor find anything; neither do documents without a common term. Repeated rows are documents of their own.
+Terms are 64-bit hashes of words. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, slices, utf8, words_of
+from tidemark.llm.common import ALNUM_FOLD, Scratch, bounded_batches, frugal, slices, utf8, words_of
 
 K1, B = 1.2, 0.75
-#: Text of a shard, documents of a block.
-SHARD_BYTES, BLOCK = 32 << 20, 16
+#: Text and documents of a segment, words of a shard, documents of a block.
+SEGMENT_BYTES, SEGMENT_DOCS, SHARD_WORDS, BLOCK = 4 << 20, 1 << 16, 5_000_000, 64
 #: Terms, counted for each query, that are broadcast at once.
-GROUP_TERMS = 1_000_000
+GROUP_TERMS = 2_000_000
+#: Segments that are searched first.
+PILOTS = 8
+#: Frequent terms by which a shard's documents are put together.
+MARKERS = 16
+#: Postings of a block from which they are kept as a row of all its documents.
+DENSE = BLOCK // 4
 DECIMALS = 9
+#: Scores within this are not told apart when blocks are left out: equal ones count, and sums differ in their last bits.
+MARGIN = 2 * 10.0**-DECIMALS
+NO_ID = np.iinfo(np.int64).max
+INDEX = "kind int, query_id long, documents long, words long, terms binary, counts binary, ids binary, lengths binary, docs binary, often binary"
 RESULT = "query_id long, doc_id long, score double"
 
 
@@ -39,156 +57,302 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
+def term(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def segment(ids: list[int | None], texts: list[Counter]) -> dict:
+    """An index row of documents given as words and how often they have them."""
+    place: dict[bytes, int] = {}
+    terms, often = [], []
+    for words in texts:
+        terms.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)))
+        often.append(np.fromiter(words.values(), np.int64, len(words)))
+    docs = np.repeat(np.arange(len(texts)), [len(t) for t in terms])
+    hashes = np.fromiter(map(term, place), np.uint64, len(place))
+    rank = np.argsort(np.argsort(hashes))
+    t, n = rank[np.concatenate(terms)], np.concatenate(often)
+    order = np.argsort(t, kind="stable")
+    lengths = np.array([sum(words.values()) for words in texts], np.int64)
+    parts = {
+        "terms": np.sort(hashes),
+        "counts": np.bincount(t, minlength=len(place)).astype(np.int32),
+        "ids": np.array([NO_ID if i is None else i for i in ids], np.int64),
+        "lengths": lengths,
+        "docs": docs[order].astype(np.uint16),
+        "often": n[order].astype(np.uint32),
+    }
+    return {"kind": 0, "documents": len(ids), "words": int(lengths.sum())} | {k: v.tobytes() for k, v in parts.items()}
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """Segments (kind 0) and queries (kind 1) of rows doc_id, text, asked."""
+    fields = [("kind", pa.int32()), ("query_id", pa.int64()), ("documents", pa.int64()), ("words", pa.int64())]
+    schema = pa.schema([*fields, *((x, pa.binary()) for x in ("terms", "counts", "ids", "lengths", "docs", "often"))])
+
+    @frugal
+    def run(batches):
+        ids, texts, size = [], [], 0
+        for whole in batches:
+            for batch in slices(whole):
+                asked = []
+                for i, text, query in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                    words = Counter(words_of(text, ALNUM_FOLD))
+                    if not words:
+                        continue
+                    ids.append(i)
+                    texts.append(words)
+                    size += len(text)
+                    if query:
+                        asked.append({"kind": 1, "query_id": i, "terms": np.unique(np.fromiter(map(term, words), np.uint64, len(words))).tobytes()})
+                    if size >= SEGMENT_BYTES or len(ids) == SEGMENT_DOCS:
+                        yield pa.RecordBatch.from_pylist([segment(ids, texts)], schema)
+                        ids, texts, size = [], [], 0
+                if asked:
+                    yield pa.RecordBatch.from_pylist(asked, schema)
+        if ids:
+            yield pa.RecordBatch.from_pylist([segment(ids, texts)], schema)
+
+    return rows.mapInArrow(run, INDEX)
+
+
 class Queries:
-    """A group of queries over their common vocabulary; weights are inverse document frequencies."""
+    """A group of queries over their common vocabulary; weights are inverse document frequencies, floors what a result must
+    reach."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        words = [(i, sorted(set(words_of(t, ALNUM_FOLD)))) for i, t in rows]
-        self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in words for w in ws}))}
-        self.terms = [(i, np.array([self.vocabulary[w] for w in ws], np.int64)) for i, ws in words if ws]
+        own: dict[int, list[np.ndarray]] = {}
+        for i, terms in rows:
+            own.setdefault(i, []).append(np.frombuffer(terms, np.uint64))
+        self.ids = sorted(own)
+        joined = [np.unique(np.concatenate(own[i])) for i in self.ids]
+        self.vocabulary = np.unique(np.concatenate(joined)) if joined else np.zeros(0, np.uint64)
+        self.at = np.cumsum([0, *map(len, joined)])
+        self.terms = np.searchsorted(self.vocabulary, np.concatenate(joined)).astype(np.int32) if joined else np.zeros(0, np.int32)
         self.weights = np.zeros(len(self.vocabulary))
         self.mean = 1.0
+        self.floors = np.zeros(len(self.ids))
+
+    def of(self, n: int) -> np.ndarray:
+        return self.terms[self.at[n] : self.at[n + 1]]
 
     def weigh(self, found: np.ndarray, documents: int, words: int) -> None:
         self.weights = np.log(1.0 + (documents - found + 0.5) / (found + 0.5))
         self.mean = max(1.0, words / max(1, documents))
 
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms the vocabulary has, and where."""
+        at = np.searchsorted(self.vocabulary, terms)
+        at[at == len(self.vocabulary)] = 0
+        return self.vocabulary[at] == terms, at
+
 
 class Shard:
-    def __init__(self, ids: list[int | None], texts: list[list[bytes]], queries: Queries):
-        lengths = np.array([len(t) for t in texts], np.int64)
-        by_length = np.argsort(lengths, kind="stable")
-        none = np.iinfo(np.int64).max
-        self.ids = np.array([none if ids[i] is None else ids[i] for i in by_length], np.int64)
-        get = queries.vocabulary.get
-        terms, docs, often = [], [], []
-        for d, i in enumerate(by_length):
-            known = np.fromiter((t for t in map(get, texts[i]) if t is not None), np.int64)
-            t, n = np.unique(known, return_counts=True)
-            terms.append(t)
-            docs.append(np.full(len(t), d, np.int64))
-            often.append(n)
+    """Postings of the queries' terms in some segments, by term and document, with the maxima of aligned blocks (cells)."""
+
+    def __init__(self, segments: list[dict], queries: Queries):
+        terms, docs, often, base = [], [], [], 0
+        for s in segments:
+            held, at = queries.known(np.frombuffer(s["terms"], np.uint64))
+            counts = np.frombuffer(s["counts"], np.int32).astype(np.int64)
+            own = _ranges((np.cumsum(counts) - counts)[held], counts[held])
+            terms.append(np.repeat(at[held], counts[held]))
+            docs.append(np.frombuffer(s["docs"], np.uint16)[own].astype(np.int64) + base)
+            often.append(np.frombuffer(s["often"], np.uint32)[own])
+            base += s["documents"]
+        ids = np.concatenate([np.frombuffer(s["ids"], np.int64) for s in segments])
+        lengths = np.concatenate([np.frombuffer(s["lengths"], np.int64) for s in segments])
         t, d, n = np.concatenate(terms), np.concatenate(docs), np.concatenate(often)
-        impact = queries.weights[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[by_length][d] / queries.mean))
-        order = np.argsort(t, kind="stable")
-        self.docs, self.impact, t = d[order], impact[order], t[order]
+        impact = queries.weights[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[d] / queries.mean))
+        found = np.bincount(t, minlength=len(queries.vocabulary))
+        order = self._together(t, d, impact, found, lengths)
+        self.ids = ids[order]
+        place = np.empty(base, np.int64)
+        place[order] = np.arange(base)
+        d = place[d]
+        sort = np.argsort(t * base + d)
+        self.docs, self.impact, t = d[sort].astype(np.int32), impact[sort], t[sort]
         self.at = np.searchsorted(t, np.arange(len(queries.vocabulary) + 1))
-        self.blocks = -(-len(texts) // BLOCK)
+        self.blocks = -(-base // BLOCK)
         cell = t * self.blocks + self.docs // BLOCK
-        self.cell_at = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block = cell[self.cell_at] % max(1, self.blocks)
-        self.cell_most = np.maximum.reduceat(self.impact, self.cell_at) if len(cell) else np.zeros(0)
-        self.cell_of = np.searchsorted(self.cell_at, self.at)
-        self.cell_at = np.r_[self.cell_at, len(cell)]
-
-    def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rounded scores and ids of the k best, by falling score, then id."""
-        cells = _ranges(self.cell_of[terms], self.cell_of[terms + 1] - self.cell_of[terms])
-        block = self.cell_block[cells]
-        bound = np.bincount(block, self.cell_most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.zeros(len(self.ids))
-        done, batch, floor = 0, max(1, 4 * k // BLOCK), 0.0
-        while done < len(order):
-            reach = int(np.searchsorted(-bound[order], -(floor - 10.0**-DECIMALS), "right"))
-            if done >= reach:
-                break
-            if 2 * reach > len(self.ids) // BLOCK and batch > 4:
-                own = _ranges(self.at[terms], self.at[terms + 1] - self.at[terms])
-                scores = np.bincount(self.docs[own], self.impact[own], len(self.ids))
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : min(reach, done + batch)]] = True
-            c = cells[chosen[block]]
-            own = _ranges(self.cell_at[c], self.cell_at[c + 1] - self.cell_at[c])
-            scores += np.bincount(self.docs[own], self.impact[own], len(self.ids))
-            done, batch = done + batch, 2 * batch
-            if np.count_nonzero(scores) >= k:
-                floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores > 0)
-        if len(some) > k:
-            least = np.partition(scores[some], len(some) - k)[len(some) - k]
-            some = some[scores[some] >= least - 2 * 10.0**-DECIMALS]
-        rounded = np.round(scores[some], DECIMALS)
-        first = np.lexsort((self.ids[some], -rounded))[:k]
-        return rounded[first], self.ids[some[first]]
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.cell_block = cell[at] % max(1, self.blocks)
+        self.cell_most = np.maximum.reduceat(self.impact, at) if len(cell) else np.zeros(0)
+        self.cell_of = np.searchsorted(cell[at], np.arange(len(queries.vocabulary) + 1) * self.blocks)
+        self.cell_at = np.r_[at, len(cell)]
+        size = np.diff(self.cell_at)
+        full = np.flatnonzero(size >= DENSE)
+        self.cell_row = np.full(len(size), -1)
+        self.cell_row[full] = np.arange(len(full))
+        self.rows = np.zeros((len(full), BLOCK))
+        own = _ranges(self.cell_at[full], size[full])
+        self.rows[np.repeat(np.arange(len(full)), size[full]), self.docs[own] % BLOCK] = self.impact[own]
+        #: Postings that were added up, and that the queries have.
+        self.scored = self.all = 0
 
+    @staticmethod
+    def _together(t: np.ndarray, d: np.ndarray, impact: np.ndarray, found: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """An order of the documents by the frequent term that weighs most in them (which tells languages apart), then length."""
+        often = np.where(2 * found > len(lengths), 0, found)
+        markers = np.argsort(-often, kind="stable")[:MARKERS]
+        number = np.full(len(found), -1)
+        number[markers] = np.arange(len(markers))
+        own = number[t] >= 0
+        weight = np.zeros((len(markers) + 1, len(lengths)))
+        weight[number[t[own]], d[own]] = impact[own]
+        weight[-1] = 1e-300  # documents without a marker
+        return np.lexsort((lengths, np.argmax(weight, 0)))
 
-def search(docs: DataFrame, is_query: Column, k: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``query_id, rank, doc_id, score``: for each row where is_query holds, its k best among all rows, itself included."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    asked = cut(docs.where(is_query & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("query_id"), F.col(text).alias("text")).distinct(), "queries")
-    words = asked.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0.0
-    groups = 1 + int(words // GROUP_TERMS)
-    found: DataFrame | None = None
-    for group in range(groups):
-        queries = Queries([(r["query_id"], r["text"].encode()) for r in asked.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(groups)) == group).toLocalIterator()])
-        _statistics(rows, queries)
-        part = _run(rows, spark.sparkContext.broadcast(queries), k)
-        if groups > 1:
-            part = cut(part, "found")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    def _rare(self, cells: np.ndarray, at: np.ndarray, blocks: int) -> np.ndarray:
+        """Scores (blocks x BLOCK) of the postings of cells, each of which belongs to a block at."""
+        length = self.cell_at[cells + 1] - self.cell_at[cells]
+        own = _ranges(self.cell_at[cells], length)
+        self.scored += len(own)
+        return np.bincount(np.repeat(at * BLOCK, length) + self.docs[own] % BLOCK, self.impact[own], blocks * BLOCK).astype(float).reshape(blocks, BLOCK)
 
+    def _frequent(self, scores: np.ndarray, cells: np.ndarray, at: np.ndarray) -> None:
+        """Add the cells kept as rows, ordered by the block at that each belongs to."""
+        if len(cells):
+            start = np.flatnonzero(np.diff(at, prepend=-1))
+            scores[at[start]] += np.add.reduceat(self.rows[self.cell_row[cells]], start, 0)
+            self.scored += int((self.cell_at[cells + 1] - self.cell_at[cells]).sum())
 
-def _statistics(rows: DataFrame, queries: Queries) -> None:
-    """Weights from all documents."""
-    shared = rows.sparkSession.sparkContext.broadcast(queries.vocabulary)
+    def best(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rounded scores and ids of the k best that reach the floor, by falling score, then id."""
+        cells = _ranges(self.cell_of[terms], self.cell_of[terms + 1] - self.cell_of[terms])
+        self.all += int((self.at[terms + 1] - self.at[terms]).sum())
+        block, most = self.cell_block[cells], self.cell_most[cells]
+        bound = np.bincount(block, most, self.blocks)
+        least = floor - MARGIN
+        pivots = np.argsort(-bound, kind="stable")
+        pivots = pivots[: np.count_nonzero((bound > 0) & (bound >= least))]
+        turn = np.full(self.blocks, len(pivots), np.int16 if self.blocks < 2**15 else np.int32)
+        turn[pivots] = np.arange(len(pivots))
+        at = turn[block]
+        order = np.argsort(at, kind="stable")
+        cells, most, at = cells[order], most[order], at[order].astype(np.int64)
+        frequent = self.cell_row[cells] >= 0
+        start = np.searchsorted(at, np.arange(len(pivots) + 1))
+        done, batch = 0, 32 if floor > 0 else max(1, 2 * k // BLOCK)
+        scores, docs, top = [], [], np.zeros(0)
+        while done < len(pivots):
+            blocks = min(batch, len(pivots) - done)
+            own = slice(start[done], start[done + blocks])
+            c, turn_of, later = cells[own], at[own] - done, frequent[own]
+            found = self._rare(c[~later], turn_of[~later], blocks)
+            if least > 0:  # blocks that the frequent terms cannot lift to the floor are left
+                rest = np.bincount(turn_of[later], most[own][later], blocks)
+                open_ = found.max(1) + rest >= least
+                found[~open_] = 0
+                later &= open_[turn_of]
+            self._frequent(found, c[later], turn_of[later])
+            i, j = np.nonzero(found > max(0.0, least))
+            new = found[i, j]
+            scores.append(new)
+            docs.append(pivots[done + i] * BLOCK + j)
+            top = np.concatenate([top, new])
+            if len(top) >= k:
+                top = np.partition(top, len(top) - k)[len(top) - k :]
+                least = max(least, top[0] - MARGIN)
+            done, batch = done + blocks, 4 * batch
+            reach = int(np.searchsorted(-bound[pivots], -least, "right"))
+            if reach < len(pivots):
+                pivots = pivots[: max(done, reach)]
+        if not scores:
+            return np.zeros(0), np.zeros(0, np.int64)
+        scores, docs = np.concatenate(scores), np.concatenate(docs)
+        some = scores >= least
+        rounded, ids = np.round(scores[some], DECIMALS), self.ids[docs[some]]
+        first = np.lexsort((ids, -rounded))[:k]
+        return rounded[first], ids[first]
 
-    def run(batches):
-        vocabulary = shared.value
-        found = np.zeros(len(vocabulary), np.int64)
-        documents = words = 0
-        for whole in batches:
-            for batch in slices(whole):
-                for text in utf8(batch.column(0)):
-                    own = words_of(text, ALNUM_FOLD)
-                    if own:
-                        documents, words = documents + 1, words + len(own)
-                        found[[t for t in map(vocabulary.get, set(own)) if t is not None]] += 1
+
+def _group(tables: Scratch, index: DataFrame, groups: int, group: int) -> Queries:
+    """The queries of a group, with weights from all documents."""
+    spark = index.sparkSession
+    own = index.where((F.col("kind") == 1) & (F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group)).select("query_id", "terms").distinct().toArrow()
+    queries = Queries(list(zip(own.column("query_id").to_pylist(), own.column("terms").to_pylist(), strict=True)))
+    shared = spark.sparkContext.broadcast(queries)
+
+    @frugal
+    def count(batches):
+        queries = shared.value
+        found = np.zeros(len(queries.vocabulary), np.int64)
+        if len(found):
+            for batch in batches:
+                for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held, at = queries.known(np.frombuffer(terms, np.uint64))
+                    found[at[held]] += np.frombuffer(counts, np.int32)[held]
         at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[documents, words, found[at]])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["term", "n"])
 
-    summed = rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the group at most
-    term, n = summed.column("term").to_numpy(), summed.column("n").to_numpy()
+    segments = index.where("kind = 0")
+    summed = segments.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the group at most
+    shared.destroy()
     found = np.zeros(len(queries.vocabulary), np.int64)
-    found[term[term >= 0]] = n[term >= 0]
-    queries.weigh(found, int(n[term == -2].sum()), int(n[term == -1].sum()))
+    found[summed.column("term").to_numpy()] = summed.column("n").to_numpy()
+    total = segments.agg(F.sum("documents"), F.sum("words")).first()
+    queries.weigh(found, total[0] or 0, total[1] or 0)
+    return queries
 
 
-def _run(rows: DataFrame, shared, k: int) -> DataFrame:
-    def answers(ids: list, texts: list, queries: Queries) -> Iterator[pa.RecordBatch]:
-        if not ids:
-            return
-        shard = Shard(ids, texts, queries)
-        none = np.iinfo(np.int64).max
+def _run(segments: DataFrame, shared, k: int) -> DataFrame:
+    def answers(held: list[dict], queries: Queries) -> Iterator[pa.RecordBatch]:
+        shard = Shard(held, queries)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for n, (query, terms) in enumerate(queries.terms, 1):
-            scores, found = shard.best(terms, k)
+        for n, query in enumerate(queries.ids):
+            scores, found = shard.best(queries.of(n), k, queries.floors[n])
             out.append((np.full(len(scores), query), found, scores))
-            if len(out) == 1024 or n == len(queries.terms):
+            if len(out) == 1024 or n + 1 == len(queries.ids):
                 q, d, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64(), mask=d == none), pa.array(s)], ["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64(), mask=d == NO_ID), pa.array(s)], ["query_id", "doc_id", "score"])
                 out = []
 
+    @frugal
     def run(batches):
-        queries = shared.value
-        ids, texts, size = [], [], 0
-        for whole in batches:
-            for batch in slices(whole):
-                for i, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                    words = words_of(text, ALNUM_FOLD)
-                    if words:
-                        ids.append(i)
-                        texts.append(words)
-                        size += len(text)
-                    if size >= SHARD_BYTES:
-                        yield from answers(ids, texts, queries)
-                        ids, texts, size = [], [], 0
-        yield from answers(ids, texts, queries)
+        queries, held, words = shared.value, [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append(row)
+                words += row["words"]
+                if words >= SHARD_WORDS:
+                    yield from answers(held, queries)
+                    held, words = [], 0
+        if held:
+            yield from answers(held, queries)
+
+    return segments.select("documents", "words", "terms", "counts", "ids", "lengths", "docs", "often").mapInArrow(run, RESULT)
+
 
-    return rows.mapInArrow(run, RESULT)
+def search(docs: DataFrame, is_query: Column, k: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``query_id, rank, doc_id, score``: for each row where is_query holds, its k best among all rows, itself included."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    tables = Scratch(spark)
+    number = F.col(doc_id).cast("long")
+    rows = docs.select(number.alias("doc_id"), F.col(text).alias("text"), F.coalesce(is_query & number.isNotNull(), F.lit(False)).alias("asked"))
+    index = tables.cut(_index(rows), "index")
+    size = index.agg(F.sum(F.octet_length("terms") * (F.col("kind") == 1).cast("int")), F.sum((F.col("kind") == 0).cast("int"))).first()
+    groups = 1 + int((size[0] or 0) // (8 * GROUP_TERMS))
+    every = -(-(size[1] or 0) // PILOTS)
+    pilot = F.pmod(F.xxhash64("ids"), F.lit(max(1, every))) == 0
+    segments = index.where("kind = 0")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    found: DataFrame | None = None
+    for group in range(groups):
+        queries = _group(tables, index, groups, group)
+        shared = spark.sparkContext.broadcast(queries)
+        if every > 2:
+            first = tables.cut(_run(segments.where(pilot), shared, k), f"pilot{group}")
+            shared.destroy()
+            reached = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row for each query of the group at most
+            floors = dict(zip(reached.column("query_id").to_pylist(), reached.column("score").to_pylist(), strict=True))
+            queries.floors = np.array([floors.get(i, 0.0) for i in queries.ids])
+            shared = spark.sparkContext.broadcast(queries)
+            part = tables.cut(_run(segments.where(~pilot), shared, k), f"found{group}").unionByName(first)
+        else:
+            part = tables.cut(_run(segments, shared, k), f"found{group}")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    tables.drop("index")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
