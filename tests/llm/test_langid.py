@@ -1,5 +1,6 @@
 import random
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, queries
@@ -62,3 +63,24 @@ def test_copies_leave_the_sample_as_it_is(spark):
     copies = lambda n: spark.range(n).select(F.lit("copy of one text").alias("text"), F.lit("aa").alias("lang"))
     once, often = (dict(langid.learn(texts.union(copies(n))).dictionaries) for n in (1, 500_000))
     assert len(once["aa"]) > 20_000 and often == once
+
+
+def test_numerals_are_no_letters():
+    classify = langid.Classifier(langid.Model((("aa", b"the quick brown fox " * 20),)))
+    assert [classify(t)[0] for t in ("\u00b2 \u00bd \u2460", "\u2167 12_3", "a", "\u00e9 5", "\u4e2d")] == ["und", "und", "aa", "aa", "aa"]
+
+
+def test_sizes_against_compression_of_whole_blocks(spark):
+    """The smallest of plainly compressed blocks decides, dictionary by dictionary."""
+    df = spark.createDataFrame(rows(), SCHEMA)
+    model = langid.learn(df)
+    classify = langid.Classifier(model)
+    for _, text, *_ in rows()[:60]:
+        long = " ".join([text] * 12)
+        data = " ".join("".join(c if c.isalpha() else " " for c in long.lower()).split()).encode()
+        assert langid.normalized(long).split() == data.split()
+        sizes = []
+        for _, own in model.dictionaries:
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            sizes.append(sum(len(packer.compress(data[i : i + langid.BLOCK_BYTES])) for i in range(0, len(data), langid.BLOCK_BYTES)))
+        assert classify(long)[0] == model.dictionaries[min(range(len(sizes)), key=sizes.__getitem__)][0]

@@ -45,3 +45,10 @@ def test_parser():
     assert p("") is None and p("and A") is None and p("(A") is None and p(") A") is None
     assert licenses.permits(p("GPL-3.0 or MIT"), {"mit"}) and not licenses.permits(p("GPL-3.0 and MIT"), {"mit"})
     assert licenses.permits(p("MIT with X"), {"mit"})
+
+
+def test_tags_without_an_identifier_give_no_label():
+    automaton = licenses.build_automaton(licenses.BASE_PHRASES, licenses.MORE_PHRASES)
+    for tag in (" ...", " -", " .", ""):
+        assert licenses.scan_text(f"MIT License SPDX-License-Identifier:{tag}".encode(), automaton)[4:6] == ("mit", "mit")
+    assert licenses.parse_expression("MIT. - (see there") == ["mit"]

@@ -3,6 +3,7 @@ import random
 import re
 
 from tidemark.llm import secrets
+from tidemark.llm.common import code_point_offsets
 
 KINDS = ["assign", "access", "hex"]
 
@@ -49,3 +50,10 @@ def test_more_kinds(spark):
     text = "ghp_" + "a1B2" * 9 + " xoxb-1234567890-abc -----BEGIN RSA PRIVATE KEY-----"
     (row,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [s.split(":")[0] for s in row.spans.split(",")] == ["github", "slack", "pem"] and row.n_hex == 0
+
+
+def test_code_points_of_a_long_text():
+    text = "é中a\U0001f600" * 50_000
+    data = text.encode()
+    places = [0, len(data), len("é中a".encode()) + 10 * 10_000]
+    assert code_point_offsets(data, places) == [len(data[:p].decode()) for p in places]

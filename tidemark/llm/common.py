@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,7 +181,8 @@ def ascii_only(text: bytes) -> bool:
 
 def code_point_offsets(text: bytes, positions: list[int]) -> list[int]:
     """Byte positions of a UTF-8 text, ascending or not, as code points."""
-    if text.isascii():
+    if text.isascii() or not positions:
         return list(positions)
-    return [len(text[:p].decode("utf-8", "replace")) for p in positions]
+    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    return np.r_[0, np.cumsum(begins)][positions].tolist()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, slices, utf8, words_of
+from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, frugal, slices, utf8, words_of
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words are a shingle themselves.
@@ -135,9 +135,11 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         windows = Windows(((r["item"], r["text"].encode()) for r in rows), window, shingle)
         windows.order(_document_counts(state, windows))
-        state = _join_block(state, spark.sparkContext.broadcast(windows), block == 0, block == blocks - 1)
+        shared = spark.sparkContext.broadcast(windows)
+        state = _join_block(state, shared, block == 0, block == blocks - 1)
         if block < blocks - 1:
             state = cut(state, "decontaminate")
+            shared.destroy()
     return state
 
 
@@ -145,6 +147,7 @@ def _document_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]
     """How often each shingle of the windows stands in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast((windows.vocabulary, windows.shingles))
 
+    @frugal
     def run(batches):
         vocabulary, shingles = shared.value
         counts = {s: np.zeros(len(c), np.int64) for s, c in shingles.items()}
@@ -164,12 +167,14 @@ def _document_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]
     summed = docs.select("text").mapInArrow(run, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n"))
     for r in summed.toLocalIterator():  # no more rows than the block has shingles
         counts[r["size"]][r["at"]] = r["n"]
+    shared.destroy()
     return counts
 
 
 def _join_block(state: DataFrame, shared, first: bool, last: bool) -> DataFrame:
     carried = ["row"] if "row" in state.columns else []
 
+    @frugal
     def run(batches):
         windows = shared.value
         for whole in batches:

@@ -12,15 +12,15 @@ have any names.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import frugal, slices
 
 #: Sample: so many texts a language at most, PIECES pieces of PIECE_CHARS of each; the dictionary holds the first bytes of these.
 SAMPLE_TEXTS = 256
@@ -35,7 +35,8 @@ SHORT_BYTES, FILLER = 1024, b"0123456789" * 12
 MIN_MARGIN = 0.005
 #: Margin at which the score is one half.
 HALF_SCORE = 0.02
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is no letter by its Unicode category; numerals and marks are none.
+NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
 @dataclass(frozen=True)
@@ -120,6 +121,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """docs with one more column, a struct (lang, score, rejected) named into."""
 
+    @frugal
     def run(batches):
         classify = Classifier(model)
         for whole in batches:

@@ -37,7 +37,7 @@ MORE_PHRASES = {
 }
 TAG_PHRASE = "spdx license identifier"
 TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 #: Labels under which a text may be used freely; an expression is permitted when it can be met by these alone.
 PERMISSIVE = frozenset({"mit", "apache", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "bsl-1.0", "unlicense", "cc0-1.0", "zlib", "public-domain"})
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}

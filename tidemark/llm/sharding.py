@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -94,7 +94,6 @@ def shard(docs: DataFrame, tree: list[Shard], key: str = "doc_id", text: str = "
     Repeated rows get slots of their own. Slots are counted in two steps, so that no task holds a shard: rows within
     (shard, part), and parts' offsets from their counts, of which there are at most shards x SLOT_PARTS.
     """
-    spark = docs.sparkSession
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     crc = F.coalesce(F.crc32(F.encode(F.col(text), "utf-8")), F.lit(0)).cast("long")
     placed = docs.select(
@@ -106,13 +105,7 @@ def shard(docs: DataFrame, tree: list[Shard], key: str = "doc_id", text: str = "
     ).withColumn("part", F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"))), 1, 3), 16, 10).cast("int") % SLOT_PARTS)
     placed = cut(placed, "placed")
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    counts.createOrReplaceTempView("tidemark_shard_parts")
-    placed.createOrReplaceTempView("tidemark_shard_rows")
-    return spark.sql("""
-        SELECT r.doc_id, r.size, r.text_crc32, r.shard,
-               o.base + row_number() OVER (PARTITION BY r.shard, r.part ORDER BY r.doc_id, r.text_crc32) - 1 AS slot,
-               r.grown_shard
-        FROM tidemark_shard_rows r
-        JOIN (SELECT /*+ BROADCAST */ shard, part, sum(n) OVER (PARTITION BY shard ORDER BY part) - n AS base
-              FROM tidemark_shard_parts) o
-        ON r.shard = o.shard AND r.part = o.part""")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")
+    bases = counts.select("shard", "part", before.alias("base"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
+    return placed.join(bases, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + place - 1).alias("slot"), "grown_shard")
