@@ -54,36 +54,26 @@ def _nodes(tree: list[Shard]) -> dict[str, float]:
     return weights
 
 
-def _draw(key: Column, path: str, weight: float) -> Column:
-    digits = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(path))), 1, DRAW_DIGITS), 16, 10).cast("double")
-    return -F.log((digits + 1.0) / float(16**DRAW_DIGITS + 1)) / F.lit(weight)
-
-
-def _least(key: Column, paths: list[str], weights: dict[str, float]) -> Column:
-    """Index in paths of the smallest draw; the first on ties."""
-    if len(paths) == 1:
-        return F.lit(0)
-    draws = [F.struct(_draw(key, p, weights[p]).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(paths)]
-    return F.array_min(F.array(*draws))["i"]
+def _draw(key: Column, path: Column, weight: Column) -> Column:
+    digits = F.conv(F.substring(F.md5(F.concat_ws("|", key, path)), 1, DRAW_DIGITS), 16, 10).cast("double")
+    return -F.log((digits + 1.0) / float(16**DRAW_DIGITS + 1)) / weight
 
 
 def shard_column(key: Column, tree: list[Shard]) -> Column:
-    """The shard number of a key. The expression has one branch per rack; only the branch taken is evaluated."""
+    """The shard number of a key. The tree is a literal map from each node to its children, so that the expression stays as
+    small as the path and only the children on it draw; the first child wins a tie."""
     weights = _nodes(tree)
-    numbers = {f"{s.region}/{s.rack}/{s.slot}": s.number for s in tree}
-
-    def choose(prefix: str, depth: int) -> Column:
-        paths = sorted((p for p in weights if p.count("/") == depth and p.startswith(prefix)), key=lambda p: [int(x) for x in p.split("/")])
-        picked = _least(key, paths, weights)
-        below = [F.lit(numbers[p]) if depth == 2 else choose(p + "/", depth + 1) for p in paths]
-        if len(below) == 1:
-            return below[0]
-        out = F.when(picked == 0, below[0])
-        for i, b in enumerate(below[1:], 1):
-            out = out.when(picked == i, b)
-        return out
-
-    return choose("", 0).cast("int")
+    children: dict[str, list[str]] = {}
+    for path in sorted(weights, key=lambda p: [int(x) for x in p.split("/")]):
+        children.setdefault(path.rpartition("/")[0], []).append(path)
+    child = lambda i, p: F.struct(F.lit(i).alias("i"), F.lit(p).alias("path"), F.lit(weights[p]).alias("weight"))
+    below = F.create_map(*[x for p, own in children.items() for x in (F.lit(p), F.array(*[child(i, c) for i, c in enumerate(own)]))])
+    numbers = F.create_map(*[x for s in tree for x in (F.lit(f"{s.region}/{s.rack}/{s.slot}"), F.lit(s.number))])
+    at = F.lit("")
+    for _ in range(3):
+        drawn = F.transform(F.element_at(below, at), lambda c: F.struct(_draw(key, c["path"], c["weight"]).alias("d"), c["i"].alias("i"), c["path"].alias("path")))
+        at = F.array_min(drawn)["path"]
+    return F.element_at(numbers, at).cast("int")
 
 
 def shard(docs: DataFrame, tree: list[Shard], key: str = "doc_id", text: str = "text") -> DataFrame:
