@@ -1,56 +1,27 @@
-"""Further two- and three-candle shapes: harami, piercing line, dark cloud cover, dojis with one long wick, doji stars."""
+"""Further shapes of two and three candles, written like those of candles."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.operators.candles import CONFIG, CandleConfig, detectors
+from tidemark.operators.candles import STAR, Shape, observations
 
+_HELD = "x1.loses AND x1.body >= 0.5 AND greatest(x0.start, x0.end) < greatest(x1.start, x1.end) AND least(x0.start, x0.end) > least(x1.start, x1.end)"
 
-def shapes(cfg: CandleConfig = CONFIG) -> dict[str, Column]:
-    """Masks over with_lags() columns."""
-    c = F.col
-    both = c("usable") & F.coalesce(c("usable_1"), F.lit(False))
-    large_before, large, small, doji = c("body_ratio_1") >= cfg.large_body, c("body_ratio") >= cfg.large_body, c("body_ratio") <= cfg.small_body, c("body_ratio") <= cfg.doji_body
-    inside = (F.greatest("open", "close") < F.greatest("open_1", "close_1")) & (F.least("open", "close") > F.least("open_1", "close_1"))
-    middle = (c("open_1") + c("close_1")) / 2
-    fell_rose = (c("direction_1") == "bearish") & (c("direction") == "bullish")
-    rose_fell = (c("direction_1") == "bullish") & (c("direction") == "bearish")
-    out = {}
-    for side, before in (("bullish", "bearish"), ("bearish", "bullish")):
-        common = both & large_before & inside & (c("direction_1") == before)
-        out[f"{side}_harami"] = common & small & ~doji & (c("direction") == side)
-        out[f"{side}_harami_cross"] = common & doji
-    out["piercing_line"] = both & large_before & large & fell_rose & (c("open") < c("low_1")) & (c("close") > middle) & (c("close") < c("open_1"))
-    out["dark_cloud_cover"] = both & large_before & large & rose_fell & (c("open") > c("high_1")) & (c("close") < middle) & (c("close") > c("open_1"))
-    out["dragonfly_doji"] = c("usable") & doji & (c("lower_wick_ratio") >= 0.6) & (c("upper_wick_ratio") <= 0.1)
-    out["gravestone_doji"] = c("usable") & doji & (c("upper_wick_ratio") >= 0.6) & (c("lower_wick_ratio") <= 0.1)
-    stars = detectors(cfg)
-    for side in ("morning", "evening"):
-        out[f"{side}_doji_star"] = stars[f"{side}_star"][0] & (c("body_ratio_1") <= cfg.doji_body)
-    return out
+#: The shapes, with fixed values for their names and thresholds.
+MORE_SHAPES = (
+    Shape("reversal", 2, f"{_HELD} AND x0.gains AND x0.body <= 0.3 AND x0.body > 0.1", (), "bullish_harami", "bearish_harami"),
+    Shape("reversal", 2, f"{_HELD} AND x0.body <= 0.1", (), "bullish_harami_cross", "bearish_harami_cross"),
+    Shape(
+        "reversal", 2,
+        "x1.loses AND x0.gains AND x1.body >= 0.5 AND x0.body >= 0.5 AND x0.start < x1.pit AND x0.end > (x1.start + x1.end) / 2 AND x0.end < x1.start",
+        (), "piercing_line", "dark_cloud_cover",
+    ),
+    Shape("indecision", 1, "x0.body <= 0.1 AND x0.tail >= 0.6 AND x0.nose <= 0.1", (), "dragonfly_doji", "gravestone_doji"),
+    Shape("reversal", 3, f"{STAR} AND x1.body <= 0.1", (), "morning_doji_star", "evening_doji_star"),
+)
 
 
-def recognised(lagged: DataFrame, cfg: CandleConfig = CONFIG) -> DataFrame:
-    """symbol, ts, pattern: a row for each shape that a bar completes."""
-    names = F.array(*[F.when(F.coalesce(mask, F.lit(False)), F.lit(name)) for name, mask in shapes(cfg).items()])
-    return lagged.select("symbol", "ts", F.explode(F.filter(names, lambda n: n.isNotNull())).alias("pattern"))
-
-
-_TWO = "usable AND u1 AND br1 >= 0.5"
-_INSIDE = "greatest(open, close) < greatest(o1, c1) AND least(open, close) > least(o1, c1)"
-_SHAPE = "br2 >= 0.5 AND br1 <= 0.3 AND body_ratio >= 0.5 AND br1 <= 0.1 AND usable AND u1 AND u2"
-#: The same masks in SQL over lags named o1, c1 and so on.
-ORACLE = {
-    "bullish_harami": f"{_TWO} AND {_INSIDE} AND d1 = 'bearish' AND body_ratio <= 0.3 AND body_ratio > 0.1 AND direction = 'bullish'",
-    "bearish_harami": f"{_TWO} AND {_INSIDE} AND d1 = 'bullish' AND body_ratio <= 0.3 AND body_ratio > 0.1 AND direction = 'bearish'",
-    "bullish_harami_cross": f"{_TWO} AND {_INSIDE} AND d1 = 'bearish' AND body_ratio <= 0.1",
-    "bearish_harami_cross": f"{_TWO} AND {_INSIDE} AND d1 = 'bullish' AND body_ratio <= 0.1",
-    "piercing_line": f"{_TWO} AND body_ratio >= 0.5 AND d1 = 'bearish' AND direction = 'bullish' AND open < l1 AND close > (o1 + c1) / 2 AND close < o1",
-    "dark_cloud_cover": f"{_TWO} AND body_ratio >= 0.5 AND d1 = 'bullish' AND direction = 'bearish' AND open > h1 AND close < (o1 + c1) / 2 AND close > o1",
-    "dragonfly_doji": "usable AND body_ratio <= 0.1 AND lower_wick_ratio >= 0.6 AND upper_wick_ratio <= 0.1",
-    "gravestone_doji": "usable AND body_ratio <= 0.1 AND upper_wick_ratio >= 0.6 AND lower_wick_ratio <= 0.1",
-    "morning_doji_star": f"{_SHAPE} AND d2 = 'bearish' AND direction = 'bullish' AND greatest(o1, c1) <= c2 AND round((close - c2) / (o2 - c2), 10) >= 0.5",
-    "evening_doji_star": f"{_SHAPE} AND d2 = 'bullish' AND direction = 'bearish' AND least(o1, c1) >= c2 AND round((c2 - close) / (c2 - o2), 10) >= 0.5",
-}
+def recognised(g: DataFrame) -> DataFrame:
+    """symbol, ts, pattern: a row for each of these shapes that a bar of the geometry completes."""
+    return observations(g, MORE_SHAPES).select("symbol", "ts", "pattern")

@@ -86,17 +86,43 @@ def _masks() -> dict[str, tuple[str, str]]:
 OBSERVATION_COLUMNS = "symbol, ts, pattern, family, bars, orientation, context_required, trend_before, context_met, strength, first_bar_ts"
 
 
-def _observation(p: candles.Pattern) -> str:
-    mask, strength = _masks()[p.name]
-    before, first = ("prior_trend", "ts") if p.bars == 1 else (f"t{p.bars - 1}", f"ts{p.bars - 1}")
-    context = f"'{p.context}'" if p.context else "CAST(NULL AS VARCHAR)"
-    met = f"coalesce({before} = '{p.context}', false)" if p.context else "CAST(NULL AS BOOLEAN)"
-    way = f"'{p.orientation}'" if p.orientation else "direction"
-    hit = f"({mask})" + (f" AND {before} = '{p.context}'" if p.named_by_context else "")
-    return f"SELECT symbol, ts, '{p.name}' AS pattern, '{p.family}' AS family, {p.bars} AS bars, {way} AS orientation, {context} AS context_required, {before} AS trend_before, {met} AS context_met, {sql.settled(strength)} AS strength, {first} AS first_bar_ts FROM x WHERE {hit}"
-
-
-OBSERVATIONS_CTE = f"{sql.BARS}, {GEOMETRY}, x AS (SELECT *, {LAGS} FROM g), obs AS ({' UNION ALL '.join(_observation(p) for p in candles.PATTERNS)})"
+#: pattern, family, bars, orientation, trend asked for, whether the name hangs on it.
+LISTED = """
+doji indecision 1 neutral - -
+spinning_top indecision 1 neutral - -
+marubozu momentum 1 own - -
+long_body momentum 1 own - -
+hammer reversal 1 bullish down named
+hanging_man reversal 1 bearish up named
+inverted_hammer reversal 1 bullish down named
+shooting_star reversal 1 bearish up named
+bullish_engulfing reversal 2 bullish down -
+bearish_engulfing reversal 2 bearish up -
+tweezer_bottom reversal 2 bullish down -
+tweezer_top reversal 2 bearish up -
+inside_bar structure 2 neutral - -
+outside_bar structure 2 neutral - -
+morning_star reversal 3 bullish down -
+evening_star reversal 3 bearish up -
+three_white_soldiers continuation 3 bullish - -
+three_black_crows continuation 3 bearish - -
+rising_three_methods continuation 5 bullish - -
+falling_three_methods continuation 5 bearish - -
+"""
+
+
+def _observation(listed: str) -> str:
+    name, family, bars, way, trend, named = listed.split()
+    mask, strength = _masks()[name]
+    before, first = ("prior_trend", "ts") if bars == "1" else (f"t{int(bars) - 1}", f"ts{int(bars) - 1}")
+    context = "CAST(NULL AS VARCHAR)" if trend == "-" else f"'{trend}'"
+    met = "CAST(NULL AS BOOLEAN)" if trend == "-" else f"coalesce({before} = '{trend}', false)"
+    hit = f"({mask})" + (f" AND {before} = '{trend}'" if named == "named" else "")
+    side = "direction" if way == "own" else f"'{way}'"
+    return f"SELECT symbol, ts, '{name}' AS pattern, '{family}' AS family, {bars} AS bars, {side} AS orientation, {context} AS context_required, {before} AS trend_before, {met} AS context_met, {sql.settled(strength)} AS strength, {first} AS first_bar_ts FROM x WHERE {hit}"
+
+
+OBSERVATIONS_CTE = f"{sql.BARS}, {GEOMETRY}, x AS (SELECT *, {LAGS} FROM g), obs AS ({' UNION ALL '.join(_observation(p) for p in LISTED.split(chr(10)) if p)})"
 OBSERVATIONS_SQL = f"WITH {OBSERVATIONS_CTE} SELECT {OBSERVATION_COLUMNS} FROM obs"
 
 
@@ -105,7 +131,7 @@ def flt_18_geometry(spark, sf_dir):
 
 
 def observations(spark, sf_dir):
-    return candles.observations(candles.geometry(item_bars(spark, sf_dir)))
+    return candles.observations(candles.geometry(item_bars(spark, sf_dir))).withColumn("strength", settled(F.col("strength")))
 
 
 def cdl_17_observations(spark, sf_dir):
@@ -160,10 +186,27 @@ TOPK_01_SQL = f"WITH {OBSERVATIONS_CTE} SELECT symbol, ts, pattern, row_number()
 
 
 def cdl_18_knowledge(spark, sf_dir):
-    return knowledge.recognised(candles.with_lags(candles.geometry(item_bars(spark, sf_dir))))
-
-
-CDL_18_SQL = f"WITH {sql.BARS}, {GEOMETRY}, x AS (SELECT *, {LAGS} FROM g) " + " UNION ALL ".join(f"SELECT symbol, ts, '{n}' AS pattern FROM x WHERE {m}" for n, m in knowledge.ORACLE.items())
+    return knowledge.recognised(candles.geometry(item_bars(spark, sf_dir)))
+
+
+_TWO = "usable AND u1 AND br1 >= 0.5"
+_INSIDE = "greatest(open, close) < greatest(o1, c1) AND least(open, close) > least(o1, c1)"
+_SHAPE = "br2 >= 0.5 AND br1 <= 0.3 AND body_ratio >= 0.5 AND br1 <= 0.1 AND usable AND u1 AND u2"
+#: Masks over lags named o1, c1 and so on.
+KNOWLEDGE = {
+    "bullish_harami": f"{_TWO} AND {_INSIDE} AND d1 = 'bearish' AND body_ratio <= 0.3 AND body_ratio > 0.1 AND direction = 'bullish'",
+    "bearish_harami": f"{_TWO} AND {_INSIDE} AND d1 = 'bullish' AND body_ratio <= 0.3 AND body_ratio > 0.1 AND direction = 'bearish'",
+    "bullish_harami_cross": f"{_TWO} AND {_INSIDE} AND d1 = 'bearish' AND body_ratio <= 0.1",
+    "bearish_harami_cross": f"{_TWO} AND {_INSIDE} AND d1 = 'bullish' AND body_ratio <= 0.1",
+    "piercing_line": f"{_TWO} AND body_ratio >= 0.5 AND d1 = 'bearish' AND direction = 'bullish' AND open < l1 AND close > (o1 + c1) / 2 AND close < o1",
+    "dark_cloud_cover": f"{_TWO} AND body_ratio >= 0.5 AND d1 = 'bullish' AND direction = 'bearish' AND open > h1 AND close < (o1 + c1) / 2 AND close > o1",
+    "dragonfly_doji": "usable AND body_ratio <= 0.1 AND lower_wick_ratio >= 0.6 AND upper_wick_ratio <= 0.1",
+    "gravestone_doji": "usable AND body_ratio <= 0.1 AND upper_wick_ratio >= 0.6 AND lower_wick_ratio <= 0.1",
+    "morning_doji_star": f"{_SHAPE} AND d2 = 'bearish' AND direction = 'bullish' AND greatest(o1, c1) <= c2 AND round((close - c2) / (o2 - c2), 10) >= 0.5",
+    "evening_doji_star": f"{_SHAPE} AND d2 = 'bullish' AND direction = 'bearish' AND least(o1, c1) >= c2 AND round((c2 - close) / (c2 - o2), 10) >= 0.5",
+}
+
+CDL_18_SQL = f"WITH {sql.BARS}, {GEOMETRY}, x AS (SELECT *, {LAGS} FROM g) " + " UNION ALL ".join(f"SELECT symbol, ts, '{n}' AS pattern FROM x WHERE {m}" for n, m in KNOWLEDGE.items())
 
 QUERIES = {"flt_18_geometry": flt_18_geometry, "cdl_17_observations": cdl_17_observations, "cdl_16_context": cdl_16_context, "agg_39_strongest": agg_39_strongest, "topk_01_ordering": topk_01_ordering, "cdl_18_knowledge": cdl_18_knowledge} | {k: _one(v) for k, v in FAMILIES.items()}
 SQL = {"flt_18_geometry": GEOMETRY_SQL, "cdl_17_observations": OBSERVATIONS_SQL, "cdl_16_context": CDL_16_SQL, "agg_39_strongest": AGG_39_SQL, "topk_01_ordering": TOPK_01_SQL, "cdl_18_knowledge": CDL_18_SQL} | {k: _one_sql(v) for k, v in FAMILIES.items()}
