@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.semantics import rounded
 from tidemark.operators import indicators, metrics, portfolio, statistics, strategies
 from tidemark.plans import sql
-from tidemark.plans.indicator_queries import features
+from tidemark.plans.indicator_queries import STATES_CTE, features
 from tidemark.sources.bars import item_bars
 
-#: What EQUITY_CTE and the SQL on it hold; the queries take all of strategies.BASELINES.
-FAST = (strategies.BUY_AND_HOLD, strategies.SMA_TREND, strategies.SMA_CROSSOVER)
 KEYS = ("symbol", "strategy")
 
 
@@ -30,11 +28,8 @@ def equity(spark, sf_dir, chosen=strategies.BASELINES):
 
 
 K = "PARTITION BY symbol, strategy ORDER BY ts"
-EQUITY_CTE = f"""{sql.BARS},
-i0 AS (SELECT *, {", ".join(sql.full("avg(close)", "close", n) + f" AS sma_{n}" for n in (20, 50, 200))} FROM bars),
-s0 AS (SELECT symbol, ts, open, close, 'buy_and_hold' AS strategy, 1.0 AS asked FROM i0
-  UNION ALL SELECT symbol, ts, open, close, 'sma_trend', CASE WHEN sma_200 IS NULL THEN NULL WHEN close > sma_200 THEN 1.0 ELSE 0.0 END FROM i0
-  UNION ALL SELECT symbol, ts, open, close, 'sma_crossover', CASE WHEN sma_20 IS NULL OR sma_50 IS NULL THEN NULL WHEN sma_20 > sma_50 THEN 1.0 ELSE 0.0 END FROM i0),
+EQUITY_CTE = f"""{STATES_CTE.removeprefix("WITH ")},
+s0 AS (SELECT sig.symbol, sig.ts, bars.open, bars.close, strategy, CASE state WHEN 'LONG' THEN 1.0 WHEN 'FLAT' THEN 0.0 END AS asked FROM sig JOIN bars ON bars.symbol = sig.symbol AND bars.ts = sig.ts),
 s1 AS (SELECT *, CAST(coalesce(last_value(asked IGNORE NULLS) OVER ({K} ROWS UNBOUNDED PRECEDING), 0) AS DOUBLE) AS target FROM s0),
 s2 AS (SELECT *, coalesce(lag(target) OVER ({K}), 0.0) AS position FROM s1),
 s3 AS (SELECT *, coalesce(lag(position) OVER ({K}), 0.0) AS held, lag(close) OVER ({K}) AS last FROM s2),
@@ -47,7 +42,7 @@ METRICS_CTE = f"""
 isl AS (SELECT symbol, strategy, drawdown < 0 AS f, row_number() OVER ({K}) - row_number() OVER (PARTITION BY symbol, strategy, drawdown < 0 ORDER BY ts) AS g FROM eq),
 lens AS (SELECT symbol, strategy, f, g, count(*) AS n FROM isl GROUP BY ALL),
 longest AS (SELECT symbol, strategy, coalesce(max(n) FILTER (f), 0) AS max_drawdown_sessions FROM lens GROUP BY ALL),
-m AS (SELECT symbol, strategy, count(*) AS sessions, arg_max(equity, ts) AS final_equity, arg_max(equity, ts) / 100000.0 - 1 AS cumulative_return, pow(arg_max(equity, ts) / 100000.0, 252.0 / count(*)) - 1 AS cagr,
+met AS (SELECT symbol, strategy, count(*) AS sessions, arg_max(equity, ts) AS final_equity, arg_max(equity, ts) / 100000.0 - 1 AS cumulative_return, pow(arg_max(equity, ts) / 100000.0, 252.0 / count(*)) - 1 AS cagr,
   stddev_samp(daily_return) * sqrt(252.0) AS annualized_volatility, avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(252.0) AS sharpe,
   avg(daily_return) / nullif(sqrt(avg(pow(least(daily_return, 0.0), 2))), 0) * sqrt(252.0) AS sortino, min(drawdown) AS max_drawdown, count(*) FILTER (daily_return IS NULL) AS undefined_returns FROM eq GROUP BY ALL)"""
 METRIC_DOUBLES = "cumulative_return cagr annualized_volatility sharpe sortino max_drawdown"
@@ -62,14 +57,14 @@ def m1_trend_metrics(spark, sf_dir):
     return _scaled(metrics.return_metrics(equity(spark, sf_dir, (strategies.SMA_TREND,)), *KEYS)).drop("cumulative_return")
 
 
-M1_SQL = f"WITH {EQUITY_CTE}, {METRICS_CTE} SELECT m.symbol, m.strategy, sessions, {sql.all_settled('cagr annualized_volatility sharpe sortino max_drawdown')}, {sql.settled('ln(final_equity)', 'log_equity')}, undefined_returns, max_drawdown_sessions FROM m JOIN longest ON longest.symbol = m.symbol AND longest.strategy = m.strategy WHERE m.strategy = 'sma_trend'"
+M1_SQL = f"WITH {EQUITY_CTE}, {METRICS_CTE} SELECT met.symbol, met.strategy, sessions, {sql.all_settled('cagr annualized_volatility sharpe sortino max_drawdown')}, {sql.settled('ln(final_equity)', 'log_equity')}, undefined_returns, max_drawdown_sessions FROM met JOIN longest ON longest.symbol = met.symbol AND longest.strategy = met.strategy WHERE met.strategy = 'sma_trend'"
 
 
 def agg_05_return_metrics(spark, sf_dir):
     return _scaled(metrics.return_metrics(equity(spark, sf_dir), *KEYS)).drop("cumulative_return")
 
 
-AGG_05_SQL = M1_SQL.removesuffix(" WHERE m.strategy = 'sma_trend'")
+AGG_05_SQL = M1_SQL.removesuffix(" WHERE met.strategy = 'sma_trend'")
 
 
 def agg_03_drawdown(spark, sf_dir):
@@ -83,7 +78,7 @@ def agg_11_concentration(spark, sf_dir):
     return rounded(metrics.concentration(equity(spark, sf_dir), *KEYS).withColumnRenamed("log_growth_without_best", "log_rest"))
 
 
-AGG_11_SQL = f"""WITH {EQUITY_CTE}, rk AS (SELECT symbol, strategy, ln(daily_return + 1) AS l, row_number() OVER (PARTITION BY symbol, strategy ORDER BY daily_return DESC, ts) AS r, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM eq WHERE strategy = 'buy_and_hold')
+AGG_11_SQL = f"""WITH {EQUITY_CTE}, rk AS (SELECT symbol, strategy, ln(daily_return + 1) AS l, row_number() OVER (PARTITION BY symbol, strategy ORDER BY daily_return DESC, ts) AS r, count(*) OVER (PARTITION BY symbol, strategy) AS n FROM eq)
 SELECT symbol, strategy, {sql.settled("sum(l) FILTER (r > 10)", "log_rest")}, {sql.settled("sum(l) FILTER (r <= ceil(n * 0.01)) / nullif(sum(l), 0)", "top_share")} FROM rk GROUP BY ALL"""
 
 
@@ -116,7 +111,7 @@ def src_30_returns_matrix(spark, sf_dir):
     return rounded(wide)
 
 
-SRC_30_SQL = f"WITH {EQUITY_CTE} SELECT symbol, ts, " + ", ".join(sql.settled(f"max(daily_return) FILTER (strategy = '{s.name}')", s.name) for s in FAST) + " FROM eq GROUP BY symbol, ts"
+SRC_30_SQL = f"WITH {EQUITY_CTE} SELECT symbol, ts, " + ", ".join(sql.settled(f"max(daily_return) FILTER (strategy = '{s}')", s) for s in "buy_and_hold sma_trend sma_crossover rsi_momentum price_action_trend regime_trend".split()) + " FROM eq GROUP BY symbol, ts"
 
 
 def sim_02_simulation(spark, sf_dir):
@@ -200,7 +195,7 @@ def agg_46_interval(spark, sf_dir):
     return rounded(equity(spark, sf_dir).groupBy(*KEYS).agg(F.percentile("daily_return", F.lit(0.025)).alias("low"), F.percentile("daily_return", F.lit(0.5)).alias("middle"), F.percentile("daily_return", F.lit(0.975)).alias("high"), F.count("daily_return").alias("n")))
 
 
-AGG_46_SQL = f"WITH {EQUITY_CTE} SELECT symbol, {sql.settled('quantile_cont(daily_return, 0.025)', 'low')}, {sql.settled('quantile_cont(daily_return, 0.5)', 'middle')}, {sql.settled('quantile_cont(daily_return, 0.975)', 'high')}, count(daily_return) AS n FROM eq WHERE strategy = 'sma_trend' GROUP BY symbol"
+AGG_46_SQL = f"WITH {EQUITY_CTE} SELECT symbol, strategy, {sql.settled('quantile_cont(daily_return, 0.025)', 'low')}, {sql.settled('quantile_cont(daily_return, 0.5)', 'middle')}, {sql.settled('quantile_cont(daily_return, 0.975)', 'high')}, count(daily_return) AS n FROM eq GROUP BY symbol, strategy"
 
 QUERIES = {
     "m1_trend_metrics": m1_trend_metrics, "agg_05_return_metrics": agg_05_return_metrics, "agg_03_drawdown": agg_03_drawdown, "agg_11_concentration": agg_11_concentration, "agg_25_subperiods": agg_25_subperiods, "agg_12_redundancy": agg_12_redundancy,

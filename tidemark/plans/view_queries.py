@@ -34,7 +34,7 @@ def join_05_staleness(spark, sf_dir):
     return joined.select("k", "ts", F.when(F.col("last").isNull(), -1).otherwise(calendar.weekdays_between(F.col("last"), F.col("ts"))).cast("long").alias("stale"))
 
 
-JOIN_05_SQL = f"""WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ts FROM lineitem WHERE l_returnflag = 'R'), o AS (SELECT DISTINCT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS last FROM orders WHERE o_orderkey % 10 = 0), l AS (SELECT k, ts FROM d, (SELECT DISTINCT k FROM o)),
+JOIN_05_SQL = f"""WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ts FROM lineitem), o AS (SELECT DISTINCT o_orderpriority AS k, CAST(o_orderdate AS DATE) AS last FROM orders), l AS (SELECT k, ts FROM d, (SELECT DISTINCT k FROM o)),
 j AS (SELECT l.k, l.ts, o.last FROM l ASOF LEFT JOIN o ON l.k = o.k AND l.ts >= o.last)
 SELECT k, ts, CAST(CASE WHEN last IS NULL THEN -1 ELSE date_diff('day', DATE '1900-01-01', ts) // 7 * 5 + least(date_diff('day', DATE '1900-01-01', ts) % 7 + 1, 5) - date_diff('day', DATE '1900-01-01', last) // 7 * 5 - least(date_diff('day', DATE '1900-01-01', last) % 7 + 1, 5) END AS BIGINT) AS stale FROM j"""
 
