@@ -108,12 +108,12 @@ SRC_01_SQL = f"WITH {sql.BARS} SELECT symbol, ts, {sql.all_settled('open high lo
 
 
 def src_20_decimals(spark, sf_dir):
-    """Stored form of prices and volume; the half-way cases of a sixth decimal go away from zero."""
+    """Stored form of prices and volume; the digits of a double that lie half-way go away from zero."""
     b = item_bars(spark, sf_dir)
-    return b.select("symbol", "ts", (F.col("close") + 1e-9).cast("decimal(18,6)").alias("close"), F.col("volume").cast("decimal(28,8)").alias("volume"))
+    return b.select("symbol", "ts", F.col("close").cast("decimal(18,6)").alias("close"), F.col("volume").cast("decimal(28,8)").alias("volume"))
 
 
-SRC_20_SQL = f"WITH {sql.BARS} SELECT symbol, ts, CAST(close + 1e-9 AS DECIMAL(18,6)) AS close, CAST(volume AS DECIMAL(28,8)) AS volume FROM bars"
+SRC_20_SQL = f"WITH {sql.BARS} SELECT symbol, ts, CAST(CAST(close AS VARCHAR) AS DECIMAL(18,6)) AS close, CAST(volume AS DECIMAL(28,8)) AS volume FROM bars"
 
 
 def src_23_identity(spark, sf_dir):

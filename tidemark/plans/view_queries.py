@@ -112,24 +112,29 @@ AGG_45_SQL = f"WITH g AS (SELECT p_size, avg(p_retailprice) AS score FROM part G
 
 
 def win_23_stale_volatility(spark, sf_dir):
-    """Volatility of 60 sessions, and whether a run of more than 5 unchanged volumes lies inside them."""
-    b = item_bars(spark, sf_dir)
-    runs = with_runs(b.withColumn("calm", F.col("volume") < 200), "calm").withColumn("streak", F.when(F.col("calm"), F.col("run_age")).otherwise(0)).withColumn("r", F.ln(F.col("close") / lagged("close")))
+    """Volatility of 60 sessions, and whether a run of more than 5 returns of zero lies inside them. Closes go by thousands, so
+    that some stand still."""
+    b = item_bars(spark, sf_dir).withColumn("close", F.round(F.col("close") / 1000) + 1)
+    b = b.withColumn("r", F.ln(F.col("close") / lagged("close")))
+    runs = with_runs(b.withColumn("still", F.coalesce(F.col("r") == 0, F.lit(False))), "still").withColumn("streak", F.when(F.col("still"), F.col("run_age")).otherwise(0))
     return rounded(runs.select("symbol", "ts", (full(F.stddev_samp("r"), F.col("r"), trailing(60), 60) * 252**0.5).alias("vol"), (F.max("streak").over(trailing(60)) > 5).alias("stale")))
 
 
-WIN_23_SQL = f"""WITH {sql.BARS}, a AS (SELECT *, volume < 200 AS calm, ln(close / lag(close) OVER ({W})) AS r, row_number() OVER ({W}) - row_number() OVER (PARTITION BY symbol, volume < 200 ORDER BY ts) AS g FROM bars),
-s AS (SELECT *, CASE WHEN calm THEN row_number() OVER (PARTITION BY symbol, calm, g ORDER BY ts) ELSE 0 END AS streak FROM a) SELECT symbol, ts, {sql.settled(sql.full('stddev_samp(r)', 'r', 60) + ' * sqrt(252.0)', 'vol')}, max(streak) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) > 5 AS stale FROM s"""
+WIN_23_SQL = f"""WITH {sql.BARS}, p AS (SELECT symbol, ts, round(close / 1000) + 1 AS close FROM bars), a AS (SELECT *, ln(close / lag(close) OVER ({W})) AS r FROM p),
+f AS (SELECT *, coalesce(r = 0, false) AS still FROM a), i AS (SELECT *, row_number() OVER ({W}) - row_number() OVER (PARTITION BY symbol, still ORDER BY ts) AS g FROM f),
+s AS (SELECT *, CASE WHEN still THEN row_number() OVER (PARTITION BY symbol, still, g ORDER BY ts) ELSE 0 END AS streak FROM i) SELECT symbol, ts, {sql.settled(sql.full('stddev_samp(r)', 'r', 60) + ' * sqrt(252.0)', 'vol')}, max(streak) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) > 5 AS stale FROM s"""
 
 
 def topk_06_coordinator(spark, sf_dir):
-    """Per day, purchases first, then by value; at most five are taken."""
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("day").orderBy(F.col("event_type") != "purchase", F.desc("value"), "event_id")
-    return e.withColumn("day", F.to_date("ts")).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("day", "place", "event_id")
+    """Per day (cycle), exits (purchases) first, users with several proposals (crowded) last, then by value; five are taken."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    crowded = F.count("*").over(Window.partitionBy("day", "user_id")) > 1
+    w = Window.partitionBy("day").orderBy(F.col("event_type") != "purchase", "crowded", F.desc("value"), "event_id")
+    return e.withColumn("crowded", crowded).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("day", "place", "event_id", "crowded")
 
 
-TOPK_06_SQL = "SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_type <> 'purchase', value DESC, event_id) AS place, event_id FROM events QUALIFY place <= 5"
+TOPK_06_SQL = """WITH e AS (SELECT *, CAST(ts AS DATE) AS day, count(*) OVER (PARTITION BY CAST(ts AS DATE), user_id) > 1 AS crowded FROM events)
+SELECT day, row_number() OVER (PARTITION BY day ORDER BY event_type <> 'purchase', crowded, value DESC, event_id) AS place, event_id, crowded FROM e QUALIFY place <= 5"""
 
 
 def topk_12_catch_up(spark, sf_dir):
