@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sessions by local hours (fixed values): name, zone, first hour, end.
@@ -33,3 +33,29 @@ def weekdays_between(a: Column, z: Column) -> Column:
     """Weekdays after a, up to and with z: whole weeks and what is left of one."""
     upto = lambda d: F.floor(F.datediff(d, F.lit("1900-01-01")) / 7) * 5 + F.least(F.pmod(F.datediff(d, F.lit("1900-01-01")), F.lit(7)) + 1, F.lit(5))
     return (upto(z) - upto(a)).cast("long")
+
+
+#: Exchanges by local hours (fixed values): name, zone, open, close, as minutes of the day.
+EXCHANGES = {"XNYS": ("America/New_York", 570, 960), "XETR": ("Europe/Berlin", 540, 1050)}
+#: Orders for the opening auction are taken from the evening before until shortly before the open, New York time (fixed values).
+AUCTION_FROM, AUCTION_UNTIL = 19 * 60, 9 * 60 + 28
+
+
+def at_local(day: Column, minutes: int, zone: str, seconds: int = 0) -> Column:
+    """The UTC time of a local minute of a day, moved by so many seconds."""
+    local_time = F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + minutes * 60)
+    return (F.to_utc_timestamp(local_time, zone) + F.make_dt_interval(secs=F.lit(float(seconds)))).cast("timestamp_ntz")
+
+
+def schedule(days: DataFrame, exchange: str, grace: int = 30) -> DataFrame:
+    """Weekdays of days(day) as sessions: open, close, and when a session may be processed, `grace` minutes after its close."""
+    zone, first, last = EXCHANGES[exchange]
+    d = days.select(F.to_date("day").alias("day")).where(F.weekday("day") < 5).distinct()
+    return d.select(F.lit(exchange).alias("exchange"), "day", at_local(F.col("day"), first, zone).alias("open_utc"), at_local(F.col("day"), last, zone).alias("close_utc"), at_local(F.col("day"), last + grace, zone).alias("eligible_at"))
+
+
+def auction_windows(sessions: DataFrame, safety: int = 60) -> DataFrame:
+    """Sessions with the times between which an order for the opening auction may be sent; null on the first session."""
+    before = F.lag("day").over(Window.partitionBy("exchange").orderBy("day"))
+    s = sessions.withColumn("previous", before)
+    return s.withColumns({"opens_at": at_local(F.col("previous"), AUCTION_FROM, "America/New_York", safety), "closes_at": at_local(F.col("day"), AUCTION_UNTIL, "America/New_York", -safety)})
