@@ -59,8 +59,7 @@ def test_a_leak_is_noticed(spark):
 
 def test_percentile_counts_ties_half(spark):
     df = spark.createDataFrame([("A", i, float(x)) for i, x in enumerate([1, 2, 2, 3, 2])], "symbol string, ts int, x double")
-    pct, count = regimes.causal_percentile("x", 4, 2)
-    out = df.select("ts", pct.alias("p"), count.alias("n")).orderBy("ts").collect()
+    out = regimes.causal_percentile(df, "x", "p", "n", 4, 2).orderBy("ts").collect()
     assert [r.p for r in out] == [None, None, 0.75, 1.0, 0.5] and [r.n for r in out] == [0, 1, 2, 3, 4]
 
 

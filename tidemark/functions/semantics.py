@@ -73,8 +73,10 @@ def run_starts(x: Column, *keys: str, ts: str = "ts") -> Column:
 def with_runs(df: DataFrame, x: str, *keys: str, run: str = "run_id", age: str = "run_age", ts: str = "ts") -> DataFrame:
     """Number of each run of equal values, and how many rows it has lasted with the current one."""
     keys = keys or ("symbol",)
-    began = df.withColumn(run, F.sum(run_starts(F.col(x), *keys, ts=ts).cast("long")).over(running(*keys, ts=ts)))
-    return began.withColumn(age, F.row_number().over(by(*keys, run, ts=ts)).cast("long"))
+    place = F.row_number().over(by(*keys, ts=ts))
+    marked = df.withColumns({"__starts": run_starts(F.col(x), *keys, ts=ts), "__place": place})
+    since = F.last(F.when(F.col("__starts"), F.col("__place")), ignorenulls=True).over(running(*keys, ts=ts))
+    return marked.withColumns({run: F.sum(F.col("__starts").cast("long")).over(running(*keys, ts=ts)), age: (F.col("__place") - since + 1).cast("long")}).drop("__starts", "__place")
 
 
 def last_known(x: Column, *keys: str, ts: str = "ts") -> Column:
@@ -101,26 +103,30 @@ def smoothed(df: DataFrame, inputs: dict[str, tuple[str, int, float]], *keys: st
     then y = alpha x + (1 - alpha) y. An input undefined after its first value is an error.
 
     State runs through an instrument's rows in order, which no window frame expresses; instruments are independent groups. The
-    rows of an instrument are one group, as its history is; only keys, time and inputs go to it.
+    rows of an instrument are one group, as its history is. They pass as Arrow tables with all their columns, so that nothing has
+    to be joined back and repeated times stay as they are.
     """
+    from pyspark.sql import types as T
+
     keys = keys or ("symbol",)
+    plan = list(inputs.items())
     names = list(dict.fromkeys(x for x, _, _ in inputs.values()))
-    plan = [(out, names.index(x), n, alpha) for out, (x, n, alpha) in inputs.items()]
-    slim = df.select(*keys, ts, *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(names)])
-    schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in (*keys, ts)) + "".join(f", `{out}` double" for out in inputs)
+    kept = [c for c in df.columns if c not in inputs]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.DoubleType()) for out in inputs])
 
     def run(group):
         import numpy as np
+        import pyarrow as pa
 
-        group = group.sort_values(ts)
-        result = group[[*keys, ts]].copy()
-        for out, i, n, alpha in plan:
-            x = group[f"__x{i}"].to_numpy(float)
-            result[out] = smooth_array(x, n, alpha) if len(x) else np.array([], float)
-        return result
+        group = group.sort_by(ts)
+        series = {x: group.column(x).cast(pa.float64()).to_numpy().astype(float) for x in names}
+        out = group.select(kept)
+        for name, (x, n, alpha) in plan:
+            y = smooth_array(series[x], n, alpha) if len(group) else np.array([], float)
+            out = out.append_column(name, pa.array(y, pa.float64(), from_pandas=True))
+        return out
 
-    done = slim.groupBy(*keys).applyInPandas(run, schema)
-    return df.join(done, [*keys, ts])
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def smooth_array(x, n: int, alpha: float):
@@ -140,6 +146,51 @@ def smooth_array(x, n: int, alpha: float):
     return out
 
 
+#: Rows that one task ranks at a time, beside those that they look back on.
+RANK_BLOCK = 8192
+
+
+def with_ranks(df: DataFrame, x: str, lookback: int, *keys: str, ts: str = "ts", block: int = RANK_BLOCK) -> DataFrame:
+    """df with __below, __equal and __count: of the lookback rows before each row, those with a smaller x, with the same x, and
+    with any. __below and __equal are null where x is.
+
+    A row's rank needs the values of its frame, which a running aggregate does not hold. Rows are numbered and cut into blocks;
+    each block gets the last rows before it again, so that a long history is ranked by many tasks of bounded size.
+    """
+    import numpy as np
+    from pyspark.sql import types as T
+
+    keys = keys or ("symbol",)
+    block = max(block, lookback)
+    placed = df.withColumn("__i", (F.row_number().over(by(*keys, ts=ts)) - 1).cast("long"))
+    home = F.floor(F.col("__i") / block).cast("long")
+    lead = (F.col("__i") % block >= block - lookback)
+    shared = placed.withColumn("__block", F.explode(F.when(lead, F.array(home, home + 1)).otherwise(F.array(home))))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in ("__below", "__equal", "__count")]])
+    names = df.columns
+
+    def run(group):
+        import pyarrow as pa
+
+        group = group.sort_by("__i")
+        v = group.column(x).cast(pa.float64()).to_numpy().astype(float)
+        place, own = group.column("__i").to_numpy(), group.column("__block")[0].as_py() * block
+        begin = int(np.searchsorted(place, own))
+        padded = np.concatenate([np.full(lookback, np.nan), v])
+        frames = np.lib.stride_tricks.sliding_window_view(padded, lookback)
+        found = np.zeros((3, len(v) - begin), np.int64)
+        for a in range(begin, len(v), 1024):
+            z = min(a + 1024, len(v))
+            f, now = frames[a:z], v[a:z, None]
+            found[:, a - begin : z - begin] = (f < now).sum(1), (f == now).sum(1), (~np.isnan(f)).sum(1)
+        mine, undefined = group.select(names).slice(begin), np.isnan(v[begin:])
+        for name, values, mask in zip(("__below", "__equal", "__count"), found, (undefined, undefined, None)):
+            mine = mine.append_column(name, pa.array(values, pa.int64(), mask=mask))
+        return mine
+
+    return shared.groupBy(*keys, "__block").applyInArrow(run, schema)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Doubles without NaN: missing values are null everywhere in the library."""
     return df.select(*[F.nanvl(F.col(c), F.lit(None).cast(t)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import by, full, lagged, prior, running, trailing
+from tidemark.functions.semantics import by, full, lagged, prior, running, trailing, with_ranks
 
 PRICES = ("open", "high", "low", "close")
 #: Least share of neighbouring bars one grid step apart (fixed value).
@@ -79,9 +79,10 @@ def portable(bars: DataFrame, minutes: int) -> DataFrame:
     b = b.withColumns({"up": F.greatest("change", F.lit(0.0)) + 0 * F.col("change"), "down": F.greatest(-F.col("change"), F.lit(0.0)) + 0 * F.col("change"), "way": F.abs("change")})
     mean = lambda c, n: full(F.avg(c), F.col(c), trailing(n), n)
     b = b.withColumns({"atr": mean("tr", 14), "gain": mean("up", 14), "loss": mean("down", 14), "fast": mean("close", 20), "slow": mean("close", 60), "path": full(F.sum("way"), F.col("way"), trailing(20), 20), "net": F.abs(F.col("close") - lagged("close", 20))})
-    b = b.withColumn("atr", F.round(F.when(F.col("atr") > 0, F.col("atr")), 10)).withColumn("seen", F.collect_list("atr").over(trailing(200)))
-    below, same = (F.size(F.filter("seen", f)) for f in (lambda x: x < F.col("atr"), lambda x: x == F.col("atr")))
-    rank = F.when(F.col("atr").isNotNull() & (F.size("seen") >= 100), (below + (same + 1) / 2) / F.size("seen"))
+    b = b.withColumn("atr", F.round(F.when(F.col("atr") > 0, F.col("atr")), 10))
+    b = with_ranks(b, "atr", 199)
+    seen = F.col("__count") + 1
+    rank = F.when(F.col("atr").isNotNull() & (seen >= 100), (F.col("__below") + F.col("__equal") / 2 + 1) / seen)
     end = F.unix_seconds(F.col("ts").cast("timestamp")) + minutes * 60
     angle = 2 * F.pi() * (end % 86_400) / 86_400
     moves = {f"move{k}": clip((F.col("close") - lagged("close", k)) / F.col("atr")) for k in (1, 4, 16)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import prior, with_runs
+from tidemark.functions.semantics import with_ranks, with_runs
 from tidemark.operators import indicators, structure
 
 INSUFFICIENT = "insufficient_data"
@@ -14,13 +14,12 @@ LOOKBACK, FEWEST = 756, 252
 LOW, HIGH, EXTREME = 0.20, 0.80, 0.95
 
 
-def causal_percentile(x: str, lookback: int = LOOKBACK, fewest: int = FEWEST) -> tuple[Column, Column]:
-    """Mid-rank of x among the previous lookback values, ties counting half, and how many of them are defined. Null with fewer
-    than fewest. The list that a row compares holds at most lookback numbers."""
-    before = F.collect_list(x).over(prior(lookback))  # skips nulls
-    below, equal = F.size(F.filter(before, lambda r: r < F.col(x))), F.size(F.filter(before, lambda r: r == F.col(x)))
-    count = F.size(before)
-    return F.when(F.col(x).isNotNull() & (count >= fewest), F.round((below + 0.5 * equal) / count, 10)), count.cast("long")
+def causal_percentile(df: DataFrame, x: str, into: str, count: str, lookback: int = LOOKBACK, fewest: int = FEWEST) -> DataFrame:
+    """df with the mid-rank of x among the previous lookback values, ties counting half, and how many of them are defined. The
+    rank is null with fewer than fewest of them."""
+    ranked = with_ranks(df, x, lookback)
+    rank = F.round((F.col("__below") + 0.5 * F.col("__equal")) / F.col("__count"), 10)
+    return ranked.withColumns({into: F.when(F.col("__count") >= fewest, rank), count: F.col("__count")}).drop("__below", "__equal", "__count")
 
 
 def volatility(p: Column) -> Column:
@@ -51,10 +50,10 @@ DIMENSIONS = ("trend", "volatility", "momentum", "participation", "composite")
 def analyse(bars: DataFrame) -> DataFrame:
     """Regimes of each bar with changed and age for each dimension."""
     ind = indicators.analyse(bars).withColumn("__v", F.round("realized_vol_20", 10))
-    pct, count = causal_percentile("__v")
+    ind = causal_percentile(ind, "__v", "volatility_percentile", "volatility_reference_count")
     state = ind.join(structure.structure(bars).select("symbol", "ts", F.col("structure").alias("trend_regime"), "trend_quality"), ["symbol", "ts"])
     state = state.select(
-        "symbol", "ts", "trend_regime", "trend_quality", F.col("realized_vol_20").alias("volatility_measure"), pct.alias("volatility_percentile"), count.alias("volatility_reference_count"),
+        "symbol", "ts", "trend_regime", "trend_quality", F.col("realized_vol_20").alias("volatility_measure"), "volatility_percentile", "volatility_reference_count",
         F.round(F.col("atr_14") / F.col("close"), 10).alias("atr_pct"), momentum(F.col("rsi_14"), F.col("roc_12"), F.col("macd")).alias("momentum_regime"),
         participation(F.col("relative_volume_20")).alias("participation_regime"), "rsi_14", "roc_12", "macd", "relative_volume_20",
     )

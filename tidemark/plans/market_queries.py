@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.functions.semantics import asof, by, full, lagged, prior, ratio, rounded, running, trailing, with_runs
+from tidemark.functions.semantics import asof, by, full, lagged, prior, ratio, rounded, running, trailing, with_ranks, with_runs
 from tidemark.plans import sql
 from tidemark.sources.bars import event_bars, item_bars, quotes, sessions, table
 
@@ -212,10 +212,9 @@ WIN_18_SQL = f"WITH {sql.BARS}, s AS (SELECT *, abs(close - lag(close) OVER ({sq
 
 def win_19_percent_rank(spark, sf_dir):
     """Average-rank percentile of a close among its last 200, from 100 on."""
-    last = F.collect_list("close").over(trailing(200))
-    b = item_bars(spark, sf_dir).withColumn("__l", last)
-    below, same, n = F.size(F.filter("__l", lambda x: x < F.col("close"))), F.size(F.filter("__l", lambda x: x == F.col("close"))), F.size("__l")
-    return rounded(b.select("symbol", "ts", F.when(n >= 100, (below + 0.5 * (same + 1)) / n).alias("rank")))
+    b = with_ranks(item_bars(spark, sf_dir), "close", 199)
+    n = F.col("__count") + 1
+    return rounded(b.select("symbol", "ts", F.when(n >= 100, (F.col("__below") + 0.5 * (F.col("__equal") + 2)) / n).alias("rank")))
 
 
 WIN_19_SQL = f"WITH {sql.BARS}, l AS (SELECT symbol, ts, close, list(close) OVER ({sql.W} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS l FROM bars) SELECT symbol, ts, {sql.settled('CASE WHEN len(l) >= 100 THEN (len(list_filter(l, lambda x: x < close)) + 0.5 * (len(list_filter(l, lambda x: x = close)) + 1)) / len(l) END', 'rank')} FROM l"
