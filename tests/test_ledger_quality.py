@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
@@ -92,11 +93,44 @@ def test_drawdown_lock_ends_and_resets(spark):
     assert out == ["NORMAL", "NORMAL", "WARNING", "LOCKED", "LOCKED", "LOCKED", "NORMAL", "NORMAL"]
 
 
-def test_bracket_exit_order(spark):
-    bars = spark.createDataFrame([("A", day(i), *map(float, r), 1.0, None) for i, r in enumerate([(100, 101, 99, 100), (100, 101, 99, 100), (90, 111, 89, 90), (90, 91, 89, 90)])], BAR_SCHEMA)
-    signal = spark.createDataFrame([("A", day(0), 1, 5.0, 10.0)], "symbol string, ts timestamp_ntz, dir int, stop_dist double, target_dist double")
-    (t,) = fx.bracket_trades(bars, signal, spread=0.0).collect()
-    assert (t.reason, t.exit, t.bars) == ("gap_stop", 90.0, 2) and t.r_net == -2.0
+def hours(spark, rows, gaps=()):
+    at = [START_OF_WEEK + dt.timedelta(hours=i + 50 * sum(g <= i for g in gaps)) for i in range(len(rows))]
+    return at, spark.createDataFrame([("A", t, *map(float, r), 1.0, None) for t, r in zip(at, rows)], BAR_SCHEMA)
+
+
+START_OF_WEEK = dt.datetime(2024, 1, 8, 12)
+SIGNAL = "symbol string, ts timestamp_ntz, dir int, stop_dist double, target_dist double, max_hold int"
+FREE = {"spread": 0.0, "commission": 0.0, "least": 0.0, "financing": 0.0}
+
+
+@pytest.mark.parametrize(
+    "direction, rows, hold, gaps, want",
+    [
+        (1, [(100, 101, 99, 100), (100, 101, 99, 100), (90, 111, 89, 90), (90, 91, 89, 90)], 9, (), ("stop_gap", 90.0, 2, -2.0)),
+        (1, [(100, 101, 99, 100), (100, 111, 94, 100), (90, 111, 89, 90)], 9, (), ("stop", 95.0, 1, -1.0)),
+        (1, [(100, 101, 99, 100), (100, 101, 99, 100), (112, 113, 99, 100), (1, 1, 1, 1)], 9, (), ("target_gap", 112.0, 2, 2.4)),
+        (-1, [(100, 101, 99, 100), (100, 101, 89, 100), (100, 101, 99, 100)], 9, (), ("target", 90.0, 1, 2.0)),
+        (-1, [(100, 101, 99, 100), (100, 101, 99, 99), (99, 101, 99, 98), (98, 98, 98, 98)], 2, (), ("time", 98.0, 2, 0.4)),
+        (1, [(100, 101, 99, 100), (100, 101, 99, 101), (99, 101, 99, 98), (98, 98, 98, 98)], 9, (2,), ("weekend", 101.0, 1, 0.2)),
+        (1, [(100, 101, 99, 100), (100, 101, 99, 101)], 9, (), ("weekend", 101.0, 1, 0.2)),
+    ],
+)
+def test_bracket_exit_order(spark, direction, rows, hold, gaps, want):
+    at, bars = hours(spark, rows, gaps)
+    (t,) = fx.bracket_trades(bars, spark.createDataFrame([("A", at[0], direction, 5.0, 10.0, hold)], SIGNAL), **FREE).collect()
+    assert (t.reason, t.exit, t.bars) == want[:3] and t.r_net == pytest.approx(want[3])
+
+
+def test_bracket_entries_and_costs(spark):
+    at, bars = hours(spark, [(100, 101, 99, 100)] * 8, gaps=(6,))
+    signals = [("A", at[i], 1, 5.0, 10.0, 2) for i in (0, 1, 2, 5, 7)] + [("A", at[3], 1, None, 10.0, 2), ("A", at[4], 1, 0.0, 10.0, 2)]
+    out = fx.bracket_trades(bars, spark.createDataFrame(signals, SIGNAL), spread=0.001).orderBy("signal_ts").collect()
+    # The second signal falls into the first trade; that of the exit bar is taken; none enters over a pause, at the end, or unsound.
+    assert [(t.signal_ts, t.exit_ts) for t in out] == [(at[0], at[2]), (at[2], at[4])]
+    entry, close = 100 * 1.0005, 100 * 0.9995
+    units = 10_000 * 0.005 * 1.1 / 5
+    assert out[0].r_gross == pytest.approx((close - entry) / 5) and out[0].r_cost == pytest.approx(2 * max(2.0, 0.2e-4 * units * entry) / 55)
+    assert fx.bracket_trades(bars.limit(0), spark.createDataFrame([], SIGNAL)).count() == 0
 
 
 def test_split_has_no_overlap(spark):

@@ -60,13 +60,14 @@ def accept(validated: DataFrame) -> DataFrame:
 
 
 def flags(bars: DataFrame) -> DataFrame:
-    """Findings on accepted bars that exclude nothing: symbol, ts, check, value."""
+    """Findings on accepted bars that exclude nothing: symbol, ts, check, value. Splits are found where bars have split_ratio."""
     before, w = lagged("close"), by()
     factor = F.col("adj_close") / F.col("close")
     moved, gap, fell = F.col("close") / before - 1, F.col("open") / before - 1, factor / F.lag(factor).over(w) - 1
     found = [
         ("zero_volume", F.col("volume") == 0, F.col("volume")),
         ("missing_adj_close", F.col("adj_close").isNull(), F.lit(None).cast("double")),
+        ("split_detected", F.col("split_ratio") != 0 if "split_ratio" in bars.columns else F.lit(False), F.col("split_ratio") if "split_ratio" in bars.columns else F.lit(None).cast("double")),
         ("return_outlier", F.abs(moved) > RETURN, moved),
         ("gap_outlier", F.abs(gap) > GAP, gap),
         ("adj_factor_decrease", fell < -FACTOR, fell),

@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import full, lagged, trailing
+from tidemark.functions.semantics import full, lagged, smoothed, trailing
+from tidemark.operators.indicators import true_range
 
 
 def sizes(bars: DataFrame, target_vol: float = 0.10, risk: float = 0.01, multiple: float = 2.0, fraction: float = 0.5) -> DataFrame:
-    """symbol, ts, method, exposure, reason: full, fixed fraction, volatility target, and risk per range. Undefined input sizes 0,
-    never a default; no exposure passes 1."""
-    df = bars.withColumns({"__lr": F.ln(F.try_divide(F.col("close"), lagged("close"))), "__step": F.abs(F.col("close") - lagged("close"))})
-    df = df.withColumns({"__vol": full(F.stddev_samp("__lr"), F.col("__lr"), trailing(20), 20) * 252**0.5, "__reach": full(F.avg("__step"), F.col("__step"), trailing(14), 14)})
-
-    def sized(name: str, raw: Column) -> Column:
-        reason = F.when(raw.isNull(), "undefined_input").when(raw > 1, "capped").otherwise("sized")
-        return F.struct(F.lit(name).alias("method"), F.coalesce(F.least(raw, F.lit(1.0)), F.lit(0.0)).alias("exposure"), reason.alias("reason"))
-
-    plain = lambda name, x, reason: F.struct(F.lit(name).alias("method"), F.lit(x).alias("exposure"), F.lit(reason).alias("reason"))
-    each = F.array(plain("full", 1.0, "full"), plain("fixed_fraction", fraction, "fixed"), sized("volatility_target", F.try_divide(F.lit(target_vol), F.col("__vol"))), sized("range_risk", F.try_divide(risk * F.col("close"), multiple * F.col("__reach"))))
-    return df.select("symbol", "ts", each.alias("__each")).select("symbol", "ts", F.explode("__each").alias("s")).select("symbol", "ts", "s.*")
+    """symbol, ts, method, exposure, reason: full, fixed fraction, volatility target, and risk per ATR. An undefined or
+    non-positive input sizes 0 with its reason, never a default; no exposure passes 1."""
+    df = bars.select("symbol", "ts", "close", F.ln(F.try_divide(F.col("close"), lagged("close"))).alias("__lr"), true_range().alias("__range"))
+    df = df.withColumn("__vol", full(F.stddev_samp("__lr"), F.col("__lr"), trailing(20), 20) * 252**0.5)
+    df = smoothed(df, {"__atr": ("__range", 14, 1 / 14)})
+
+    def sized(name: str, raw: Column, known: Column) -> Column:
+        known = F.coalesce(known, F.lit(False))
+        reason = F.when(known, name).otherwise("risk_input_undefined")
+        return F.struct(F.lit(name).alias("method"), F.when(known, F.least(raw, F.lit(1.0))).otherwise(0.0).alias("exposure"), reason.alias("reason"))
+
+    always = F.lit(True)
+    each = F.array(
+        sized("full", F.lit(1.0), always), sized("fixed_fraction", F.lit(fraction), always), sized("volatility_target", F.try_divide(F.lit(target_vol), F.col("__vol")), F.col("__vol") > 0),
+        sized("atr_risk", F.try_divide(risk * F.col("close"), multiple * F.col("__atr")), (F.col("__atr") > 0) & (F.col("close") > 0)),
+    )
+    return df.select("symbol", "ts", F.explode(each).alias("s")).select("symbol", "ts", "s.*")
 
 
 def stop_level(entry: Column, kind: str, percent: float = 0.05, reach: Column | None = None, multiple: float = 2.0) -> Column:

@@ -9,7 +9,7 @@ from tidemark.functions.semantics import by, lagged, rounded
 from tidemark.operators import contracts
 from tidemark.plans import sql
 from tidemark.plans.candle_queries import OBSERVATIONS_CTE, observations
-from tidemark.plans.view_queries import REG_06_SQL, reg_06_fx_regime
+from tidemark.plans.price_queries import REG_06_SQL, reg_06_fx_regime
 from tidemark.sources.bars import event_bars, item_bars, quotes, resample, table
 
 W = sql.W

@@ -165,14 +165,21 @@ g AS (SELECT slice, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, avg(CASE
 SELECT slice, n, positives, tp, called, {sql.settled('accuracy', 'accuracy')}, {sql.settled('tp / called', 'precision')}, {sql.settled('tp / positives', 'recall')}, {sql.settled('(rs - positives * (positives + 1) / 2) / (positives * (n - positives))', 'auc')} FROM g"""
 
 
+#: Frozen rates of the quoted currencies to one euro (fixed values), and the currency in which an event type is quoted.
+EURO = {"USD": 1.10, "JPY": 165.0, "CHF": 0.94, "CAD": 1.50, "GBP": 0.85}
+QUOTED = {"click": "USD", "error": "JPY", "purchase": "CHF", "signup": "CAD", "view": "GBP"}
+
+
 def agg_20_daily_cash(spark, sf_dir):
-    """Cash of events by UTC day, converted by each type's mean value."""
-    e = table(spark, sf_dir, "events")
-    rates = e.groupBy("event_type").agg(F.avg("value").alias("rate"))
-    return rounded(e.join(F.broadcast(rates), "event_type").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("value") / F.col("rate")).alias("cash"), F.count("*").alias("n")))
+    """Cash realised by UTC day: each event is a close that earned its value less 50, converted to euros by its currency's frozen
+    rate; a type without a currency has no rate and counts as unconverted."""
+    rate = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(EURO[c])) for k, c in QUOTED.items()])
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), ((F.col("value") - 50) / rate).alias("cash"))
+    return rounded(e.groupBy("day").agg(F.sum("cash").alias("cash"), F.count("*").alias("n"), F.count_if(F.col("cash").isNull()).alias("unconverted")))
 
 
-AGG_20_SQL = f"WITH r AS (SELECT event_type, avg(value) AS rate FROM events GROUP BY 1) SELECT CAST(ts AS DATE) AS day, {sql.settled('sum(value / rate)', 'cash')}, count(*) AS n FROM events JOIN r USING (event_type) GROUP BY 1"
+AGG_20_SQL = f"""WITH r(event_type, rate) AS (VALUES ('click', 1.10::DOUBLE), ('error', 165.0), ('purchase', 0.94), ('signup', 1.50), ('view', 0.85))
+SELECT CAST(ts AS DATE) AS day, {sql.settled('sum((value - 50) / rate)', 'cash')}, count(*) AS n, count(*) FILTER ((value - 50) / rate IS NULL) AS unconverted FROM events LEFT JOIN r USING (event_type) GROUP BY 1"""
 
 
 def agg_18_r_multiples(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import rounded
+from tidemark.functions.semantics import by, rounded
 from tidemark.operators import quality
 from tidemark.plans import sql
 from tidemark.sources.bars import closed_bars, item_bars, quotes, sessions, table
@@ -53,12 +53,14 @@ FLT_04_SQL = f"WITH {ROWS} SELECT symbol, ts, {sql.all_settled('open high low cl
 
 
 def flt_11_flags(spark, sf_dir):
-    flags = quality.flags(quality.accept(validated(spark, sf_dir)))
+    accepted, turn = quality.accept(validated(spark, sf_dir)), F.lit("1995-01-01").cast("timestamp_ntz")
+    split = F.when((F.col("ts") >= turn) & (F.lag("ts").over(by()) < turn), 2.0).otherwise(0.0)
+    flags = quality.flags(accepted.withColumn("split_ratio", split))
     return rounded(flags.groupBy("check").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")))
 
 
-FLT_11_SQL = f"""WITH {ROWS}, a AS (SELECT *, lag(close) OVER ({sql.W}) AS c1, adj_close / close AS f, lag(adj_close / close) OVER ({sql.W}) AS f1 FROM checked WHERE rule IS NULL),
-x AS (SELECT 'zero_volume' AS "check", volume AS v FROM a WHERE volume = 0 UNION ALL SELECT 'missing_adj_close', NULL FROM a WHERE adj_close IS NULL UNION ALL SELECT 'return_outlier', close / c1 - 1 FROM a WHERE abs(close / c1 - 1) > 0.1
+FLT_11_SQL = f"""WITH {ROWS}, a AS (SELECT *, lag(ts) OVER ({sql.W}) AS ts1, lag(close) OVER ({sql.W}) AS c1, adj_close / close AS f, lag(adj_close / close) OVER ({sql.W}) AS f1 FROM checked WHERE rule IS NULL),
+x AS (SELECT 'zero_volume' AS "check", volume AS v FROM a WHERE volume = 0 UNION ALL SELECT 'missing_adj_close', NULL FROM a WHERE adj_close IS NULL UNION ALL SELECT 'split_detected', 2.0 FROM a WHERE ts >= TIMESTAMP '1995-01-01' AND ts1 < TIMESTAMP '1995-01-01' UNION ALL SELECT 'return_outlier', close / c1 - 1 FROM a WHERE abs(close / c1 - 1) > 0.1
   UNION ALL SELECT 'gap_outlier', open / c1 - 1 FROM a WHERE abs(open / c1 - 1) > 0.07 UNION ALL SELECT 'adj_factor_decrease', f / f1 - 1 FROM a WHERE f / f1 - 1 < -1e-4)
 SELECT "check", count(*) AS n, {sql.settled('min(v)', 'least')}, {sql.settled('max(v)', 'most')} FROM x GROUP BY 1"""
 

@@ -173,20 +173,6 @@ def fn_31_hours(spark, sf_dir):
 FN_31_SQL = f"SELECT event_type, {sql.settled('avg(sin(2 * pi() * (hour(ts) + 1) / 24))', 'hour_sin')}, {sql.settled('avg(cos(2 * pi() * (hour(ts) + 1) / 24))', 'hour_cos')} FROM events GROUP BY 1"
 
 
-def reg_06_fx_regime(spark, sf_dir):
-    """Trending, ranging, volatile, quiet or mixed hours by efficiency and range."""
-    b = event_bars(spark, sf_dir, 1).withColumns({"step": F.abs(F.col("close") - lagged("close")), "span": F.col("high") - F.col("low")})
-    e = F.try_divide(F.abs(F.col("close") - lagged("close", 20)), full(F.sum("step"), F.col("step"), trailing(20), 20))
-    wide = F.try_divide(F.col("span"), full(F.avg("span"), F.col("span"), prior(20), 20))
-    b = b.withColumns({"er": e, "wide": wide})
-    label = F.when(F.col("er").isNull() | F.col("wide").isNull(), "insufficient_data").when(F.col("wide") >= 1.8, "volatile").when(F.col("wide") <= 0.4, "quiet").when(F.col("er") >= 0.35, "trending").when(F.col("er") <= 0.15, "ranging").otherwise("mixed")
-    return b.select("symbol", "ts", label.alias("regime"), F.coalesce(F.col("wide") > 3, F.lit(False)).alias("veto"))
-
-
-REG_06_SQL = f"""WITH {sql.event_bars(1, 'hb')}, a AS (SELECT *, abs(close - lag(close) OVER ({W})) AS step, high - low AS span FROM hb), b AS (SELECT symbol, ts, abs(close - lag(close, 20) OVER ({W})) / nullif({sql.full('sum(step)', 'step', 20)}, 0) AS er, span / nullif({sql.full('avg(span)', 'span', 20, 'prior')}, 0) AS wide FROM a)
-SELECT symbol, ts, CASE WHEN er IS NULL OR wide IS NULL THEN 'insufficient_data' WHEN wide >= 1.8 THEN 'volatile' WHEN wide <= 0.4 THEN 'quiet' WHEN er >= 0.35 THEN 'trending' WHEN er <= 0.15 THEN 'ranging' ELSE 'mixed' END AS regime, coalesce(wide > 3, false) AS veto FROM b"""
-
-
 def str_15_pair_decision(spark, sf_dir):
     """Per symbol and hour, the strongest proposal, unless proposals conflict."""
     q = quotes(spark, sf_dir).select("symbol", F.date_trunc("hour", "ts").alias("hour"), "event_id", F.when(F.col("mid") > 50, 1).otherwise(-1).alias("dir"), F.abs(F.col("mid") - 50).alias("score"))
