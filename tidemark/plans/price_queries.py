@@ -140,14 +140,18 @@ def sim_29_bracket_trades(spark, sf_dir):
     return rounded(found)
 
 
+def renamed(name, rule):
+    """A signal rule's CTEs under names of its own: <name>_s holds its signals."""
+    return rule.replace("q1 ", f"{name}_q1 ").replace("FROM q1", f"FROM {name}_q1").replace("q AS", f"{name}_q AS").replace("FROM q)", f"FROM {name}_q)").replace("s AS (SELECT symbol", f"{name}_s AS (SELECT symbol")
+
+
 def _trades(name, rule):
     """CTEs of one strategy's trades, t_<name>."""
     side = "dir * {0} * (1 - dir * 0.0001)"
     p = {c: side.format(f"b.{c}") for c in ("open", "close", "low", "high")}
     rules = (("stop_gap", "po <= stop", "po"), ("stop", "worst <= stop", "stop"), ("target_gap", "age > 1 AND po >= goal", "po"), ("target", "best >= goal", "goal"), ("time", "age >= max_hold", "pc"), ("weekend", "pause", "pc"))
     why, price = (" ".join(f"WHEN {holds} THEN {pick}" for holds, pick in cases) for cases in ([(h, f"'{r}'") for r, h, _ in rules], [(h, x) for _, h, x in rules]))
-    renamed = rule.replace("q1 ", f"{name}_q1 ").replace("FROM q1", f"FROM {name}_q1").replace("q AS", f"{name}_q AS").replace("FROM q)", f"FROM {name}_q)").replace("s AS (SELECT symbol", f"{name}_s AS (SELECT symbol")
-    return f"""{renamed},
+    return f"""{renamed(name, rule)},
 o_{name} AS (SELECT s.*, b.i, e.ts AS entry_ts, e.day AS day0, e.open * (1 + dir * 0.0001) AS entry FROM {name}_s s JOIN b ON b.symbol = s.symbol AND b.ts = s.ts JOIN b e ON e.symbol = s.symbol AND e.i = b.i + 1 WHERE NOT b.pause AND stop_dist > 0 AND target_dist > 0),
 p_{name} AS (SELECT o.*, b.i AS j, b.i - o.i AS age, b.ts AS exit_ts, b.pause, b.day, {p["open"]} AS po, {p["close"]} AS pc, CASE WHEN dir > 0 THEN {p["low"]} ELSE {p["high"]} END AS worst, CASE WHEN dir > 0 THEN {p["high"]} ELSE {p["low"]} END AS best, dir * entry - stop_dist AS stop, dir * entry + target_dist AS goal
   FROM o_{name} o JOIN b ON b.symbol = o.symbol AND b.i BETWEEN o.i + 1 AND o.i + max_hold),
@@ -164,17 +168,6 @@ c AS (SELECT *, day - day0 AS nights, 55.0 / stop_dist * entry AS notional, dir
 SELECT strategy, symbol, ts AS signal_ts, dir, entry_ts, exit_ts, reason, CAST(age AS INTEGER) AS bars, CAST(nights AS INTEGER) AS nights, {sql.all_settled("entry exit r_gross r_cost")}, {sql.settled("r_gross - r_cost", "r_net")} FROM r"""
 
 
-def sim_34_exposure(spark, sf_dir):
-    """Net orders of customers by nation: long and short legs summed by currency."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    legs = o.select(F.explode(F.array(F.struct(F.col("n_name").alias("ccy"), F.col("o_totalprice").alias("amount")), F.struct(F.col("o_orderpriority").alias("ccy"), (-F.col("o_totalprice")).alias("amount")))).alias("l"))
-    return rounded(legs.groupBy("l.ccy").agg(F.round(F.sum("l.amount"), 2).alias("net"), F.count("*").alias("legs")), 2)
-
-
-SIM_34_SQL = f"""WITH o AS (SELECT n_name, o_orderpriority, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), l AS (SELECT n_name AS ccy, o_totalprice AS amount FROM o UNION ALL SELECT o_orderpriority, -o_totalprice FROM o)
-SELECT ccy, {sql.settled('round(sum(amount), 2)', 'net', 2)}, count(*) AS legs FROM l GROUP BY ccy"""
-
-
 def sim_42_lifecycle(spark, sf_dir):
     """Moves between the statuses of a customer's orders, and which of them the table of moves forbids."""
     from tidemark.functions.semantics import by
@@ -226,4 +219,4 @@ def ml_07_forest(spark, sf_dir):
 
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:3] in ("pa_", "sim", "str", "ml_", "win", "reg") and callable(v)}
 QUERIES.pop("structure", None)
-SQL = {"sim_29_bracket_trades": SIM_29_SQL, "win_21_fx_features": WIN_21_SQL, "reg_06_fx_regime": REG_06_SQL, "str_08_pullback": STR_08_SQL, "str_10_reversion": STR_10_SQL, "sim_10_sizing": SIM_10_SQL, "str_09_momentum": STR_09_SQL, "sim_34_exposure": SIM_34_SQL, "sim_42_lifecycle": SIM_42_SQL, "ml_02_features": ML_02_SQL, "ml_05_preprocess": ML_05_SQL}
+SQL = {"sim_29_bracket_trades": SIM_29_SQL, "win_21_fx_features": WIN_21_SQL, "reg_06_fx_regime": REG_06_SQL, "str_08_pullback": STR_08_SQL, "str_10_reversion": STR_10_SQL, "sim_10_sizing": SIM_10_SQL, "str_09_momentum": STR_09_SQL, "sim_42_lifecycle": SIM_42_SQL, "ml_02_features": ML_02_SQL, "ml_05_preprocess": ML_05_SQL}

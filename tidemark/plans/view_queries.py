@@ -82,17 +82,6 @@ def agg_36_training_fit(spark, sf_dir):
 AGG_36_SQL = f"SELECT o_orderpriority, {sql.settled('median(o_totalprice)', 'middle', 4)}, {sql.settled('avg(o_totalprice)', 'mean', 4)}, {sql.settled('CASE WHEN stddev_pop(o_totalprice) = 0 THEN 1 ELSE stddev_pop(o_totalprice) END', 'scale', 4)} FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1"
 
 
-def agg_41_runs(spark, sf_dir):
-    """Users as runs of events: started, finished with a purchase or interrupted, and their span."""
-    e = table(spark, sf_dir, "events")
-    span = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1e6
-    runs = e.groupBy("user_id").agg(F.count("*").alias("events"), F.max((F.col("event_type") == "purchase").cast("int")).alias("done"), span.alias("seconds"))
-    return rounded(runs.groupBy(F.when(F.col("done") == 1, "COMPLETE").otherwise("INTERRUPTED").alias("status")).agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean_seconds"), F.max("events").alias("most")), 3)
-
-
-AGG_41_SQL = f"WITH r AS (SELECT user_id, count(*) AS events, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS done, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY 1) SELECT CASE WHEN done = 1 THEN 'COMPLETE' ELSE 'INTERRUPTED' END AS status, count(*) AS runs, {sql.settled('avg(seconds)', 'mean_seconds', 3)}, max(events) AS most FROM r GROUP BY 1"
-
-
 def agg_42_overview(spark, sf_dir):
     b = item_bars(spark, sf_dir).withColumn("previous", lagged("close"))
     return rounded(b.groupBy("symbol").agg(F.max_by(F.struct("ts", "close", "previous"), "ts").alias("r")).select("symbol", "r.ts", "r.close", "r.previous", (F.col("r.close") / F.col("r.previous") - 1).alias("change")))
@@ -173,16 +162,6 @@ def fn_31_hours(spark, sf_dir):
 FN_31_SQL = f"SELECT event_type, {sql.settled('avg(sin(2 * pi() * (hour(ts) + 1) / 24))', 'hour_sin')}, {sql.settled('avg(cos(2 * pi() * (hour(ts) + 1) / 24))', 'hour_cos')} FROM events GROUP BY 1"
 
 
-def str_15_pair_decision(spark, sf_dir):
-    """Per symbol and hour, the strongest proposal, unless proposals conflict."""
-    q = quotes(spark, sf_dir).select("symbol", F.date_trunc("hour", "ts").alias("hour"), "event_id", F.when(F.col("mid") > 50, 1).otherwise(-1).alias("dir"), F.abs(F.col("mid") - 50).alias("score"))
-    g = q.groupBy("symbol", "hour").agg(F.count_distinct("dir").alias("ways"), F.max_by(F.struct("event_id", "dir"), F.struct("score", "event_id")).alias("best"), F.count("*").alias("proposals"))
-    return g.select("symbol", F.col("hour").cast("timestamp_ntz").alias("hour"), "proposals", F.when(F.col("ways") > 1, "conflict").otherwise("open").alias("decision"), F.when(F.col("ways") == 1, F.col("best.event_id")).alias("chosen"))
-
-
-STR_15_SQL = f"WITH {sql.QUOTES}, q AS (SELECT symbol, date_trunc('hour', ts) AS hour, event_id, CASE WHEN mid > 50 THEN 1 ELSE -1 END AS dir, abs(mid - 50) AS score FROM quotes) SELECT symbol, hour, count(*) AS proposals, CASE WHEN count(DISTINCT dir) > 1 THEN 'conflict' ELSE 'open' END AS decision, CASE WHEN count(DISTINCT dir) = 1 THEN arg_max(event_id, row(score, event_id)) END AS chosen FROM q GROUP BY symbol, hour"
-
-
 def ml_20_balanced_weights(spark, sf_dir):
     """Equal mass for large orders and the rest of each priority, summing to the number of rows."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), (F.col("o_totalprice") > 300_000).alias("special"))
@@ -202,17 +181,18 @@ ML_21_SQL = f"WITH {sql.BARS}, m AS (SELECT symbol, ts, ln(lead(close) OVER ({W}
 
 
 def stat_14_gate(spark, sf_dir):
-    """Gate of each priority's trades: enough, positive years, profit factor and mean."""
+    """Gate of each priority's trades: enough, positive years, profit factor, mean, and the mean under stress, where each trade
+    pays a twentieth of its risk more."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), F.year("o_orderdate").alias("y"), (F.col("o_totalprice") / 150_000 - 1).alias("r"))
     years = t.groupBy("k", "y").agg(F.sum("r").alias("r")).groupBy("k").agg(F.count_if(F.col("r") > 0).alias("good_years"), F.count("*").alias("years"))
-    g = t.groupBy("k").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.try_divide(F.sum(F.greatest("r", F.lit(0.0))), F.sum(F.greatest(-F.col("r"), F.lit(0.0)))).alias("pf")).join(years, "k")
-    failed = F.array_compact(F.array(F.when(F.col("n") < 100, "few"), F.when(F.col("good_years") < F.col("years"), "years"), F.when(F.col("pf") < 1.05, "factor"), F.when(F.col("mean") <= 0, "mean")))
-    return rounded(g.select("k", "n", "good_years", "mean", "pf", F.array_join(failed, "+").alias("failed"), (F.size(failed) == 0).alias("passed")))
+    g = t.groupBy("k").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.avg(F.col("r") - 0.05).alias("stressed"), F.try_divide(F.sum(F.greatest("r", F.lit(0.0))), F.sum(F.greatest(-F.col("r"), F.lit(0.0)))).alias("pf")).join(years, "k")
+    failed = F.array_compact(F.array(F.when(F.col("n") < 100, "few"), F.when(F.col("good_years") < F.col("years"), "years"), F.when(F.col("pf") < 1.05, "factor"), F.when(F.col("mean") <= 0, "mean"), F.when(F.col("stressed") <= 0, "stress")))
+    return rounded(g.select("k", "n", "good_years", "mean", "stressed", "pf", F.array_join(failed, "+").alias("failed"), (F.size(failed) == 0).alias("passed")))
 
 
 STAT_14_SQL = f"""WITH t AS (SELECT o_orderpriority AS k, year(o_orderdate) AS y, o_totalprice / 150000 - 1 AS r FROM orders), y AS (SELECT k, count(*) FILTER (r > 0) AS good_years, count(*) AS years FROM (SELECT k, y, sum(r) AS r FROM t GROUP BY 1, 2) GROUP BY k),
-g AS (SELECT t.k, count(*) AS n, avg(r) AS mean, sum(greatest(r, 0)) / nullif(sum(greatest(-r, 0)), 0) AS pf, any_value(good_years) AS good_years, any_value(years) AS years FROM t JOIN y ON y.k = t.k GROUP BY t.k),
-f AS (SELECT *, concat_ws('+', CASE WHEN n < 100 THEN 'few' END, CASE WHEN good_years < years THEN 'years' END, CASE WHEN pf < 1.05 THEN 'factor' END, CASE WHEN mean <= 0 THEN 'mean' END) AS failed FROM g) SELECT k, n, good_years, {sql.all_settled('mean pf')}, failed, failed = '' AS passed FROM f"""
+g AS (SELECT t.k, count(*) AS n, avg(r) AS mean, avg(r - 0.05) AS stressed, sum(greatest(r, 0)) / nullif(sum(greatest(-r, 0)), 0) AS pf, any_value(good_years) AS good_years, any_value(years) AS years FROM t JOIN y ON y.k = t.k GROUP BY t.k),
+f AS (SELECT *, concat_ws('+', CASE WHEN n < 100 THEN 'few' END, CASE WHEN good_years < years THEN 'years' END, CASE WHEN pf < 1.05 THEN 'factor' END, CASE WHEN mean <= 0 THEN 'mean' END, CASE WHEN stressed <= 0 THEN 'stress' END) AS failed FROM g) SELECT k, n, good_years, {sql.all_settled('mean stressed pf')}, failed, failed = '' AS passed FROM f"""
 
 
 def stm_10_ledger_alerts(spark, sf_dir):
@@ -245,14 +225,6 @@ def view_09_last_records(spark, sf_dir):
 VIEW_09_SQL = "SELECT event_type, CAST(ts AS DATE) AS day, event_id FROM events QUALIFY dense_rank() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE) DESC) <= 3"
 
 
-def view_16_order_state(spark, sf_dir):
-    """Latest defined field of each user's events."""
-    e = table(spark, sf_dir, "events")
-    return rounded(e.groupBy("user_id").agg(F.max_by("value", F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("last_paid"), F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("n")))
-
-
-VIEW_16_SQL = f"SELECT user_id, {sql.settled("arg_max(value, event_id) FILTER (event_type = 'purchase')", 'last_paid')}, arg_max(event_type, event_id) AS state, count(*) AS n FROM events GROUP BY 1"
-
 _NAMES = [k for k in dict(globals()) if k.split("_")[0] in ("flt", "join", "agg", "win", "topk", "set", "fn", "reg", "str", "ml", "stat", "stm", "view") and callable(globals()[k]) and f"{'_'.join(k.split('_')[:2]).upper()}_SQL" in globals()]
 QUERIES = {k: globals()[k] for k in _NAMES}
 SQL = {k: globals()[f"{'_'.join(k.split('_')[:2]).upper()}_SQL"] for k in _NAMES}
