@@ -170,11 +170,7 @@ SELECT strategy, symbol, ts AS signal_ts, dir, entry_ts, exit_ts, reason, CAST(a
 
 def sim_42_lifecycle(spark, sf_dir):
     """Moves between the statuses of a customer's orders, and which of them the table of moves forbids."""
-    from tidemark.functions.semantics import by
-
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").alias("ts"), "o_orderkey", F.col("o_orderstatus").alias("state"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol").orderBy("ts", "o_orderkey")
     allowed = spark.createDataFrame([("O", "F"), ("O", "P"), ("P", "F"), ("O", "O"), ("P", "P"), ("F", "F")], "was string, state string").withColumn("legal", F.lit(True))
     moves = o.withColumn("was", F.lag("state").over(w)).where("was is not null")

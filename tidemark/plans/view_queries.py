@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.functions.semantics import asof, by, full, lagged, prior, rounded, running, trailing, with_runs
+from tidemark.functions.semantics import asof, by, full, lagged, rounded, running, trailing, with_runs
 from tidemark.plans import sql
-from tidemark.sources.bars import event_bars, item_bars, quotes, sessions, table
+from tidemark.sources.bars import item_bars, sessions, table
 
 W = sql.W
 
