@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, jaccard, langid, licenses, mixing, search, secrets, sharding, urlfilter, warc
+from tidemark.llm import decontaminate, jaccard, langid, licenses, lmscore, mixing, resampling, search, secrets, sharding, urlfilter, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,6 +149,51 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """CTEs a0, c1, a1, ...: the nearest entry of each part, and the codebooks after each round."""
+    out = []
+    for i in range(rounds + 1):
+        if i:
+            out.append(f"""
+     s{i} AS (SELECT a.part, a.entry, u.place, CAST(floor(sum(p.v[u.place]) / count(*)) AS DOUBLE) AS x
+             FROM a{i - 1} a JOIN p USING (vec_id, part), LATERAL (SELECT unnest(generate_series(1, len(p.v))) AS place) u GROUP BY ALL),
+     m{i} AS (SELECT part, entry, list(x ORDER BY place) AS e FROM s{i} GROUP BY ALL),
+     c{i} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, c.e) AS e FROM c{i - 1} c LEFT JOIN m{i} m USING (part, entry))""")
+        out.append(f"""
+     a{i} AS MATERIALIZED (SELECT vec_id, part, best.d AS d, best.entry AS entry FROM (
+             SELECT p.vec_id, p.part, min({{'d': list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.e) + list_dot_product(c.e, c.e), 'entry': c.entry}}) AS best
+             FROM p JOIN c{i} c USING (part) GROUP BY ALL))""")
+    return ",".join(out)
+
+
+OP11_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     p AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM k, range(4) AS t(part)),
+     f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 256),
+     c0 AS MATERIALIZED (SELECT part, entry, v AS e FROM p JOIN f USING (vec_id)),{_rounds_sql(4)},
+     r AS (SELECT vec_id, string_agg(lpad(lower(to_hex(CAST(entry AS BIGINT))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+     h AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h"""
+
+
+def scored_apart(doc_id: str = "doc_id"):
+    """Whether a document is kept from the language model: crc32 of its id as text leaves 1 by 5."""
+    return F.crc32(F.encode(F.col(doc_id).cast("string"), "utf-8")) % 5 == 1
+
+
+def op12_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), scored_apart()).drop("n_bytes")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # imports this subpackage
 
@@ -167,9 +212,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_search": op8_search,
         "op9_urlfilter": op9_urlfilter,
         "op10_sharding": op10_sharding,
+        "op11_codes": op11_codes,
+        "op12_lmscore": op12_lmscore,
+        "op13_resample": op13_resample,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_search": OP8_SQL, "op9_urlfilter": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_jaccard": OP4_SQL, "op7_decontaminate": OP7_SQL, "op8_search": OP8_SQL, "op9_urlfilter": OP9_SQL, "op11_codes": OP11_SQL}
