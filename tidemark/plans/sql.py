@@ -60,3 +60,14 @@ def smooth(name: str, source: str, x: str, n: int, alpha: float) -> str:
 def joined(names: list[str], source: str = "bars") -> str:
     """source with a column for each smoothed CTE."""
     return f"FROM {source} " + " ".join(f"LEFT JOIN {n} ON {n}.symbol = {source}.symbol AND {n}.ts = {source}.ts" for n in names)
+
+
+#: Five-minute bars m5(symbol, ts, open, high, low, close, i) of the market that events move; a bar opens at the price in force.
+M5 = f"""
+m5_ticks AS (SELECT event_type AS symbol, ts AS seen_at, event_id,
+    1000 + (sum(CAST(round(value * 100) AS BIGINT) - 5000) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::DOUBLE / 10000 AS price FROM events),
+m5_seen AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, seen_at, TIMESTAMP '1970-01-01') AS ts, max(price) AS top, min(price) AS bottom, arg_max(price, row(seen_at, event_id)) AS last_price FROM m5_ticks GROUP BY ALL),
+m5_grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 5 MINUTE)) AS ts FROM m5_seen GROUP BY symbol),
+m5_held AS (SELECT symbol, ts, top, bottom, last_value(last_price IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS close FROM m5_grid LEFT JOIN m5_seen USING (symbol, ts)),
+m5_open AS (SELECT *, coalesce(lag(close) OVER ({W}), 1000.0) AS open FROM m5_held),
+m5 AS MATERIALIZED (SELECT symbol, ts, open, greatest(open, close, coalesce(top, close)) AS high, least(open, close, coalesce(bottom, close)) AS low, close, row_number() OVER ({W}) - 1 AS i FROM m5_open)"""

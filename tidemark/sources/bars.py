@@ -69,3 +69,28 @@ def closed_bars(bars: DataFrame, symbol: str | None = None, start: str | None =
     for condition in ([F.col("symbol") == symbol] if symbol else []) + ([F.col("ts") >= F.lit(start).cast("timestamp_ntz")] if start else []) + ([F.col("ts") <= F.lit(end).cast("timestamp_ntz")] if end else []):
         bars = bars.where(condition)
     return bars
+
+
+def five_minute_quotes(spark: SparkSession, sf_dir: str, spread: float = 0.0002) -> DataFrame:
+    """Five-minute bars (symbol, ts, open, high, low, close) of a market that each event moves by a hundredth of its value less 50, from 1000 on.
+    A bar opens at the price in force, so that a stretch without events holds flat bars; the market's days are those of all events."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("at"), "event_id", (F.round(F.col("value") * 100).cast("long") - 5000).alias("move"))
+    order = Window.partitionBy("symbol").orderBy("at", "event_id")
+    ticks = e.select("symbol", "at", "event_id", (1000 + F.sum("move").over(order.rowsBetween(Window.unboundedPreceding, 0)) / 10_000).alias("price"))
+    seen = ticks.groupBy("symbol", bucket_start(F.col("at"), 300).alias("ts")).agg(F.max("price").alias("top"), F.min("price").alias("bottom"), F.max_by("price", F.struct("at", "event_id")).alias("close"))
+    ends = seen.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    grid = ends.select("symbol", F.explode(F.sequence("a", "b", F.expr("interval 5 minutes"))).alias("ts"))
+    filled = grid.join(seen, ["symbol", "ts"], "left")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    filled = filled.withColumn("close", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = F.coalesce(F.lag("close").over(w), F.lit(1000.0))
+    return filled.withColumn("open", opened).select("symbol", "ts", "open", F.greatest("open", "close", "top").alias("high"), F.least("open", "close", "bottom").alias("low"), "close")
+
+
+def five_minute_sides(spark: SparkSession, sf_dir: str, spread: float = 0.0002) -> DataFrame:
+    """five_minute_quotes() as bars of both sides (symbol, side, ts, ...), half the spread from the middle."""
+    mid = five_minute_quotes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    sides = F.explode(F.array(F.struct(F.lit("BID").alias("side"), F.lit(1 - spread / 2).alias("f")), F.struct(F.lit("ASK").alias("side"), F.lit(1 + spread / 2).alias("f"))))
+    return mid.withColumn("s", sides).select("symbol", "s.side", "ts", *[(F.col(c) * F.col("s.f")).alias(c) for c in ("open", "high", "low", "close")])
