@@ -100,50 +100,11 @@ def asof(left: DataFrame, right: DataFrame, value: str, *keys: str, ts: str = "t
 
 def smoothed(df: DataFrame, inputs: dict[str, tuple[str, int, float]], *keys: str, ts: str = "ts") -> DataFrame:
     """Recursive smoothers: column -> (input, n, alpha). The first output is the mean of the first n defined inputs at the n-th,
-    then y = alpha x + (1 - alpha) y. An input undefined after its first value is an error.
+    then y = alpha x + (1 - alpha) y. An input undefined after its first value leaves that row and the later ones undefined. A key's rows are
+    split into blocks of time that many tasks smooth (scans.smoothers)."""
+    from tidemark.functions.scans import smoothers
 
-    State runs through an instrument's rows in order, which no window frame expresses; instruments are independent groups. The
-    rows of an instrument are one group, as its history is. They pass as Arrow tables with all their columns, so that nothing has
-    to be joined back and repeated times stay as they are.
-    """
-    from pyspark.sql import types as T
-
-    keys = keys or ("symbol",)
-    plan = list(inputs.items())
-    names = list(dict.fromkeys(x for x, _, _ in inputs.values()))
-    kept = [c for c in df.columns if c not in inputs]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, T.DoubleType()) for out in inputs])
-
-    def run(group):
-        import numpy as np
-        import pyarrow as pa
-
-        group = group.sort_by(ts)
-        series = {x: group.column(x).cast(pa.float64()).to_numpy().astype(float) for x in names}
-        out = group.select(kept)
-        for name, (x, n, alpha) in plan:
-            y = smooth_array(series[x], n, alpha) if len(group) else np.array([], float)
-            out = out.append_column(name, pa.array(y, pa.float64(), from_pandas=True))
-        return out
-
-    return df.groupBy(*keys).applyInArrow(run, schema)
-
-
-def smooth_array(x, n: int, alpha: float):
-    """The recursion of smoothed() on one array."""
-    import numpy as np
-
-    out = np.full(len(x), np.nan)
-    known = ~np.isnan(x)
-    if known.any():
-        begin = int(known.argmax())
-        if not known[begin:].all():
-            raise ValueError("an input of a recursive smoother is undefined after its first value")
-        if begin + n <= len(x):
-            y = out[begin + n - 1] = x[begin : begin + n].mean()
-            for t in range(begin + n, len(x)):
-                y = out[t] = alpha * x[t] + (1.0 - alpha) * y
-    return out
+    return smoothers(df, inputs, *keys, ts=ts)
 
 
 #: Rows that one task ranks at a time, beside those that they look back on.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
+from tidemark.functions.scans import taken
 from tidemark.functions.semantics import by, full, lagged, prior, ratio, rolling_mean, smoothed, trailing, with_ranks
 from tidemark.operators.indicators import true_range
 
@@ -131,7 +132,7 @@ def bracket_exits(bars: DataFrame, signals: DataFrame, spread: float = 0.0002, g
         ("target", F.col("__best") >= F.col("__goal"), "__goal"), ("time", F.col("age") >= F.col("hold"), "__close"), ("weekend", F.col("pause"), "__close"),
     )
     ended = path.withColumn("__end", F.coalesce(*[F.when(holds, F.struct(F.lit(name).alias("reason"), (d * F.col(price)).alias("exit"))) for name, holds, price in rules])).where("__end is not null")
-    kept = F.struct("dir", "entry_ts", "entry", "stop_dist", "target_dist", "exit_ts", "__end.exit", "__end.reason", "age", F.datediff("day", "first_day").alias("nights"))
+    kept = F.struct("i", "dir", "entry_ts", "entry", "stop_dist", "target_dist", "exit_ts", "__end.exit", "__end.reason", "age", F.datediff("day", "first_day").alias("nights"))
     return ended.groupBy("symbol", "ts").agg(F.min_by(kept, "age").alias("x")).select("symbol", F.col("ts").alias("signal_ts"), "x.*")
 
 
@@ -142,25 +143,14 @@ def _costs(exits: DataFrame, equity: float, percent: float, commission: float, l
     fee = 2 * F.greatest(F.lit(least * dollar), commission * 1e-4 * notional)
     gross = F.col("dir") * (F.col("exit") - F.col("entry")) / F.col("stop_dist")
     cost = (fee + F.col("nights") * financing * 1e-4 * notional) / risk
-    named = exits.select("symbol", "signal_ts", "dir", "entry_ts", "exit_ts", "entry", "exit", "reason", F.col("age").alias("bars"), "nights", gross.alias("r_gross"), cost.alias("r_cost"))
+    named = exits.select("symbol", "i", "signal_ts", "dir", "entry_ts", "exit_ts", "entry", "exit", "reason", F.col("age").alias("bars"), "nights", gross.alias("r_gross"), cost.alias("r_cost"))
     return named.withColumn("r_net", F.col("r_gross") - F.col("r_cost"))
 
 
-def bracket_trades(bars: DataFrame, signals: DataFrame, spread: float = 0.0002, equity: float = 10_000.0, percent: float = 0.5, commission: float = 0.2, least: float = 2.0, financing: float = 0.5, euro: float = 1.1, dollar: float = 1.0) -> DataFrame:
-    """One position a symbol at a time: a signal before the exit bar of an open position is passed over. Commission and financing
+def bracket_trades(bars: DataFrame, signals: DataFrame, spread: float = 0.0002, equity: float = 10_000.0, percent: float = 0.5, commission: float = 0.2, least: float = 2.0, financing: float = 0.5, euro: float = 1.1, dollar: float = 1.0, max_hold: int | None = None) -> DataFrame:
+    """One position a symbol at a time: a signal before the exit bar of an open position is passed over. max_hold bounds the signals' own. Commission and financing
     are in basis points (a side, a night), least in dollars; euro and dollar convert to the quoted currency. Exits are known from
-    bracket_exits, so the fold of a symbol's signals only skips overlaps."""
+    bracket_exits, so what is left is to take intervals of bars one after the other, which block scans do (scans.taken)."""
     exits = _costs(bracket_exits(bars, signals, spread), equity, percent, commission, least, financing, euro, dollar)
-
-    def run(group):
-        import numpy as np
-
-        group = group.sort_by("signal_ts")
-        signal, end = group.column("signal_ts").to_numpy(), group.column("exit_ts").to_numpy()
-        taken, i = [], 0
-        while i < len(signal):
-            taken.append(i)
-            i = max(i + 1, int(np.searchsorted(signal, end[i])))
-        return group.take(taken)
-
-    return exits.groupBy("symbol").applyInArrow(run, exits.schema)
+    longest = max(HOLD.values()) if max_hold is None else max_hold
+    return taken(exits.withColumn("__end", F.col("i") + F.col("bars")), "i", "__end", longest, "symbol").drop("i", "__end")
