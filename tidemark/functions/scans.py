@@ -267,3 +267,22 @@ def taken(df: DataFrame, begin: str, end: str, longest: int, *keys: str, block:
 
     done = scan(placed, keys, (ts,), (begin, end), {"__taken": "boolean"}, {"home": "long", "table": "array<double>"}, sum_up, carry, -1.0, run, block)
     return done.where("__taken").drop("__taken", ts)
+
+
+# Blocks with their surroundings
+
+
+def haloed(df: DataFrame, place: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Each row for the block of size consecutive places (place: whole numbers from 0) that it lies in, and again for the neighbours whose first row it
+    comes up to before places ahead of, or whose last row it follows within after places: __block, and __own where the block is the row's."""
+    if max(before, after) > size:
+        raise ValueError("a block reaches into its neighbours only")
+    home = F.floor(F.col(place) / size).cast("long")
+    within = F.col(place) % size
+    homes = F.array(home)
+    if before:
+        homes = F.when(within >= size - before, F.concat(homes, F.array(home + 1))).otherwise(homes)
+    if after:
+        homes = F.when(within < after, F.concat(homes, F.array(home - 1))).otherwise(homes)
+    dealt = df.withColumn("__block", F.explode(homes))
+    return dealt.withColumn("__own", F.col("__block") == home)
