@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 from tidemark.llm import queries, resampling
@@ -85,7 +86,11 @@ def test_query_reads_the_tables(spark, tmp_path):
 
 
 def test_a_run_continues_the_state_of_its_prefix():
-    trie = resampling.Trie(3, lambda state: state)
-    found = [n[0] for n in trie.visit([b"a", b"bc", b"a", b"bc"])]
-    runs = [b"a", b"bc", b"a bc", b"a", b"bc a", b"a bc a", b"bc", b"a bc", b"bc a bc"]
-    assert found == [zlib.crc32(r) for r in runs] and len([*trie.nodes()]) == 6
+    long = b"y" * 200  # beyond the tables of states
+    texts = [[b"a", b"bc", b"a", b"bc"], [], [b"bc"], [b"a", long, b"bc"]]
+    levels = [*resampling.Trie(texts).levels(3)]
+    for n, level in enumerate(levels, 1):
+        runs = [(i, b" ".join(t[j : j + n])) for i, t in enumerate(texts) for j in range(len(t) - n + 1)]
+        assert [(t, int(level.states[a])) for t, a in zip(level.text.tolist(), level.at.tolist(), strict=True)] == [(i, zlib.crc32(r)) for i, r in runs]
+        assert sorted(level.counts.tolist()) == sorted(Counter(r for _, r in runs).values())
+    assert [len(x.states) for x in levels] == [3, 4, 3]

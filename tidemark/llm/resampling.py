@@ -1,22 +1,26 @@
 """Importance resampling of documents towards a target collection.
 
 Features are all runs of 1 to LONGEST consecutive words, hashed into buckets by the CRC of their bytes. Each task keeps the runs of
-its rows in a word trie, whose nodes hold how often a run came and the CRC state after it, so that a longer run continues its
+its rows in word tries, whose nodes hold how often a run came and the CRC state after it, so that a longer run continues its
 prefix's state and each distinct run is hashed once. Bucket totals of all tasks are merged; a bucket's gain is the logarithm of its
-smoothed share in the target against that in the documents. Documents are then scored on tries whose nodes hold gains in place of
-counts, and the highest perturbed scores (Gumbel noise by id) are drawn without replacement.
+smoothed share in the target against that in the documents. Documents are then scored along the paths of tries whose nodes have
+their bucket's gain, and the highest perturbed scores (Gumbel noise by id) are drawn without replacement.
 
 Null and empty texts have no words, no features and weight 0. A null id draws its noise from an empty text and comes last on ties.
 Repeated rows get the same score and follow one another. Empty tables, either one, give smoothed shares alone. Other columns may
-have any names. A trie is given up for a new one after TRIE_WORDS words, which bounds memory and changes no total.
+have any names. A trie takes the texts up to TRIE_WORDS words, or one longer text, which bounds memory and changes no total.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,49 +30,95 @@ from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, frugal, slices
 BUCKETS = 10_000
 LONGEST = 2
 #: Words after which a task begins a new trie.
-TRIE_WORDS = 200_000
+TRIE_WORDS = 400_000
 #: Percent of the eligible documents that are drawn, and how many words make a document eligible.
 PERCENT, LEAST_WORDS = 25, 20
 SEED = 7
 
 
+class _Places(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+#: Words of more bytes advance states one by one, not by a table for their length.
+TABLE_BYTES = 64
+
+
+@functools.lru_cache(maxsize=TABLE_BYTES + 2)
+def _shift_tables(length: int) -> np.ndarray:
+    """What so many bytes make of each byte of a CRC state; CRCs are linear, so a state's bytes may be looked up on their own."""
+    zeros = bytes(length)
+    bits = np.array([crc32(zeros, 1 << k) ^ crc32(zeros) for k in range(32)], np.uint32)
+    values = np.arange(256)
+    return np.stack([np.bitwise_xor.reduce([np.where(values >> k & 1, bits[8 * byte + k], 0).astype(np.uint32) for k in range(8)]) for byte in range(4)])
+
+
+@dataclass
+class Level:
+    """The nodes of a trie that are so many words deep: the CRC state of each one's run and how often it came; and of all runs of the texts
+    (in order of their first words) the node and the text."""
+
+    states: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+
+
 class Trie:
-    """Runs of words. A node is a list: value, CRC state of the run's bytes, children by word (None until there is one)."""
-
-    def __init__(self, longest: int, value):
-        self.longest, self.value = longest, value
-        self.root: list = [None, 0, {}]
-        self.words = 0
-
-    def visit(self, words: list[bytes]) -> Iterator[list]:
-        """The nodes of all runs of a text, in the order of their last words; new ones get value(state)."""
-        longest, value, root = self.longest, self.value, self.root
-        self.words += len(words)
-        above = [root]
-        for w in words:
-            nodes = []
-            for parent in above:
-                kids = parent[2]
-                if kids is None:
-                    kids = parent[2] = {}
-                node = kids.get(w)
-                if node is None:
-                    state = crc32(w) if parent is root else crc32(w, crc32(b" ", parent[1]))
-                    node = kids[w] = [value(state), state, None]
-                nodes.append(node)
-                yield node
-            above = [root, *nodes[: longest - 1]]
-
-    def nodes(self) -> Iterator[list]:
-        waiting = [self.root]
-        while waiting:
-            found = [*(waiting.pop()[2] or {}).values()]
-            yield from found
-            waiting += found
-
-    @property
-    def full(self) -> bool:
-        return self.words > TRIE_WORDS
+    """The runs of a batch of texts as a word trie in arrays, one level after the other: a node is its parent's place and a word."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        places = _Places()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ids = np.fromiter(map(places.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        self.words = [*places]
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        #: words from each one to the end of its text
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.ids))
+        self.tails = np.array([crc32(b" " + w) for w in self.words], np.uint32)
+        self.lengths = np.array([len(w) + 1 for w in self.words], np.int64)
+
+    def advance(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The states after one more word each."""
+        out = np.empty(len(states), np.uint32)
+        lengths = self.lengths[words]
+        for length in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == length)
+            if length > TABLE_BYTES:
+                out[mine] = [crc32(b" " + self.words[w], s) for w, s in zip(words[mine].tolist(), states[mine].tolist(), strict=True)]
+                continue
+            tables, s = _shift_tables(length), states[mine]
+            out[mine] = tables[0][s & 255] ^ tables[1][s >> 8 & 255] ^ tables[2][s >> 16 & 255] ^ tables[3][s >> 24] ^ self.tails[words[mine]]
+        return out
+
+    def levels(self, longest: int) -> Iterator[Level]:
+        at, starts = self.ids, np.arange(len(self.ids))
+        level = Level(np.array([crc32(w) for w in self.words], np.uint32), np.bincount(at, minlength=len(self.words)), at, self.text)
+        yield level
+        for n in range(2, longest + 1):
+            more = self.left[starts] >= n
+            starts, parents = starts[more], at[more]
+            size = max(1, len(self.words))
+            nodes, at, counts = np.unique(parents * size + self.ids[starts + n - 1], return_inverse=True, return_counts=True)
+            level = Level(self.advance(level.states[nodes // size], nodes % size), counts, at, self.text[starts])
+            yield level
+
+
+def tries(texts: Iterator[list[bytes]]) -> Iterator[tuple[int, Trie]]:
+    """Tries of consecutive texts, each with the number of its texts."""
+    held, words = [], 0
+    for t in texts:
+        held.append(t)
+        words += len(t)
+        if words >= TRIE_WORDS:
+            yield len(held), Trie(held)
+            held, words = [], 0
+    if held:
+        yield len(held), Trie(held)
 
 
 def bucket_totals(texts: DataFrame, text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST) -> list[int]:
@@ -76,22 +126,14 @@ def bucket_totals(texts: DataFrame, text: str = "text", buckets: int = BUCKETS,
 
     @frugal
     def run(batches):
-        totals, trie = [0] * buckets, Trie(longest, lambda state: 0)
+        totals = np.zeros(buckets, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                for t in utf8(batch.column(0)):
-                    for node in trie.visit(words_of(t, ALNUM_FOLD)):
-                        node[0] += 1
-                    if trie.full:
-                        fold(trie, totals)
-                        trie = Trie(longest, lambda state: 0)
-        fold(trie, totals)
-        found = [(b, n) for b, n in enumerate(totals) if n]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([n for _, n in found], pa.int64())], ["bucket", "n"])
-
-    def fold(trie, totals):
-        for node in trie.nodes():
-            totals[node[1] % buckets] += node[0]
+                for _, trie in tries(words_of(t, ALNUM_FOLD) for t in utf8(batch.column(0))):
+                    for level in trie.levels(longest):
+                        np.add.at(totals, level.states % buckets, level.counts)
+        found = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(totals[found], pa.int64())], ["bucket", "n"])
 
     bounded_batches(texts.sparkSession)
     merged = texts.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -113,23 +155,19 @@ def weigh(docs: DataFrame, gain: list[int], text: str = "text", key: str = "doc_
 
     @frugal
     def run(batches):
-        gain = shared.value
-        buckets = len(gain)
-        fresh = lambda: Trie(longest, lambda state: gain[state % buckets])
-        trie = fresh()
+        gain = np.array(shared.value, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                rows = []
-                for t in utf8(batch.column(1)):
-                    words = words_of(t, ALNUM_FOLD)
-                    n = total = 0
-                    for node in trie.visit(words):
-                        n += 1
-                        total += node[0]
-                    rows.append((len(words), n, total // n if n else 0))
-                    if trie.full:
-                        trie = fresh()
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "n_words", "n_features", "weight"])
+                first = 0
+                for size, trie in tries(words_of(t, ALNUM_FOLD) for t in utf8(batch.column(1))):
+                    features, total = np.zeros((2, size), np.int64)
+                    for level in trie.levels(longest):
+                        features += np.bincount(level.text, minlength=size)
+                        np.add.at(total, level.text, gain[level.states % len(gain)][level.at])
+                    words = np.bincount(trie.text, minlength=size)
+                    columns = [words, features, np.where(features > 0, total // np.maximum(features, 1), 0)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, size), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "n_words", "n_features", "weight"])
+                    first += size
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), text).mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
