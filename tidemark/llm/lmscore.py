@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +180,8 @@ def decisions(words: list[bytes], code: Code, bits: tuple[int, ...]) -> Decision
 
 
 def blocks(docs: DataFrame, held: Column, text: str, key: str) -> DataFrame:
-    """One row for each block of texts: doc_id, held_out, n_bytes, n_tokens (arrays), places of the words in the block's vocabulary (32-bit, one text after
-    the other), the vocabulary, and how often each of its words stands in the learned texts."""
+    """One row for each block of texts: doc_id, held_out, n_bytes, n_tokens (arrays), and compressed: places of the words in the block's vocabulary
+    (32-bit, one text after the other), the vocabulary by falling frequency, and how often each of its words stands in the learned texts."""
 
     @frugal
     def run(batches):
@@ -196,7 +197,7 @@ def blocks(docs: DataFrame, held: Column, text: str, key: str) -> DataFrame:
         if pack.docs:
             yield pack.row((task << 32) + made)
 
-    schema = "block long, docs array<long>, held array<boolean>, n_bytes array<long>, n_tokens array<long>, places binary, words array<binary>, learned array<long>"
+    schema = "block long, docs array<long>, held array<boolean>, n_bytes array<long>, n_tokens array<long>, places binary, words binary, learned binary"
     out = F.coalesce(held, F.lit(False))
     # the text goes last under a name of its own, whatever the columns before it are
     rows = docs.select(F.col(key).alias("a"), (F.col(key).isNotNull() & ~out).alias("b"), out.alias("c"), F.col(text).alias("d"))
@@ -224,11 +225,36 @@ class Pack:
         self.bytes += len(text or b"") + 64
 
     def row(self, block: int) -> pa.RecordBatch:
-        counts = np.bincount(np.concatenate(self.learned), minlength=len(self.ids)) if self.learned else np.zeros(len(self.ids), np.int64)
+        places = np.concatenate(self.places)
+        order = np.argsort(-np.bincount(places, minlength=len(self.ids)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        learned = np.bincount(rank[np.concatenate(self.learned)], minlength=len(order)) if self.learned else np.zeros(len(order), np.int64)
+        words = [*self.ids]
+        packed = [rank[places].tobytes(), b" ".join([words[i] for i in order.tolist()]), learned.astype(np.int64).tobytes()]
         lists = [pa.array([x], pa.list_(t)) for x, t in ((self.docs, pa.int64()), (self.held, pa.bool_()), (self.n_bytes, pa.int64()), (self.n_tokens, pa.int64()))]
-        places = pa.array([np.concatenate(self.places).tobytes()], pa.binary())
         names = ["block", "docs", "held", "n_bytes", "n_tokens", "places", "words", "learned"]
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, places, pa.array([[*self.ids]], pa.list_(pa.binary())), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists, *[pa.array([zstandard.compress(x, 3)], pa.binary()) for x in packed]], names)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def vocabulary(packed: DataFrame, rows: int = 65_536) -> DataFrame:
+    """block, place, word and n (how often the block's learned texts hold it) of all blocks' words."""
+
+    @frugal
+    def run(batches):
+        for batch in batches:
+            for block, words, learned in zip(*[batch.column(c).to_pylist() for c in ("block", "words", "learned")], strict=True):
+                words, learned = zstandard.decompress(words).split(b" "), unpacked(learned, np.int64)
+                for first in range(0, len(words), rows):
+                    part = words[first : first + rows]
+                    columns = [pa.array(np.full(len(part), block)), pa.array(np.arange(first, first + len(part), dtype=np.int32)), pa.array(part, pa.binary()), pa.array(learned[first : first + rows])]
+                    yield pa.RecordBatch.from_arrays(columns, ["block", "place", "word", "n"])
+
+    return packed.select("block", "words", "learned").mapInArrow(run, "block long, place int, word binary, n long")
 
 
 # Learning
@@ -381,11 +407,11 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     spark = docs.sparkSession
     bounded_batches(spark)
     packed = cut(blocks(docs, held, text, key), "lm-blocks")
-    vocabulary = packed.select("block", F.posexplode(F.arrays_zip("words", "learned")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.learned").alias("n"))
-    counts = cut(vocabulary.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    words = vocabulary(packed)
+    counts = cut(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     model = learn(counts, most_bits)
     shared = spark.sparkContext.broadcast(model)
-    known = vocabulary.select("block", "place", "word").join(counts, "word").select(F.col("block").alias("of"), "place", "n")
+    known = words.select("block", "place", "word").join(counts, "word").select(F.col("block").alias("of"), "place", "n")
     fields = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -393,16 +419,17 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
         return pa.concat_tables([scored(row, right, model) for row in left.to_pylist()]) if left.num_rows else scored_schema()
 
     def scored(row: dict, found: pa.Table, model: Model) -> pa.Table:
-        count = np.zeros(len(row["words"]))
+        words = zstandard.decompress(row["words"]).split(b" ")
+        count = np.zeros(len(words))
         count[found.column("place").to_numpy()] = found.column("n").to_numpy()
-        places = np.frombuffer(row["places"], np.uint32).astype(np.int64)
+        places = unpacked(row["places"], np.uint32).astype(np.int64)
         ends = np.cumsum(row["n_tokens"])
         texts = np.split(places, ends[:-1])
         loss = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         starts = np.r_[0, ends[:-1]]
         base = np.add.reduceat(loss[places], starts)
         seen = np.add.reduceat((count > 0)[places].astype(np.int64), starts)
-        value = mixed(texts, spell_out(row["words"], model))
+        value = mixed(texts, spell_out(words, model))
         size = np.maximum(np.array(row["n_bytes"]), 1)
         columns = [row["docs"], row["held"], row["n_bytes"], row["n_tokens"], seen, np.full(len(seen), model.tokens), base, value, -value * math.log2(10) / size]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, scored_schema().schema, strict=True)], schema=scored_schema().schema)
