@@ -59,3 +59,17 @@ def auction_windows(sessions: DataFrame, safety: int = 60) -> DataFrame:
     before = F.lag("day").over(Window.partitionBy("exchange").orderBy("day"))
     s = sessions.withColumn("previous", before)
     return s.withColumns({"opens_at": at_local(F.col("previous"), AUCTION_FROM, "America/New_York", safety), "closes_at": at_local(F.col("day"), AUCTION_UNTIL, "America/New_York", -safety)})
+
+
+def day_bounds(times: DataFrame, holidays: DataFrame, ahead: int = 7) -> DataFrame:
+    """times(ts) with day, the trading day; starts_at and ends_at (UTC, 17:00 to 17:00 in New York); open: whether it is a weekday and no holiday (day); next_open: ts itself while open, else
+    when the next open day within ahead days begins."""
+    zone = "America/New_York"
+    dated = times.withColumn("day", trading_day(F.col("ts")))
+    days = dated.select("day").distinct()
+    each = days.withColumn("later", F.explode(F.sequence(F.col("day"), F.date_add("day", ahead))))
+    shut = holidays.select(F.to_date("day").alias("later")).distinct()
+    opened = each.where(F.weekday("later") < 5).join(shut, "later", "left_anti").groupBy("day").agg(F.max(F.col("later") == F.col("day")).alias("open"), F.min(F.when(F.col("later") > F.col("day"), F.col("later"))).alias("next_day"))
+    out = dated.join(opened, "day", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    begins = lambda d: at_local(F.date_sub(d, 1), 17 * 60, zone)
+    return out.select("ts", "day", begins(F.col("day")).alias("starts_at"), at_local(F.col("day"), 17 * 60, zone).alias("ends_at"), "open", F.when(F.col("open"), F.col("ts")).otherwise(begins(F.col("next_day"))).alias("next_open"))

@@ -48,3 +48,12 @@ def fingerprint(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...],
     """Content hash of each key's rows: rows are hashed where they are, and the hashes hashed in order."""
     each = rows.select(*keys, *order, F.sha2(F.to_json(F.struct(*order, *columns)), 256).alias("__h"))
     return each.groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "__h"))), lambda x: x["__h"]), ""), 256).alias("fingerprint"))
+
+
+def block_fingerprint(rows: DataFrame, keys: tuple[str, ...], block: str, order: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Content hash of each key's rows by blocks (a column that orders them, such as a month): the texts of a row are hashed, a block's hashes in order, and the blocks' in theirs, so that no array
+    holds more than a block's rows or a key's blocks. Columns are texts."""
+    each = rows.select(*keys, block, *order, F.sha2(F.concat_ws("|", *order, *columns), 256).alias("__h"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(c), lambda x: x["__h"]), ""), 256)
+    blocks = each.groupBy(*keys, block).agg(F.count("*").alias("n"), joined(F.collect_list(F.struct(*order, "__h"))).alias("__h"))
+    return blocks.groupBy(*keys).agg(F.sum("n").alias("rows"), joined(F.collect_list(F.struct(block, "__h"))).alias("fingerprint"))
