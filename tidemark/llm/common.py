@@ -43,6 +43,14 @@ def words_of(text: bytes | None, fold: bytes) -> list[bytes]:
     return [w for w in text.translate(fold).split(b" ") if w]
 
 
+class Places(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = place = len(self)
+        return place
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session without executors of
     its own (local[n], as in tests) sets a folder; on a cluster it is an error."""
@@ -115,6 +123,15 @@ class Scratch:
         self.drop(*(x for x in [*self.paths] if x not in names))
 
 
+def give_back() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def frugal(run: Callable) -> Callable:
     """run for mapInArrow, after which the worker, which Spark uses again, gives freed memory back to the system."""
 
@@ -123,11 +140,7 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            give_back()
 
     return whole
 

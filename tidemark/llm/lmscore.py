@@ -9,7 +9,7 @@ are adapted while it is scored, after each STEP words, so a text's score hangs o
 
 How the work is dealt: rows are packed into blocks of texts, a block's words stand once in its vocabulary. The vocabularies are counted
 over all blocks, and the counts return to the blocks by a join, so that a frequent word is one row a block. The slots learn from
-the counted vocabulary. Slots number up to 2^MOST_BITS for each context, 14 MB in all, which bounds the table that is broadcast; the word counts are exact.
+the counted vocabulary. Slots number up to 2^MOST_BITS for each context, 7 MB in all, which bounds the table that is broadcast; the word counts are exact.
 
 Null and empty texts have only the end. Null ids are not held out and teach nothing. Repeated rows get repeated results, an empty
 table an empty one; where nothing is learned all counts are 0 and every decision starts at one half. Other columns may have any names.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_FOLD, bounded_batches, cut, frugal, slices, utf8, words_of
+from tidemark.llm.common import SPACE_FOLD, Places, bounded_batches, cut, frugal, give_back, slices, utf8, words_of
 
 #: The word that ends a text, and the byte that ends a word; neither stands in a word.
 END, STOP = b"\n", 0x20
@@ -39,11 +39,11 @@ BLOCK_BYTES = 8 << 20
 ORDERS = (1, 2, 3, 5)
 CONTEXTS = len(ORDERS) + 1
 #: Slots of each context: SLOTS_A_WORD for each learned word, as a power of two within these bounds.
-SLOTS_A_WORD, LEAST_BITS, MOST_BITS = 32, 14, (16, 18, 20, 22, 23)
+SLOTS_A_WORD, LEAST_BITS, MOST_BITS = 32, 14, (16, 18, 20, 21, 22)
 #: Slots that are added up together.
 CHUNK = 1 << 14
-#: Distinct words that one task learns from.
-SHARE = 2_000_000
+#: Distinct words that one task learns from, and words whose decisions it lays out at once.
+SHARE, LAID_OUT = 2_000_000, 16_384
 #: Added to both counts of a slot; stretched predictions are held in 16ths of a unit.
 PRIOR, UNIT = 0.4, 16.0
 #: Words after which the weights of a text are adapted, and the rates of weights and map.
@@ -206,15 +206,11 @@ def blocks(docs: DataFrame, held: Column, text: str, key: str) -> DataFrame:
 
 class Pack:
     def __init__(self):
-        self.docs, self.held, self.n_bytes, self.n_tokens, self.places, self.ids, self.learned, self.bytes = [], [], [], [], [], {}, [], 0
+        self.docs, self.held, self.n_bytes, self.n_tokens, self.places, self.ids, self.learned, self.bytes = [], [], [], [], [], Places(), [], 0
 
     def add(self, doc, learned, held, text):
         tokens = [*words_of(text, SPACE_FOLD), END]
-        ids = self.ids
-        for w in tokens:
-            if w not in ids:
-                ids[w] = len(ids)
-        places = np.fromiter(map(ids.__getitem__, tokens), np.uint32, len(tokens))
+        places = np.fromiter(map(self.ids.__getitem__, tokens), np.uint32, len(tokens))
         if learned:
             self.learned.append(places)
         self.docs.append(doc)
@@ -270,7 +266,7 @@ class Model:
     distinct: int
 
 
-def _packed(batches: Iterator[pa.RecordBatch], size: int = 50_000) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _packed(batches: Iterator[pa.RecordBatch], size: int = LAID_OUT) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for batch in batches:
         for start in range(0, batch.num_rows, size):
             part = batch.slice(start, size)
@@ -351,8 +347,8 @@ def stretched(counts: np.ndarray) -> np.ndarray:
 def spell_out(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the decisions of words: predictions signed by the bit that came (contexts, decisions), sign, gate; and decisions a word."""
     said, sign, gate, sizes = [], [], [], []
-    for start in range(0, len(words), 50_000):
-        d = decisions(words[start : start + 50_000], model.code, model.bits)
+    for start in range(0, len(words), LAID_OUT):
+        d = decisions(words[start : start + LAID_OUT], model.code, model.bits)
         s = np.stack([model.slots[i][d.slots[i]] for i in range(CONTEXTS)])
         way = (2 * d.bits.astype(np.int8) - 1).astype(np.int8)
         gate.append((d.place + 4 * (s[-1] != 0)).astype(np.uint8))
@@ -391,7 +387,7 @@ def mixed(texts: list[np.ndarray], spelling: tuple) -> np.ndarray:
             cell = owner * CELLS + np.clip(z * way + CELLS // 2, 0, CELLS - 1).astype(np.int64)
             z = np.clip(z + cells[cell] * way, -20, 20)
             miss = np.exp(-z)
-            loss = np.log1p(miss)
+            loss = np.log(1 + miss)
             miss /= 1 + miss
             ends = np.r_[0, np.cumsum(per_text)[:-1]]
             total[mine[:active]] -= np.add.reduceat(loss, ends, dtype=np.float64)
@@ -415,8 +411,10 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     fields = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        return pa.concat_tables([scored(row, right, model) for row in left.to_pylist()]) if left.num_rows else scored_schema()
+        try:
+            return pa.concat_tables([scored(row, right, shared.value) for row in left.to_pylist()]) if left.num_rows else scored_schema()
+        finally:
+            give_back()
 
     def scored(row: dict, found: pa.Table, model: Model) -> pa.Table:
         words = zstandard.decompress(row["words"]).split(b" ")

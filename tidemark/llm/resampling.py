@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM_FOLD, bounded_batches, cut, frugal, slices, utf8, words_of
+from tidemark.llm.common import ALNUM_FOLD, Places, bounded_batches, cut, frugal, slices, utf8, words_of
 
 BUCKETS = 10_000
 LONGEST = 2
@@ -36,14 +36,6 @@ PERCENT, LEAST_WORDS = 25, 20
 SEED = 7
 
 
-class _Places(dict):
-    """Numbers its keys as they are asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
-
-
 #: Words of more bytes advance states one by one, not by a table for their length.
 TABLE_BYTES = 64
 
@@ -72,7 +64,7 @@ class Trie:
     """The runs of a batch of texts as a word trie in arrays, one level after the other: a node is its parent's place and a word."""
 
     def __init__(self, texts: list[list[bytes]]):
-        places = _Places()
+        places = Places()
         sizes = np.array([len(t) for t in texts], np.int64)
         self.ids = np.fromiter(map(places.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
         self.words = [*places]
