@@ -84,3 +84,11 @@ def test_sizes_against_compression_of_whole_blocks(spark):
             packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             sizes.append(sum(len(packer.compress(data[i : i + langid.BLOCK_BYTES])) for i in range(0, len(data), langid.BLOCK_BYTES)))
         assert classify(long)[0] == model.dictionaries[min(range(len(sizes)), key=sizes.__getitem__)][0]
+
+
+def test_labels_with_hardly_a_letter_are_learned(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("abc", "tiny"), ("123 --", "none"), *[("the quick brown fox jumps over the lazy dog " * 5, "aa")] * 4])]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [name for name, _ in model.dictionaries] == ["aa", "none", "tiny"] and all(len(d) >= 8 for _, d in model.dictionaries)
+    assert len(langid.Classifier(model).sizes(b"abc abc")) == 3  # each label takes part in every decision
+    assert langid.Classifier(model)("the lazy fox jumps over the brown dog")[0] == "aa"

@@ -25,7 +25,7 @@ from tidemark.llm.common import frugal, slices
 #: Sample: so many texts a language at most, PIECES pieces of PIECE_CHARS of each; the dictionary holds the first bytes of these.
 SAMPLE_TEXTS = 256
 PIECES, PIECE_CHARS = 4, 512
-DICTIONARY_BYTES = 128 << 10
+DICTIONARY_BYTES, LEAST_BYTES = 128 << 10, 8
 #: Texts are compressed in blocks, so that the dictionary stays near the end of a long text as well.
 BLOCK_BYTES = 4096
 LEVEL, MIN_MATCH = 6, 3
@@ -77,7 +77,8 @@ def learn(docs: DataFrame, usable: Column | None = None, text: str = "text", lan
         texts = [r["pieces"] for r in picked if r["lang"] == name]
         turns = [p[i] for i in range(PIECES) for p in texts if i < len(p)]
         out.append((name, b"".join(normalized(p) + b" " for p in turns)[:DICTIONARY_BYTES]))
-    return Model(tuple((name, data) for name, data in out if len(data) >= 8))
+    # zstandard takes no shorter dictionary; a label whose sample has hardly a letter keeps one of spaces
+    return Model(tuple((name, data.ljust(LEAST_BYTES)) for name, data in out))
 
 
 class Classifier:
