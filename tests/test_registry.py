@@ -45,4 +45,19 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
 def test_query_without_sql_runs(spark, name):
     df = registry.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > 0
+
+
+def test_no_query_and_no_sql_is_left_out():
+    """Modules that register by prefix must not lose a query or its SQL silently."""
+    import inspect
+    from importlib import import_module
+
+    helpers = {"equity", "signals", "features", "validated", "provider_rows", "versions", "p_values", "observations", "indicators_all", "reg_transitions", "schedules", "rates", "runs"}
+    registered = set(registry.oracle_sql().values())
+    for name in registry.MODULES:
+        module = import_module(f"tidemark.plans.{name}")
+        public = {k for k, f in vars(module).items() if inspect.isfunction(f) and f.__module__ == module.__name__ and not k.startswith("_") and [*inspect.signature(f).parameters][:2] == ["spark", "sf_dir"]}
+        assert public - helpers <= module.QUERIES.keys(), name
+        texts = {k for k, v in vars(module).items() if k.endswith("_SQL") and isinstance(v, str) and v not in registered}
+        assert not texts, f"{name}: {texts} are no query's SQL"

@@ -50,7 +50,7 @@ def summary(daily: DataFrame, *keys: str, capital: float) -> DataFrame:
     """One row a run of daily (keys, ts, nav, cash_return, exposure, traded, cost): growth against cash, Sharpe of the excess over
     cash at the run's own sessions a year, worst month, turnover, exposure and costs. Ratios without dispersion are null."""
     w = by(*keys)
-    d = daily.withColumn("r", F.col("nav") / F.lag("nav").over(w) - 1).withColumn("excess", F.col("r") - F.col("cash_return"))
+    d = daily.withColumn("r", F.try_divide("nav", F.lag("nav").over(w)) - 1).withColumn("excess", F.col("r") - F.col("cash_return"))
     months = d.where(F.col("r").isNotNull()).groupBy(*keys, F.date_trunc("month", "ts").alias("m")).agg((F.exp(F.sum(F.ln(F.col("r") + 1))) - 1).alias("m_return")).groupBy(*keys).agg(F.min("m_return").alias("worst_month"))
     years = F.datediff(F.max("ts"), F.min("ts")) / 365.25
     runs = d.groupBy(*keys).agg(
@@ -93,7 +93,7 @@ def ter_adjustment(kind: Column, eu: Column, proxy: Column, scenario: Column) ->
 def needs_trade(state: Column, before: Column, actual: Column, target: Column, threshold: float = DRIFT) -> Column:
     """A change between LONG and CASH, or a LONG weight that drifted by more than the threshold; without data never."""
     known = lambda s: F.coalesce(s.isin("LONG", "CASH"), F.lit(False))
-    drifted = (state == "LONG") & (F.abs(actual - target) / target > threshold)
+    drifted = (state == "LONG") & (F.try_divide(F.abs(actual - target), target) > threshold)
     return known(state) & ((known(before) & (state != before)) | F.coalesce(drifted, F.lit(False)))
 
 
@@ -129,4 +129,4 @@ def anchors(products: DataFrame, levels: DataFrame, start: str) -> DataFrame:
 
 def total_return_factor(close: str = "close", dividend: str = "dividend") -> Column:
     """What a holding of the close before is worth with the day's dividend; null on the first bar."""
-    return (F.col(close) + F.coalesce(F.col(dividend), F.lit(0.0))) / F.lag(close).over(by())
+    return F.try_divide(F.col(close) + F.coalesce(F.col(dividend), F.lit(0.0)), F.lag(close).over(by()))

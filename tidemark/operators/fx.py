@@ -57,13 +57,13 @@ def _emit(f: DataFrame, strategy: str, side) -> DataFrame:
 
 def pullback_signals(f: DataFrame) -> DataFrame:
     """With the trend of three averages whose middle one rises by half an ATR in 20 bars, after a touch of the fast average."""
-    slope = (F.col("ema_50") - lagged("ema_50", 20)) / F.col("atr")
+    slope = F.try_divide(F.col("ema_50") - lagged("ema_50", 20), F.col("atr"))
     touches = {1: F.coalesce(F.col("low") <= F.col("ema_20"), F.lit(False)), -1: F.coalesce(F.col("high") >= F.col("ema_20"), F.lit(False))}
     f = f.withColumns({"__slope": slope, "__touch1": F.max(touches[1]).over(trailing(3)), "__touch-1": F.max(touches[-1]).over(trailing(3))})
 
     def side(d: int):
         stacked = (d * F.col("close") > d * F.col("ema_200")) & (d * F.col("ema_20") > d * F.col("ema_50")) & (d * F.col("close") > d * F.col("ema_20"))
-        apart = F.least(F.abs(F.col("ema_20") - F.col("ema_50")) / F.col("atr"), F.lit(2.0)) / 2
+        apart = F.least(F.try_divide(F.abs(F.col("ema_20") - F.col("ema_50")), F.col("atr")), F.lit(2.0)) / 2
         score = 0.55 + 0.25 * apart + 0.2 * F.least(F.abs("__slope") / 3, F.lit(1.0))
         return stacked & (d * F.col("__slope") >= 0.5) & F.col(f"__touch{d}"), 2.0 * F.col("atr"), 3.0 * F.col("atr"), score
 
@@ -78,7 +78,7 @@ def breakout_signals(f: DataFrame) -> DataFrame:
     def side(d: int):
         beyond = (d * F.col("close") > d * F.col(f"__edge{d}")) & (d * F.col("close") > d * F.col("ema_200"))
         driven = (F.col("atr") > F.col("atr_sma")) & (d * (F.col("rsi") - 50)).between(5, 30)
-        growth = F.least(F.greatest(F.col("atr") / F.col("atr_sma") - 1, F.lit(0.0)), F.lit(1.0))
+        growth = F.least(F.greatest(F.try_divide("atr", "atr_sma") - 1, F.lit(0.0)), F.lit(1.0))
         score = 0.55 + 0.25 * F.least(F.abs(F.col("rsi") - 50) / 30, F.lit(1.0)) + 0.2 * growth
         return beyond & driven, 1.5 * F.col("atr"), 2.5 * F.col("atr"), score
 

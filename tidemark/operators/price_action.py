@@ -31,7 +31,7 @@ class ZoneConfig:
 
 
 CONFIG = ZoneConfig()
-VERSIONS = "symbol string, zone_id long, low double, high double, from_idx long, to_idx long, evidence long, kinds string, merged_into long"
+VERSIONS = "symbol string, zone_id long, low double, high double, from_idx long, to_idx long, evidence long, kinds string, merged_into long, root long"
 #: Bars of a block in which bars and versions meet.
 BLOCK = 64
 
@@ -83,7 +83,7 @@ class _Zones:
 
 
 def zone_versions(swings: DataFrame, cfg: ZoneConfig = CONFIG) -> DataFrame:
-    """VERSIONS: bounds of each zone from the close of bar from_idx up to that of to_idx (null: still open)."""
+    """VERSIONS: bounds of each zone from the close of bar from_idx up to that of to_idx (null: still open), and root, the zone that it is part of in the end."""
 
     def run(group):
         import pandas as pd
@@ -91,9 +91,16 @@ def zone_versions(swings: DataFrame, cfg: ZoneConfig = CONFIG) -> DataFrame:
         zones = _Zones(cfg)
         for kind, price, idx in group.sort_values("swing_id")[["kind", "price", "confirmed_idx"]].itertuples(index=False, name=None):
             zones.pivot(price, kind, int(idx))
+        heirs = {v["zone_id"]: v["merged_into"] for v in zones.versions if v["merged_into"] is not None}
+
+        def root(zone: int) -> int:  # an heir is older than the zone that it takes over
+            while zone in heirs:
+                zone = heirs[zone]
+            return zone
+
         rows = zones.versions + [{"zone_id": k, "to_idx": None, "merged_into": None, **z} for k, z in zones.open.items()]
         rows = [r for r in rows if r["to_idx"] != r["from_idx"] or r["merged_into"] is not None]
-        out = pd.DataFrame([{**r, "kinds": "mixed" if len(r["kinds"]) > 1 else f"swing_{next(iter(r['kinds']))}"} for r in rows], columns=[c.split()[0] for c in VERSIONS.split(", ")])
+        out = pd.DataFrame([{**r, "root": root(r["zone_id"]), "kinds": "mixed" if len(r["kinds"]) > 1 else f"swing_{next(iter(r['kinds']))}"} for r in rows], columns=[c.split()[0] for c in VERSIONS.split(", ")])
         out["symbol"] = group["symbol"].iloc[0]
         return out.astype({"to_idx": "Int64", "merged_into": "Int64"})
 
@@ -117,7 +124,7 @@ def at_versions(bars: DataFrame, versions: DataFrame, after: bool = False) -> Da
 
 
 def _from(price: Column, level: Column) -> Column:
-    return F.round(price / level - 1, 10)
+    return F.round(F.try_divide(price, level) - 1, 10)
 
 
 def events(bars: DataFrame, versions: DataFrame, cfg: ZoneConfig = CONFIG) -> DataFrame:
@@ -125,7 +132,7 @@ def events(bars: DataFrame, versions: DataFrame, cfg: ZoneConfig = CONFIG) -> Da
     met = at_versions(indexed(bars), versions).where("before is not null")
     zl, zh, c, pc = F.col("zone_low"), F.col("zone_high"), F.col("close"), F.col("before")
     upper, lower = F.col("upper_wick_ratio"), F.col("lower_wick_ratio")
-    back, up = F.round((F.col("high") - c) / c, 10), F.round((c - F.col("low")) / c, 10)
+    back, up = F.round(F.try_divide(F.col("high") - c, c), 10), F.round(F.try_divide(c - F.col("low"), c), 10)
     found = [
         ("breakout", "up", (pc <= zh) & (_from(c, zh) >= cfg.break_distance), zh, _from(c, zh), None),
         ("breakdown", "down", (pc >= zl) & (_from(c, zl) <= -cfg.break_distance), zl, _from(c, zl), None),
@@ -171,19 +178,13 @@ def nearest(bars: DataFrame, versions: DataFrame) -> DataFrame:
         F.max_by(zone, F.when(below, F.struct("zone_high", -F.col("zone_id")))).alias("s"), F.min_by(zone, F.when(above, F.struct("zone_low", "zone_id"))).alias("r"), F.count("*").alias("active_zones"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~below & ~above, F.col("zone_id")))), lambda z: z.cast("string")), ",").alias("inside_zone_ids"),
     )
-    return g.select("symbol", "ts", F.col("s.zone_id").alias("support_zone_id"), F.round(F.col("close") / F.col("s.zone_high") - 1, 10).alias("support_distance_pct"), F.col("r.zone_id").alias("resistance_zone_id"), F.round(F.col("r.zone_low") / F.col("close") - 1, 10).alias("resistance_distance_pct"), "active_zones", "inside_zone_ids")
+    return g.select("symbol", "ts", F.col("s.zone_id").alias("support_zone_id"), F.round(F.try_divide(F.col("close"), F.col("s.zone_high")) - 1, 10).alias("support_distance_pct"), F.col("r.zone_id").alias("resistance_zone_id"), F.round(F.try_divide(F.col("r.zone_low"), F.col("close")) - 1, 10).alias("resistance_distance_pct"), "active_zones", "inside_zone_ids")
 
 
 def zones(bars: DataFrame, versions: DataFrame) -> DataFrame:
     """Open zones with evidence, sources and how many bars touched them since they were known, merged ones included."""
     touched = at_versions(indexed(bars), versions).where("zone_low <= high and zone_high >= low").groupBy("symbol", "zone_id").agg(F.count("*").alias("touches"), F.max("ts").alias("last_tested"))
-    into = versions.where("merged_into is not null").select("symbol", "zone_id", F.col("merged_into").alias("next"))
-    root = versions.select("symbol", "zone_id").distinct().withColumn("root", F.col("zone_id"))
-    while True:  # a merged zone's heir may be merged in turn; ids fall along the way
-        step = root.join(into.select("symbol", F.col("zone_id").alias("root"), "next"), ["symbol", "root"], "left").select("symbol", "zone_id", F.coalesce("next", "root").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
-        root = step.select("symbol", "zone_id", F.col("to").alias("root"))
-        if step.where("moved").isEmpty():
-            break
+    root = versions.select("symbol", "zone_id", "root").distinct()
     counts = touched.join(root, ["symbol", "zone_id"]).groupBy("symbol", F.col("root").alias("zone_id")).agg(F.sum("touches").alias("touch_count"), F.max("last_tested").alias("last_tested"))
     held = versions.where("to_idx is null").select("symbol", "zone_id", F.col("low").alias("zone_low"), F.col("high").alias("zone_high"), F.round((F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2), 10).alias("width_pct"), "evidence", "kinds")
     return held.join(counts, ["symbol", "zone_id"], "left").withColumn("touch_count", F.coalesce("touch_count", F.lit(0)))

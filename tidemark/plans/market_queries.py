@@ -87,16 +87,20 @@ JOIN_17_SQL = "SELECT o_custkey, count(DISTINCT o_orderkey) AS n, min(o_orderkey
 
 
 def join_23_grid(spark, sf_dir):
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (1.0, 1.5, 2.0)])).alias("stop")).crossJoin(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (1.5, 2.0, 3.0)])).alias("goal")))
-    return rounded(grid.withColumn("reward", F.col("goal") / F.col("stop")).where("reward >= 1.2"))
+    """Stops and goals from the sizes of parts, in tenths, paired where the goal is at least 1.2 stops away; two short lists."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("size")).distinct()
+    stops = sizes.where("size % 5 = 0 and size <= 25").select((F.col("size") / 10).alias("stop"))
+    goals = sizes.where("size % 10 = 0").agg(F.collect_list(F.col("size") / 10).alias("__goals"))
+    grid = stops.join(F.broadcast(goals)).withColumn("goal", F.explode("__goals")).drop("__goals")
+    return rounded(grid.withColumn("reward", F.try_divide("goal", "stop")).where("reward >= 1.2"))
 
 
-JOIN_23_SQL = f"SELECT stop, goal, {sql.settled('goal / stop', 'reward')} FROM (SELECT unnest([1.0::DOUBLE, 1.5, 2.0]) AS stop) CROSS JOIN (SELECT unnest([1.5::DOUBLE, 2.0, 3.0]) AS goal) WHERE goal / stop >= 1.2"
+JOIN_23_SQL = f"WITH s AS (SELECT DISTINCT p_size FROM part) SELECT a.p_size / 10 AS stop, b.p_size / 10 AS goal, {sql.settled('b.p_size / a.p_size', 'reward')} FROM s a JOIN s b ON b.p_size / a.p_size >= 1.2 WHERE a.p_size % 5 = 0 AND a.p_size <= 25 AND b.p_size % 10 = 0"
 
 
 def join_28_triangulation(spark, sf_dir):
     """Rates between event types over a common one: direct, inverse, or crossed."""
-    last = quotes(spark, sf_dir).groupBy("symbol").agg(F.max_by("mid", "ts").alias("rate")).where("symbol <> 'click'")
+    last = quotes(spark, sf_dir).groupBy("symbol").agg(F.max_by("mid", F.struct("ts", "event_id")).alias("rate")).where("symbol <> 'click'")
     a, b = last.alias("a"), last.alias("b")
     crossed = a.join(b, F.col("a.symbol") != F.col("b.symbol")).select(F.col("a.symbol").alias("base"), F.col("b.symbol").alias("quote"), F.try_divide(F.col("a.rate"), F.col("b.rate")).alias("rate"))
     direct = last.select(F.col("symbol").alias("base"), F.lit("click").alias("quote"), "rate")
@@ -104,7 +108,7 @@ def join_28_triangulation(spark, sf_dir):
     return rounded(direct.unionByName(inverse).unionByName(crossed))
 
 
-JOIN_28_SQL = f"""WITH {sql.QUOTES}, l AS (SELECT symbol, arg_max(mid, ts) AS rate FROM quotes WHERE symbol <> 'click' GROUP BY symbol),
+JOIN_28_SQL = f"""WITH {sql.QUOTES}, l AS (SELECT symbol, arg_max(mid, row(ts, event_id)) AS rate FROM quotes WHERE symbol <> 'click' GROUP BY symbol),
 x AS (SELECT symbol AS base, 'click' AS quote, rate FROM l UNION ALL SELECT 'click', symbol, 1 / nullif(rate, 0) FROM l UNION ALL SELECT a.symbol, b.symbol, a.rate / nullif(b.rate, 0) FROM l a JOIN l b ON a.symbol <> b.symbol) SELECT base, quote, {sql.settled('rate', 'rate')} FROM x"""
 
 # aggregates

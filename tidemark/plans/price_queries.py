@@ -67,7 +67,7 @@ def _fx(spark, sf_dir):
     spread. Moves are added in hundredths, so that no order of additions shows."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", (F.round(F.col("value") * 100).cast("long") - 5000).alias("move"))
     moved = F.sum("move").over(Window.partitionBy("symbol").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return resample(e.select("symbol", "ts", (1000 + moved / 10_000).alias("price")), 3600).withColumn("spread", F.col("close") * 0.0002)
+    return resample(e.select("symbol", "ts", "event_id", (1000 + moved / 10_000).alias("price")), 3600).withColumn("spread", F.col("close") * 0.0002)
 
 
 MEASURES = "atr atr_sma atr_pct er rsi ema_20 ema_50 ema_200 bb_middle bb_lower bb_upper".split()

@@ -29,7 +29,7 @@ def item_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_bars(spark: SparkSession, sf_dir: str, hours: int = 4) -> DataFrame:
     """Bars of events: symbol is the event type, prices are values in buckets of so many hours, empty buckets are absent."""
-    return resample(quotes(spark, sf_dir).select("symbol", "ts", F.col("mid").alias("price")), hours * 3600)
+    return resample(quotes(spark, sf_dir).select("symbol", "ts", "event_id", F.col("mid").alias("price")), hours * 3600)
 
 
 def quotes(spark: SparkSession, sf_dir: str, spread: float = 0.0002) -> DataFrame:
@@ -48,11 +48,12 @@ def bucket_start(ts, seconds: int):
 
 
 def resample(ticks: DataFrame, seconds: int) -> DataFrame:
-    """OHLC and count of (symbol, ts, price) by left-closed buckets; buckets without rows do not appear."""
+    """OHLC and count of (symbol, ts, price) by left-closed buckets; buckets without rows do not appear. Of ticks at one time event_id, where there is one, else the price tells the first and the last."""
+    order = F.struct("ts", "event_id" if "event_id" in ticks.columns else "price")
     return (
         ticks.withColumn("bucket", bucket_start(F.col("ts"), seconds))
         .groupBy("symbol", F.col("bucket").alias("ts"))
-        .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.count("*").cast("double").alias("volume"))
+        .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").cast("double").alias("volume"))
     )
 
 

@@ -14,14 +14,14 @@ def quote_stream(spark: SparkSession, folder: str, per_trigger: int = 1) -> Data
 
 
 def stream_bars(quotes: DataFrame, width: str = "5 minutes", late: str = "0 seconds") -> DataFrame:
-    """Mid OHLC, mean spread and count by symbol and tumbling window; in append mode a bar appears once the watermark has passed
+    """Mid OHLC (of quotes at one time the lowest opens and the highest closes), mean spread and count by symbol and tumbling window; in append mode a bar appears once the watermark has passed
     its end, so the last bar of a stream stays open."""
     mid = (F.col("bid") + F.col("ask")) / 2
     return (
         quotes.withColumns({"mid": mid, "spread": F.col("ask") - F.col("bid")})
         .withWatermark("ts", late)
         .groupBy("symbol", F.window("ts", width).alias("w"))
-        .agg(F.min_by("mid", "ts").alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", "ts").alias("close"), F.avg("spread").alias("spread"), F.count("*").alias("quotes"))
+        .agg(F.min_by("mid", F.struct("ts", "mid")).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", F.struct("ts", "mid")).alias("close"), F.avg("spread").alias("spread"), F.count("*").alias("quotes"))
         .select("symbol", F.col("w.start").alias("ts"), F.col("w.end").alias("closed_at"), "open", "high", "low", "close", "spread", "quotes")
     )
 
