@@ -62,6 +62,13 @@ def indicators_all(spark, sf_dir):
 ALL_SQL = f"{ALL_RECURSIVE}, z AS (SELECT *, {RSI} AS rsi_14, atr AS atr_14 FROM r) SELECT symbol, ts, {sql.all_settled(' '.join(WINDOWED + RECURSIVE))} FROM z"
 
 
+def win_03_many_symbols(spark, sf_dir):
+    """All recursive indicators of a symbol for each supplier."""
+    return rounded(indicators.analyse(item_bars(spark, sf_dir, "l_suppkey")).select("symbol", "ts", *RECURSIVE))
+
+
+MANY_SQL = f"{ALL_RECURSIVE}, z AS (SELECT *, {RSI} AS rsi_14, atr AS atr_14 FROM r) SELECT symbol, ts, {sql.all_settled(' '.join(RECURSIVE))} FROM z".replace("SELECT l_returnflag AS symbol", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol")
+
 # swings and structure
 
 SWING_CTE = f"""
@@ -236,7 +243,7 @@ QUERIES = {
     "win_01_sma": pick("sma_20", "sma_50", "sma_200"), "win_08_stochastic": pick("stoch_raw_k", "stoch_k", "stoch_d"), "win_09_roc": pick("roc_12"), "win_10_true_range": pick("true_range"),
     "win_12_bollinger": pick("bb_middle", "bb_upper", "bb_lower", "bb_width_pct", "bb_percent_b"), "win_13_realized_vol": pick("realized_vol_20"), "win_14_relative_volume": pick("relative_volume_20"), "win_15_obv": pick("obv"),
     "win_04_ema": pick("ema_20", "ema_50", "ema_200", recursive=True), "win_06_macd": pick("macd", "macd_signal", "macd_hist", recursive=True), "win_07_rsi": pick("rsi_14", recursive=True), "win_11_atr": pick("atr_14", recursive=True),
-    "win_03_all_indicators": indicators_all, "win_27_pivots": win_27_pivots, "win_28_swings": win_28_swings, "win_31_structure": win_31_structure, "win_29_ranges": win_29_ranges,
+    "win_03_many_symbols": win_03_many_symbols, "win_03_all_indicators": indicators_all, "win_27_pivots": win_27_pivots, "win_28_swings": win_28_swings, "win_31_structure": win_31_structure, "win_29_ranges": win_29_ranges,
     "reg_05_engine": reg_05_engine, "stm_08_regime_transitions": reg_transitions, "str_06_states": str_06_states, "agg_14_summary": agg_14_summary, "sim_01_targets": sim_01_targets, "view_02_warmup": view_02_warmup,
 }
 SQL = {
@@ -244,6 +251,6 @@ SQL = {
     "win_12_bollinger": pick_sql("bb_middle", "bb_upper", "bb_lower", "bb_width_pct", "bb_percent_b"), "win_13_realized_vol": pick_sql("realized_vol_20"), "win_14_relative_volume": pick_sql("relative_volume_20"), "win_15_obv": pick_sql("obv"),
     "win_04_ema": f"{recursive_cte('ema_20', 'ema_50', 'ema_200')} SELECT symbol, ts, {sql.all_settled('ema_20 ema_50 ema_200')} FROM r", "win_06_macd": f"{recursive_cte('fast', 'slow')} SELECT symbol, ts, {sql.all_settled('macd macd_signal macd_hist')} FROM r",
     "win_07_rsi": f"{recursive_cte('up', 'down')} SELECT symbol, ts, {sql.settled(RSI, 'rsi_14')} FROM r", "win_11_atr": f"{recursive_cte('atr')} SELECT symbol, ts, {sql.settled('atr', 'atr_14')} FROM r",
-    "win_03_all_indicators": ALL_SQL, "win_27_pivots": WIN_27_SQL, "win_28_swings": WIN_28_SQL, "win_31_structure": WIN_31_SQL, "win_29_ranges": WIN_29_SQL,
+    "win_03_many_symbols": MANY_SQL, "win_03_all_indicators": ALL_SQL, "win_27_pivots": WIN_27_SQL, "win_28_swings": WIN_28_SQL, "win_31_structure": WIN_31_SQL, "win_29_ranges": WIN_29_SQL,
     "reg_05_engine": REG_05_SQL, "stm_08_regime_transitions": STM_08_SQL, "str_06_states": STR_06_SQL, "agg_14_summary": AGG_14_SQL, "sim_01_targets": SIM_01_SQL,
 }

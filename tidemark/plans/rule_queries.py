@@ -57,24 +57,27 @@ APPROVED, THRESHOLD = ("breakout", "pullback"), 0.65
 
 
 def str_15_pair_decision(spark, sf_dir):
-    """Decisions of each hour from the three signal sets and the regime's veto. Every seventh hour finds the pullback's position
-    open, every fourteenth with its proposal to close."""
+    """Decisions of each hour from the three signal sets, the regime's veto and the trades of these signals: the position of an hour is that of the trade which runs then (of several the
+    first, by name at equal entries), owned by its strategy, which proposes to close it at the bar of its exit."""
     f = fx.features(price._fx(spark, sf_dir))
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
-    state = fx.regime(f).select("symbol", "ts", "veto", F.when(hour % 7 == 0, 1000.0).otherwise(0.0).alias("position"), F.when(hour % 7 == 0, "pullback").alias("owner"))
-    proposals = state.where(hour % 14 == 0).select("symbol", "ts", F.lit("pullback").alias("agent"), F.lit("CLOSE").alias("action"), F.lit(0).alias("dir"), F.lit(1.0).alias("score"))
+    trades = price.sim_29_bracket_trades(spark, sf_dir).select("symbol", "strategy", "dir", "entry_ts", "exit_ts")
+    hours = trades.withColumn("ts", F.explode(F.sequence("entry_ts", "exit_ts", F.expr("interval 1 hour"))))
+    running = hours.groupBy("symbol", "ts").agg(F.min_by(F.struct("strategy", "dir", (F.col("ts") == F.col("exit_ts")).alias("last")), F.struct("entry_ts", "strategy")).alias("x"))
+    state = fx.regime(f).join(running, ["symbol", "ts"], "left").select("symbol", "ts", "veto", F.coalesce(F.col("x.dir") * 1000.0, F.lit(0.0)).alias("position"), F.col("x.strategy").alias("owner"), "x.last")
+    proposals = state.where("last").select("symbol", "ts", F.col("owner").alias("agent"), F.lit("CLOSE").alias("action"), F.lit(0).alias("dir"), F.lit(1.0).alias("score"))
     for name, rule in RULES.items():
         proposals = proposals.unionByName(rule(f).select("symbol", "ts", F.lit(name).alias("agent"), F.lit("OPEN").alias("action"), "dir", "score"))
-    return rounded(desk.pair_decisions(state, proposals, APPROVED, THRESHOLD))
+    return rounded(desk.pair_decisions(state.drop("last"), proposals, APPROVED, THRESHOLD))
 
 
-STR_15_SQL = f"""WITH RECURSIVE {price.FX}, {", ".join(price.renamed(k, v) for k, v in price._NAMED.items())}, rg AS ({price.REG_06_SQL}),
+STR_15_SQL = f"""{price.SIM_29_SQL[: price.SIM_29_SQL.index("c AS (SELECT *, day - day0")]}rg AS ({price.REG_06_SQL}),
 p AS ({" UNION ALL ".join(f"SELECT '{k}' AS agent, symbol, ts, dir, score, '{k}' IN ('breakout', 'pullback') AND score >= 0.65 AS sound FROM {k}_s" for k in price._NAMED)}),
 g AS (SELECT symbol, ts, count(*) FILTER (sound AND dir > 0) AS longs, count(*) FILTER (sound AND dir < 0) AS shorts, count(*) AS opens, arg_min({{'dir': dir, 'score': score, 'agent': agent}}, row(-score, agent)) FILTER (sound) AS lead FROM p GROUP BY symbol, ts),
-d AS (SELECT r.symbol, r.ts, CAST(floor(epoch(r.ts) / 3600) AS BIGINT) % 7 = 0 AS held, CAST(floor(epoch(r.ts) / 3600) AS BIGINT) % 14 = 0 AS closing, veto, coalesce(longs, 0) AS longs, coalesce(shorts, 0) AS shorts, coalesce(opens, 0) AS opens, lead FROM rg r LEFT JOIN g ON g.symbol = r.symbol AND g.ts = r.ts),
+hl AS (SELECT h.symbol, h.ts, arg_min({{'owner': strategy, 'dir': dir, 'last': h.ts = exit_ts}}, row(entry_ts, strategy)) AS x FROM hb h JOIN u ON u.symbol = h.symbol AND h.ts BETWEEN entry_ts AND exit_ts GROUP BY h.symbol, h.ts),
+d AS (SELECT r.symbol, r.ts, x IS NOT NULL AS held, coalesce(x.last, false) AS closing, x.owner AS owner, x.dir AS way, veto, coalesce(longs, 0) AS longs, coalesce(shorts, 0) AS shorts, coalesce(opens, 0) AS opens, lead FROM rg r LEFT JOIN g ON g.symbol = r.symbol AND g.ts = r.ts LEFT JOIN hl ON hl.symbol = r.symbol AND hl.ts = r.ts),
 w AS (SELECT *, CASE WHEN closing THEN 'owner' WHEN held THEN 'held' WHEN veto THEN 'veto' WHEN longs > 0 AND shorts > 0 THEN 'conflict' WHEN longs + shorts > 0 THEN 'signal' WHEN opens > 0 THEN 'watched' ELSE 'no_signal' END AS reason FROM d)
-SELECT symbol, ts, CASE reason WHEN 'owner' THEN 'CLOSE' WHEN 'veto' THEN 'VETO' WHEN 'signal' THEN 'OPEN' ELSE 'HOLD' END AS action, CAST(CASE reason WHEN 'held' THEN 1 WHEN 'signal' THEN lead.dir ELSE 0 END AS INTEGER) AS dir,
-  {sql.settled("CASE reason WHEN 'owner' THEN 1.0 WHEN 'signal' THEN lead.score ELSE 0.0 END", "score")}, CASE WHEN held THEN 'pullback' WHEN reason = 'signal' THEN lead.agent END AS agent, reason FROM w"""
+SELECT symbol, ts, CASE reason WHEN 'owner' THEN 'CLOSE' WHEN 'veto' THEN 'VETO' WHEN 'signal' THEN 'OPEN' ELSE 'HOLD' END AS action, CAST(CASE reason WHEN 'held' THEN way WHEN 'signal' THEN lead.dir ELSE 0 END AS INTEGER) AS dir,
+  {sql.settled("CASE reason WHEN 'owner' THEN 1.0 WHEN 'signal' THEN lead.score ELSE 0.0 END", "score")}, CASE WHEN held THEN owner WHEN reason = 'signal' THEN lead.agent END AS agent, reason FROM w"""
 
 #: Pairs of the event types (base, quoted currency), and frozen euros for a unit of a currency (fixed values).
 PAIRS = {"click": ("EUR", "USD"), "error": ("USD", "JPY"), "purchase": ("USD", "CHF"), "signup": ("USD", "CAD"), "view": ("GBP", "USD")}

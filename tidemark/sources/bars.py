@@ -13,14 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def item_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of order lines: symbol is the return flag, a session a ship date, a price what a unit costs; first and last
+def item_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+    """Daily bars of order lines: symbol is the return flag (or another column, as text), a session a ship date, a price what a unit costs; first and last
     price go by the line's full key. adj_close halves closes before 1995, as a two-for-one split would."""
     lines = table(spark, sf_dir, "lineitem")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     bars = (
-        lines.select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), key.alias("k"), price.alias("price"), "l_quantity")
+        lines.select(F.col(symbol).cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), key.alias("k"), price.alias("price"), "l_quantity")
         .groupBy("symbol", "ts")
         .agg(F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"), F.sum("l_quantity").alias("volume"))
     )
