@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.semantics import rounded
 from tidemark.operators import features, fx, price_action, risk, structure
-from tidemark.plans import sql
+from tidemark.plans import sql, zone_sql
 from tidemark.plans.portfolio_queries import signals
 from tidemark.sources.bars import item_bars, resample, table
 
@@ -18,25 +18,25 @@ def _zones(spark, sf_dir):
 
 
 def pa_08_zone_versions(spark, sf_dir):
-    return _zones(spark, sf_dir)[1]
+    return rounded(_zones(spark, sf_dir)[1])
 
 
 def pa_01_events(spark, sf_dir):
     bars, versions = _zones(spark, sf_dir)
-    return price_action.events(bars, versions)
+    return rounded(price_action.events(bars, versions))
 
 
 def pa_07_outcomes(spark, sf_dir):
     bars, versions = _zones(spark, sf_dir)
-    return price_action.outcomes(price_action.events(bars, versions), bars)
+    return rounded(price_action.outcomes(price_action.events(bars, versions), bars))
 
 
 def pa_10_zones(spark, sf_dir):
-    return price_action.zones(*_zones(spark, sf_dir))
+    return rounded(price_action.zones(*_zones(spark, sf_dir)))
 
 
 def win_33_nearest(spark, sf_dir):
-    return price_action.nearest(*_zones(spark, sf_dir))
+    return rounded(price_action.nearest(*_zones(spark, sf_dir)))
 
 
 # sizing and stops over bars
@@ -215,4 +215,4 @@ def ml_07_forest(spark, sf_dir):
 
 QUERIES = {k: v for k, v in dict(globals()).items() if k[:3] in ("pa_", "sim", "str", "ml_", "win", "reg") and callable(v)}
 QUERIES.pop("structure", None)
-SQL = {"sim_29_bracket_trades": SIM_29_SQL, "win_21_fx_features": WIN_21_SQL, "reg_06_fx_regime": REG_06_SQL, "str_08_pullback": STR_08_SQL, "str_10_reversion": STR_10_SQL, "sim_10_sizing": SIM_10_SQL, "str_09_momentum": STR_09_SQL, "sim_42_lifecycle": SIM_42_SQL, "ml_02_features": ML_02_SQL, "ml_05_preprocess": ML_05_SQL}
+SQL = {"pa_08_zone_versions": zone_sql.VERSIONS_SQL, "pa_01_events": zone_sql.EVENTS_SQL, "pa_07_outcomes": zone_sql.OUTCOMES_SQL, "pa_10_zones": zone_sql.OPEN_SQL, "win_33_nearest": zone_sql.NEAREST_SQL, "sim_29_bracket_trades": SIM_29_SQL, "win_21_fx_features": WIN_21_SQL, "reg_06_fx_regime": REG_06_SQL, "str_08_pullback": STR_08_SQL, "str_10_reversion": STR_10_SQL, "sim_10_sizing": SIM_10_SQL, "str_09_momentum": STR_09_SQL, "sim_42_lifecycle": SIM_42_SQL, "ml_02_features": ML_02_SQL, "ml_05_preprocess": ML_05_SQL}
