@@ -53,6 +53,36 @@ def zero_cost_equity(targets: DataFrame, bars: DataFrame, *keys: str, initial: f
     return df.withColumn("factor", factor).withColumn("equity", initial * F.exp(F.sum(F.ln("factor")).over(running(*keys))))
 
 
+def proportional(targets: DataFrame, bars: DataFrame, *keys: str, bps: float, initial: float = 100_000.0) -> DataFrame:
+    """zero_cost_equity() where each order costs bps of its notional, with executed, traded_notional and costs: a purchase of all cash leaves 1 / (1 + c) of it, a sale 1 - c, so that equity
+    stays a product of factors and needs no fold."""
+    keys = keys or ("symbol",)
+    c = bps / 1e4
+    df = zero_cost_equity(targets, bars, *keys, initial=initial).drop("equity")
+    held = F.coalesce(F.lag("position").over(by(*keys)), F.lit(0.0)) > 0
+    df = df.withColumns({"__buys": (F.col("position") > 0) & ~held, "__sells": held & ~(F.col("position") > 0), "__last": F.lag("close").over(by(*keys))})
+    left = F.when(F.col("__buys"), -F.log1p(F.lit(c))).when(F.col("__sells"), F.log1p(F.lit(-c))).otherwise(0.0)
+    df = df.withColumn("equity", initial * F.exp(F.sum(F.ln("factor") + left).over(running(*keys))))
+    before = F.coalesce(F.lag("equity").over(by(*keys)), F.lit(initial))
+    notional = F.when(F.col("__buys"), before / (1 + c)).when(F.col("__sells"), before * F.try_divide("open", "__last")).otherwise(0.0)
+    df = df.withColumns({"executed": F.col("__buys") | F.col("__sells"), "traded_notional": notional, "__before": before})
+    return df.withColumn("costs", F.col("traded_notional") * c)
+
+
+def round_trips(equity: DataFrame, *keys: str, bps: float) -> DataFrame:
+    """Closed trades of proportional() rows: keys, entry_ts, exit_ts, entry_price, exit_price, net_pnl, net_return, holding_sessions. A sale meets the last purchase before it."""
+    keys = keys or ("symbol",)
+    c = bps / 1e4
+    placed = equity.withColumn("__i", F.row_number().over(by(*keys)))
+    entry = F.last(F.when(F.col("__buys"), F.struct("ts", "open", F.col("__before").alias("cash"), F.col("__i").alias("i"))), ignorenulls=True).over(running(*keys))
+    done = placed.withColumn("__entry", entry).where("__sells")
+    gain = F.try_divide(F.col("open") * (1 - c), F.col("__entry.open") * (1 + c)) - 1
+    return done.select(
+        *keys, F.col("__entry.ts").alias("entry_ts"), F.col("ts").alias("exit_ts"), F.col("__entry.open").alias("entry_price"), F.col("open").alias("exit_price"), (F.col("__entry.cash") * gain).alias("net_pnl"), gain.alias("net_return"),
+        (F.col("__i") - F.col("__entry.i")).cast("long").alias("holding_sessions"),
+    )
+
+
 EQUITY = "position double, shares double, executed boolean, traded_notional double, costs double, cash double, equity double"
 TRADES = "entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, exit_price double, shares double, net_pnl double, net_return double, holding_sessions long"
 OPEN = "entry_ts timestamp_ntz, entry_price double, shares double, mark_ts timestamp_ntz, mark_price double, unrealized_gross_pnl double, entry_costs double, unrealized_net_pnl double"

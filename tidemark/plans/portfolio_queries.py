@@ -135,26 +135,64 @@ def sim_07_fills(spark, sf_dir):
     return portfolio.fills(targets, bars, *KEYS)
 
 
+#: What an order costs in the metrics below, in basis points of its notional.
+BPS = 3.0
+
+
+def _net(spark, sf_dir):
+    bars, targets = signals(spark, sf_dir)
+    return bars, targets, portfolio.proportional(targets, bars, *KEYS, bps=BPS)
+
+
 def stat_10_one_sided(spark, sf_dir):
     """Of the net returns of closed trades."""
-    return statistics.one_sided(sim_05_trades(spark, sf_dir).select(*KEYS, F.col("entry_ts").alias("ts"), F.col("net_return").alias("r")), *KEYS)
+    trips = portfolio.round_trips(_net(spark, sf_dir)[2], *KEYS, bps=BPS)
+    return statistics.one_sided(trips.select(*KEYS, F.col("entry_ts").alias("ts"), F.col("net_return").alias("r")), *KEYS)
 
 
 def agg_06_trade_metrics(spark, sf_dir):
-    return rounded(metrics.trade_metrics(sim_05_trades(spark, sf_dir), *KEYS))
+    return rounded(metrics.trade_metrics(portfolio.round_trips(_net(spark, sf_dir)[2], *KEYS, bps=BPS), *KEYS))
 
 
 def agg_07_activity(spark, sf_dir):
-    return rounded(metrics.activity_metrics(sim_02_simulation(spark, sf_dir), *KEYS))
+    """Costs go over many magnitudes: their logarithm is compared."""
+    out = metrics.activity_metrics(_net(spark, sf_dir)[2], *KEYS)
+    return rounded(out.withColumn("log_costs", F.ln("total_costs")).drop("total_costs"))
 
 
 def agg_08_all_metrics(spark, sf_dir):
     """Net, gross, trades and activity in one row."""
-    bars, targets = signals(spark, sf_dir)
-    net, gross = (metrics.return_metrics(metrics.with_returns(portfolio.simulate(targets, bars, *KEYS, costs=c), *KEYS), *KEYS) for c in (portfolio.Costs(), portfolio.Costs().free()))
-    gross = gross.select(*KEYS, F.col("cumulative_return").alias("gross_cumulative_return"), F.col("cagr").alias("gross_cagr"), F.col("sharpe").alias("gross_sharpe"))
-    out = net.join(gross, list(KEYS)).join(agg_06_trade_metrics(spark, sf_dir), list(KEYS), "left").join(agg_07_activity(spark, sf_dir), list(KEYS))
-    return out.withColumn("cost_drag", F.col("gross_cumulative_return") - F.col("cumulative_return"))
+    bars, targets, equity_net = _net(spark, sf_dir)
+    net = metrics.return_metrics(metrics.with_returns(equity_net, *KEYS), *KEYS)
+    gross = metrics.return_metrics(metrics.with_returns(portfolio.zero_cost_equity(targets, bars, *KEYS), *KEYS), *KEYS)
+    gross = gross.select(*KEYS, F.ln("final_equity").alias("gross_log_equity"), F.col("cagr").alias("gross_cagr"), F.col("sharpe").alias("gross_sharpe"))
+    active = metrics.activity_metrics(equity_net, *KEYS).select(*KEYS, "exposure", "orders", "turnover")
+    traded = metrics.trade_metrics(portfolio.round_trips(equity_net, *KEYS, bps=BPS), *KEYS)
+    out = net.withColumn("log_equity", F.ln("final_equity")).drop("final_equity", "cumulative_return").join(gross, list(KEYS)).join(traded, list(KEYS), "left").join(active, list(KEYS))
+    return rounded(out.withColumn("cost_drag", F.col("gross_log_equity") - F.col("log_equity")))
+
+
+_C = BPS / 1e4
+NET_CTE = f"""
+n0 AS (SELECT *, position > 0 AND held <= 0 AS buys, held > 0 AND position <= 0 AS sells FROM s4),
+n1 AS (SELECT *, 100000.0 * exp(sum(ln(factor) + CASE WHEN buys THEN -ln(1 + {_C!r}::DOUBLE) WHEN sells THEN ln(1 - {_C!r}::DOUBLE) ELSE 0 END) OVER ({K} ROWS UNBOUNDED PRECEDING)) AS equity, row_number() OVER ({K}) AS i FROM n0),
+n2 AS (SELECT *, coalesce(lag(equity) OVER ({K}), 100000.0) AS cash FROM n1),
+n3 AS (SELECT *, CASE WHEN buys THEN cash / (1 + {_C!r}::DOUBLE) WHEN sells THEN cash * open / last ELSE 0.0 END AS traded, last_value(CASE WHEN buys THEN {{'ts': ts, 'open': open, 'cash': cash, 'i': i}} END IGNORE NULLS) OVER ({K} ROWS UNBOUNDED PRECEDING) AS e FROM n2),
+n4 AS (SELECT symbol, strategy, e.ts AS entry_ts, open * (1 - {_C!r}::DOUBLE) / (e.open * (1 + {_C!r}::DOUBLE)) - 1 AS net_return, e.cash * (open * (1 - {_C!r}::DOUBLE) / (e.open * (1 + {_C!r}::DOUBLE)) - 1) AS net_pnl, i - e.i AS holding FROM n3 WHERE sells),
+n5 AS (SELECT *, row_number() OVER (PARTITION BY symbol, strategy, net_pnl > 0 ORDER BY net_pnl DESC, entry_ts) AS place FROM n4),
+tm AS (SELECT symbol, strategy, count(*) AS completed_trades, avg((net_return > 0)::INT) AS win_rate, avg(net_return) AS avg_trade, median(net_return) AS median_trade, max(net_return) AS best_trade, min(net_return) AS worst_trade, avg(holding) AS avg_holding,
+  sum(net_pnl) FILTER (net_pnl > 0 AND place <= 5) / nullif(sum(net_pnl) FILTER (net_pnl > 0), 0) AS top5_share FROM n5 GROUP BY symbol, strategy),
+am AS (SELECT symbol, strategy, avg(position) AS exposure, count(*) FILTER (buys OR sells) AS orders, sum(traded) / avg(equity) AS turnover, sum(traded) / avg(equity) * 252 / count(*) AS annualized_turnover, sum(traded * {_C!r}::DOUBLE) AS costs FROM n3 GROUP BY symbol, strategy)"""
+_TRADED = "win_rate avg_trade median_trade best_trade worst_trade avg_holding top5_share"
+AGG_06_SQL = f"WITH {EQUITY_CTE}, {NET_CTE} SELECT symbol, strategy, completed_trades, {sql.all_settled(_TRADED)} FROM tm"
+AGG_07_SQL = f"WITH {EQUITY_CTE}, {NET_CTE} SELECT symbol, strategy, orders, {sql.all_settled('exposure turnover annualized_turnover')}, {sql.settled('ln(nullif(costs, 0))', 'log_costs')} FROM am"
+_NET_METRICS = METRICS_CTE.replace("isl", "nisl").replace("lens", "nlens").replace("longest", "nlongest").replace("met AS", "nmet AS").replace("FROM eq", "FROM neq")
+AGG_08_SQL = f"""WITH {EQUITY_CTE}, {METRICS_CTE}, {NET_CTE},
+neq AS (SELECT *, equity / nullif(coalesce(lag(equity) OVER ({K}), 100000.0), 0) - 1 AS daily_return, equity / greatest(max(equity) OVER ({K} ROWS UNBOUNDED PRECEDING), 100000.0) - 1 AS drawdown FROM n1), {_NET_METRICS}
+SELECT n.symbol, n.strategy, n.sessions, {", ".join(sql.settled(f"n.{c}", c) for c in "cagr annualized_volatility sharpe sortino max_drawdown".split())}, n.undefined_returns, l.max_drawdown_sessions, {sql.settled('ln(n.final_equity)', 'log_equity')},
+  {sql.settled('ln(met.final_equity)', 'gross_log_equity')}, {sql.settled('met.cagr', 'gross_cagr')}, {sql.settled('met.sharpe', 'gross_sharpe')}, completed_trades, {", ".join(sql.settled(f"tm.{c}", c) for c in _TRADED.split())}, {sql.settled('am.exposure', 'exposure')}, am.orders, {sql.settled('am.turnover', 'turnover')},
+  {sql.settled('ln(met.final_equity) - ln(n.final_equity)', 'cost_drag')}
+FROM nmet n JOIN nlongest l ON l.symbol = n.symbol AND l.strategy = n.strategy JOIN met ON met.symbol = n.symbol AND met.strategy = n.strategy LEFT JOIN tm ON tm.symbol = n.symbol AND tm.strategy = n.strategy JOIN am ON am.symbol = n.symbol AND am.strategy = n.strategy"""
 
 
 def sim_08_benchmark(spark, sf_dir):
@@ -203,6 +241,6 @@ QUERIES = {
     "sim_08_benchmark": sim_08_benchmark, "stat_05_holm": stat_05_holm, "stat_03_bootstrap": stat_03_bootstrap, "agg_46_interval": agg_46_interval,
 }
 SQL = {
-    "m1_trend_metrics": M1_SQL, "agg_05_return_metrics": AGG_05_SQL, "agg_03_drawdown": AGG_03_SQL, "agg_11_concentration": AGG_11_SQL, "agg_25_subperiods": AGG_25_SQL, "agg_12_redundancy": AGG_12_SQL,
+    "agg_06_trade_metrics": AGG_06_SQL, "agg_07_activity": AGG_07_SQL, "agg_08_all_metrics": AGG_08_SQL, "m1_trend_metrics": M1_SQL, "agg_05_return_metrics": AGG_05_SQL, "agg_03_drawdown": AGG_03_SQL, "agg_11_concentration": AGG_11_SQL, "agg_25_subperiods": AGG_25_SQL, "agg_12_redundancy": AGG_12_SQL,
     "src_30_returns_matrix": SRC_30_SQL, "sim_08_benchmark": SIM_08_SQL, "stat_05_holm": STAT_05_SQL, "agg_46_interval": AGG_46_SQL,
 }
