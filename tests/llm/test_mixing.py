@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -91,3 +92,46 @@ def test_mixture_repeats_rows(spark, mixed):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_rates(data):
+    """Rates by (source, size): the tilt by bisection in plain floats."""
+    size, target = brute_targets(data)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, text, source, *_ in data:
+        sizes.setdefault(source, []).append(words(text))
+    out = {}
+    for s, mine in sizes.items():
+        if target[s] >= 2 * size[s]:
+            out |= {(s, n): 2.0 if n else 1.0 for n in mine}
+            continue
+        mean = max(size[s] / len(mine), 1e-9)
+        rate = lambda tilt, n: 2 / (1 + math.exp(min(700.0, -tilt * n / mean)))  # noqa: B023, E731
+        low, high = -4096.0, 4096.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(n * rate(middle, n) for n in mine) < target[s] else (low, middle)
+        out |= {(s, n): rate(low, n) if n else 1.0 for n in mine}
+    return out, sizes
+
+
+def test_rates_and_copies_equal_a_plain_version(mixed):
+    """Rates against a bisection; copies by the running sum of fractions along rising sizes, whole cells at a time."""
+    _, out = mixed
+    data = rows()
+    want, sizes = plain_rates(data)
+    source = {r[0]: r[2] for r in data}
+    copies = {}
+    for r in out:
+        key = (source[r.doc_id], r.size)
+        assert r.rate == pytest.approx(want[key], abs=1e-6) and r.copies in (math.floor(r.rate), math.floor(r.rate) + 1)
+        copies[key] = copies.get(key, 0) + r.copies
+    for s, mine in sizes.items():
+        rate = {r.size: r.rate for r in out if source[r.doc_id] == s}
+        running, passed = mixing.ONE // 2, 0
+        for n in sorted(set(mine)):
+            count = mine.count(n)
+            running += count * round((rate[n] - math.floor(rate[n])) * mixing.ONE)
+            assert copies[s, n] == count * math.floor(rate[n]) + running // mixing.ONE - passed, (s, n)
+            passed = running // mixing.ONE
