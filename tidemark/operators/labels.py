@@ -131,6 +131,16 @@ def barrier_labels(bars: DataFrame, direction: int = -1, rules: Barriers = Barri
     return out.select("symbol", "ts", F.timestamp_seconds("__end").cast(kind).alias("label_end"), "reason", "bars", "net_r")
 
 
+def economic(bars: DataFrame, rules: Barriers = Barriers()) -> DataFrame:
+    """symbol, ts and what a position would cost by prices known at the bar (bid_close, ask_close, atr): fee_r and spread_r in its risk, floor_ratio (the stop by ATR over the least stop) and units_share of the largest size.
+    Null without an ATR; a size of 0 has a fee beyond all bounds."""
+    floor = 2 * rules.least_commission / rules.max_fee_risk / rules.max_units
+    stop = F.greatest(rules.stop_atr * F.col("atr"), F.lit(floor)) + 0 * F.col("atr")
+    units = F.when(stop.isNotNull(), F.floor(F.least(rules.capital * rules.risk_percent / 100 / stop, F.lit(rules.max_units)) / rules.unit_step) * rules.unit_step)
+    fee = 2 * F.greatest(F.lit(rules.least_commission), rules.commission * 1e-4 * units * F.col("ask_close"))
+    return bars.select("symbol", "ts", F.when(stop.isNotNull(), fee / F.greatest(units * stop, F.lit(1e-12))).alias("fee_r"), ((F.col("ask_close") - F.col("bid_close")) / stop).alias("spread_r"), (rules.stop_atr * F.col("atr") / floor).alias("floor_ratio"), (units / rules.max_units).alias("units_share"))
+
+
 def forward_rows(bars: DataFrame, horizon: int = 96, limit: float = 20.0) -> DataFrame:
     """symbol, ts, label_end and target of bars (symbol, ts, open, close, atr): the move from the next open to the close horizon bars later in ATRs, within
     +-limit; null without a whole horizon of adjacent bars or a positive ATR."""

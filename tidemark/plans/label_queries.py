@@ -91,5 +91,12 @@ n AS MATERIALIZED (SELECT m5.symbol, m5.i, count(*) AS covering FROM m5 JOIN c O
 q AS (SELECT c.symbol, c.ts, any_value(c.label_end) AS label_end, any_value(weight) AS weight, avg(1.0::DOUBLE / covering) AS uniqueness FROM c JOIN n ON n.symbol = c.symbol AND n.i BETWEEN c.i AND c.i + 96 GROUP BY c.symbol, c.ts)
 SELECT symbol, ts, label_end, {sql.settled('uniqueness', 'uniqueness')}, {sql.settled('weight * uniqueness / avg(uniqueness) OVER ()', 'weight')} FROM q"""
 
-QUERIES = {f.__name__: f for f in (sim_32_labels, ml_12_forward_rows, ml_19_purged, ml_22_uniqueness)}
-SQL = dict(zip(QUERIES, (SIM_32_SQL, ML_12_SQL, ML_19_SQL, ML_22_SQL), strict=True))
+def ml_23_economic(spark, sf_dir):
+    return rounded(labels.economic(_bars(spark, sf_dir), RULES))
+
+
+ML_23_SQL = f"""WITH RECURSIVE {_BARS}, e AS (SELECT symbol, ts, atr, close * 1.0001 AS ask, close * 0.9999 AS bid, CASE WHEN atr IS NOT NULL THEN greatest(2.0 * atr, {_FLOOR!r}) END AS stop FROM b), u AS (SELECT *, CASE WHEN stop IS NOT NULL THEN floor(least(50.0 / stop, 5000.0)) END AS units FROM e)
+SELECT symbol, ts, {sql.settled('CASE WHEN atr IS NOT NULL THEN 2 * greatest(2.0, 0.2e-4 * units * ask) / greatest(units * stop, 1e-12) END', 'fee_r')}, {sql.settled('(ask - bid) / stop', 'spread_r')}, {sql.settled(f'2.0 * atr / {_FLOOR!r}', 'floor_ratio')}, {sql.settled('units / 5000.0', 'units_share')} FROM u"""
+
+QUERIES = {f.__name__: f for f in (ml_23_economic, sim_32_labels, ml_12_forward_rows, ml_19_purged, ml_22_uniqueness)}
+SQL = dict(zip(QUERIES, (ML_23_SQL, SIM_32_SQL, ML_12_SQL, ML_19_SQL, ML_22_SQL), strict=True))

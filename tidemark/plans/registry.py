@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("candle_queries", "indicator_queries", "portfolio_queries", "quality_queries", "market_queries", "price_queries", "view_queries", "allocation_queries", "desk_queries", "rule_queries", "source_queries", "book_queries", "label_queries", "sequence_queries", "tree_queries", "validation_queries", "stream_queries", "ingestion_queries", "scalar_queries")
+MODULES = ("candle_queries", "indicator_queries", "portfolio_queries", "quality_queries", "market_queries", "price_queries", "view_queries", "allocation_queries", "desk_queries", "rule_queries", "source_queries", "book_queries", "label_queries", "sequence_queries", "tree_queries", "validation_queries", "stream_queries", "ingestion_queries", "scalar_queries", "candidate_queries")
 
 
 def _collect(name: str) -> dict:
