@@ -239,6 +239,11 @@ def view_02_warmup(spark, sf_dir):
     return first.join(F.broadcast(known), "indicator").withColumn("as_said", F.col("first_row") == F.col("warm_up"))
 
 
+_CATALOG = ", ".join(f"('{n}', '{f}', {w})" for n, f, w in indicators.catalog())
+_FIRST = " UNION ALL ".join(f"SELECT symbol, '{n}' AS indicator, min(i) FILTER ({n} IS NOT NULL) AS first_row FROM z GROUP BY symbol" for n, _, _ in indicators.catalog())
+VIEW_02_SQL = f"{ALL_RECURSIVE}, z AS (SELECT *, {RSI} AS rsi_14, atr AS atr_14, row_number() OVER ({sql.W}) - 1 AS i FROM r), k(indicator, family, warm_up) AS (VALUES {_CATALOG}), u AS ({_FIRST}) SELECT symbol, indicator, first_row, family, warm_up, first_row = warm_up AS as_said FROM u JOIN k USING (indicator) WHERE first_row IS NOT NULL"
+
+
 QUERIES = {
     "win_01_sma": pick("sma_20", "sma_50", "sma_200"), "win_08_stochastic": pick("stoch_raw_k", "stoch_k", "stoch_d"), "win_09_roc": pick("roc_12"), "win_10_true_range": pick("true_range"),
     "win_12_bollinger": pick("bb_middle", "bb_upper", "bb_lower", "bb_width_pct", "bb_percent_b"), "win_13_realized_vol": pick("realized_vol_20"), "win_14_relative_volume": pick("relative_volume_20"), "win_15_obv": pick("obv"),
@@ -251,6 +256,6 @@ SQL = {
     "win_12_bollinger": pick_sql("bb_middle", "bb_upper", "bb_lower", "bb_width_pct", "bb_percent_b"), "win_13_realized_vol": pick_sql("realized_vol_20"), "win_14_relative_volume": pick_sql("relative_volume_20"), "win_15_obv": pick_sql("obv"),
     "win_04_ema": f"{recursive_cte('ema_20', 'ema_50', 'ema_200')} SELECT symbol, ts, {sql.all_settled('ema_20 ema_50 ema_200')} FROM r", "win_06_macd": f"{recursive_cte('fast', 'slow')} SELECT symbol, ts, {sql.all_settled('macd macd_signal macd_hist')} FROM r",
     "win_07_rsi": f"{recursive_cte('up', 'down')} SELECT symbol, ts, {sql.settled(RSI, 'rsi_14')} FROM r", "win_11_atr": f"{recursive_cte('atr')} SELECT symbol, ts, {sql.settled('atr', 'atr_14')} FROM r",
-    "win_03_many_symbols": MANY_SQL, "win_03_all_indicators": ALL_SQL, "win_27_pivots": WIN_27_SQL, "win_28_swings": WIN_28_SQL, "win_31_structure": WIN_31_SQL, "win_29_ranges": WIN_29_SQL,
+    "view_02_warmup": VIEW_02_SQL, "win_03_many_symbols": MANY_SQL, "win_03_all_indicators": ALL_SQL, "win_27_pivots": WIN_27_SQL, "win_28_swings": WIN_28_SQL, "win_31_structure": WIN_31_SQL, "win_29_ranges": WIN_29_SQL,
     "reg_05_engine": REG_05_SQL, "stm_08_regime_transitions": STM_08_SQL, "str_06_states": STR_06_SQL, "agg_14_summary": AGG_14_SQL, "sim_01_targets": SIM_01_SQL,
 }
