@@ -89,13 +89,17 @@ def agg_25_subperiods(spark, sf_dir):
 AGG_25_SQL = f"WITH {EQUITY_CTE}, t AS (SELECT *, ntile(4) OVER ({K}) AS part FROM eq) SELECT symbol, strategy, part, count(*) AS sessions, {sql.settled('sum(ln(daily_return + 1))', 'log_return')} FROM t GROUP BY symbol, strategy, part"
 
 
+def _pairs(e):
+    """Each two strategies of a session side by side, as a and b: its few strategies are gathered, so that what gives them runs once."""
+    met = e.where("symbol is not null and ts is not null").groupBy("symbol", "ts").agg(F.collect_list(F.struct("strategy", "position", "daily_return")).alias("met"))
+    one = met.select("symbol", "met", F.explode("met").alias("a"))
+    return one.select("symbol", "a", F.explode(F.filter("met", lambda b: F.col("a.strategy") < b["strategy"])).alias("b"))
+
+
 def agg_12_redundancy(spark, sf_dir):
     """Agreement, correlation and differing sessions of each unordered pair of strategies."""
-    e = equity(spark, sf_dir).select("symbol", "ts", "strategy", "position", "daily_return")
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.strategy") < F.col("b.strategy")))
     return rounded(
-        pairs.groupBy(F.col("a.symbol").alias("symbol"), F.col("a.strategy").alias("first"), F.col("b.strategy").alias("second")).agg(
+        _pairs(equity(spark, sf_dir)).groupBy("symbol", F.col("a.strategy").alias("first"), F.col("b.strategy").alias("second")).agg(
             F.avg((F.col("a.position") == F.col("b.position")).cast("double")).alias("agreement"), F.corr("a.daily_return", "b.daily_return").alias("correlation"),
             F.count_if(F.abs(F.col("a.position") - F.col("b.position")) > 1e-12).alias("differing"),
         )
