@@ -23,6 +23,25 @@ def plan(df):
     return said.getvalue()
 
 
+def test_gaps_need_no_product_of_instruments_and_sessions(spark):
+    rng = random.Random(5)
+    calendar = sorted(rng.sample(range(60), 35))
+    held = [(s, rng.randrange(60)) for s in "abcdef" for _ in range(12)] + [("one", 7), (None, 3), ("a", None)]
+    bars = spark.createDataFrame([(s, None if d is None else day(d)) for s, d in held * 2], "symbol string, ts timestamp_ntz").repartition(3)
+    sessions = spark.createDataFrame([(day(d),) for d in calendar], "ts timestamp_ntz")
+    want = set()
+    for s in {s for s, _ in held}:
+        mine = {d for k, d in held if k == s and d is not None}
+        want |= {(s, day(d)) for d in calendar if min(mine) < d < max(mine) and d not in mine}
+    found = quality.missing_sessions(bars, sessions)
+    assert sorted((r.symbol, r.ts) for r in found.collect()) == sorted(want)
+    runs = quality.gaps(bars, sessions)
+    assert runs.agg(F.sum("n")).first()[0] == len(want)
+    assert {(r.symbol, r.first) for r in runs.select("symbol", "first").collect()} <= want
+    assert all(x not in plan(found) for x in ("NestedLoop", "Cartesian"))
+    assert quality.missing_sessions(bars, sessions.limit(0)).count() == quality.missing_sessions(bars.limit(0), sessions).count() == 0
+
+
 def test_pairs_of_strategies_read_their_equity_once(spark):
     rows = [(s, day(d), k, float(d % 2), d / 10) for s in ("x", None) for d in range(3) for k in "cab"]
     e = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, strategy string, position double, daily_return double")

@@ -77,11 +77,25 @@ def flags(bars: DataFrame) -> DataFrame:
     return listed.select("symbol", "ts", F.explode("__found").alias("f")).select("symbol", "ts", "f.*")
 
 
+def gaps(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Stretches of sessions of the calendar between two neighbouring bars of an instrument: symbol, first (missing session), n (how many are missing) and
+    place (of the first, counted from 1). Only the calendar is numbered as a whole; bars, which may repeat, are shuffled once and never multiplied by sessions."""
+    times = calendar.select("ts", F.lit(1).alias("open")).unionByName(bars.select("ts", F.lit(0).alias("open"))).where("ts is not null").groupBy("ts").agg(F.max("open").alias("open"))
+    line = Window.orderBy("ts")
+    upto = F.sum("open").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.last(F.when(F.col("open") == 1, F.col("ts")), ignorenulls=True).over(Window.orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1))
+    times = times.select("ts", upto.alias("upto"), (upto - F.col("open")).alias("before"), following.alias("first"))
+    pairs = bars.select("symbol", "ts", F.lead("ts").over(by()).alias("next"))
+    open_ended = pairs.join(F.broadcast(times.select("ts", "upto", "first")), "ts").where(F.col("first") < F.col("next"))
+    met = open_ended.join(F.broadcast(times.select(F.col("ts").alias("next"), "before")), "next")
+    return met.select("symbol", "first", (F.col("before") - F.col("upto")).alias("n"), (F.col("upto") + 1).alias("place"))
+
+
 def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Sessions of the calendar between an instrument's first and last bar without a bar of it."""
-    span = bars.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    expected = calendar.select("ts").join(F.broadcast(span), F.col("ts").between(F.col("first"), F.col("last"))).select("symbol", "ts")
-    return expected.join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    numbered = calendar.select("ts").where("ts is not null").distinct().select("ts", F.row_number().over(Window.orderBy("ts")).cast("long").alias("place"))
+    each = gaps(bars, calendar).select("symbol", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("n") - 1)).alias("place"))
+    return each.join(F.broadcast(numbered), "place").select("symbol", "ts")
 
 
 def revisions(stored: DataFrame, incoming: DataFrame, noise: float = 1e-5) -> DataFrame:

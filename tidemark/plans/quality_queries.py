@@ -74,8 +74,8 @@ SELECT symbol, ts, 'return_outlier' AS "check", {sql.settled('close / c1 - 1', '
 
 
 def flt_15_missing(spark, sf_dir):
-    bars = provider_rows(spark, sf_dir).select("symbol", "ts").distinct()
-    return quality.missing_sessions(bars, sessions(item_bars(spark, sf_dir))).groupBy("symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first_missing"))
+    found = quality.gaps(provider_rows(spark, sf_dir).select("symbol", "ts"), sessions(item_bars(spark, sf_dir)))
+    return found.groupBy("symbol").agg(F.sum("n").alias("n"), F.min("first").alias("first_missing"))
 
 
 FLT_15_SQL = f"""WITH {sql.BARS}, {ROWS}, b AS (SELECT DISTINCT symbol, ts FROM rows1), span AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM b GROUP BY symbol), cal AS (SELECT DISTINCT ts FROM bars)
