@@ -42,6 +42,13 @@ def test_gaps_need_no_product_of_instruments_and_sessions(spark):
     assert quality.missing_sessions(bars, sessions.limit(0)).count() == quality.missing_sessions(bars.limit(0), sessions).count() == 0
 
 
+def test_engine_contract_counts_without_sorting_a_symbol(spark):
+    rows = [("a", day(i % 4) if i % 7 else None, 1.0, 2.0, 0.5, 1.0) for i in range(20)] + [("a", day(9), -1.0, 2.0, 0.5, 1.0), ("b", day(0), 1.0, 0.9, 0.5, 1.0), ("c", None, None, 1.0, 1.0, 1.0)]
+    found = contracts.engine_contract(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double"))
+    assert {r.symbol: tuple(r)[1:] for r in found.collect()} == {"a": (21, 13, 1, 1), "b": (1, 0, 0, 1), "c": (1, 0, 1, 0)}
+    assert "Window" not in plan(found)
+
+
 def test_pairs_of_strategies_read_their_equity_once(spark):
     rows = [(s, day(d), k, float(d % 2), d / 10) for s in ("x", None) for d in range(3) for k in "cab"]
     e = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, strategy string, position double, daily_return double")

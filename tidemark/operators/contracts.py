@@ -56,10 +56,11 @@ def signal_contract(signals: DataFrame) -> DataFrame:
 
 
 def engine_contract(bars: DataFrame) -> DataFrame:
-    """Violations a symbol that an engine refuses: repeated times, prices that are not sound, inconsistent bars."""
-    again = F.col("ts") == lagged("ts")
-    b = bars.withColumn("again", F.coalesce(again, F.lit(False)))
-    return b.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if("again").alias("repeated"), F.count_if(_unsound()).alias("bad_price"), F.count_if(_inconsistent()).alias("inconsistent"))
+    """Violations a symbol that an engine refuses: repeated times, prices that are not sound, inconsistent bars. Counts of a time's bars add up to a symbol's,
+    so that no task holds or sorts the bars of a symbol."""
+    times = bars.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.count_if(_unsound()).alias("bad"), F.count_if(_inconsistent()).alias("odd"))
+    again = F.when(F.col("ts").isNotNull(), F.col("n") - 1).otherwise(0)
+    return times.groupBy("symbol").agg(F.sum("n").alias("rows"), F.sum(again).alias("repeated"), F.sum("bad").alias("bad_price"), F.sum("odd").alias("inconsistent"))
 
 
 def snapshot_safety(snapshots: DataFrame, initial: Column) -> DataFrame:
