@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scans
 from tidemark.operators import contracts, quality
 from tidemark.plans import portfolio_queries
 
@@ -56,3 +57,22 @@ def test_pairs_of_strategies_read_their_equity_once(spark):
     got = sorted((r.symbol, r.a.strategy, r.b.strategy, r.a.daily_return) for r in found.collect())
     assert got == sorted([("x", p, q, d / 10) for d in range(3) for p, q in ("ab", "ac", "bc") if not (d == 2 and "b" in p + q)])
     assert "Join" not in plan(found)
+
+
+def test_blocks_are_dealt_to_few_groups(spark, monkeypatch):
+    """Small blocks share a Python call, whatever their number; what a block gives does not hang on its company."""
+    rng = random.Random(2)
+    rows = [(k if k else None, day(rng.randrange(400)), rng.random(), rng.random()) for k in range(40) for _ in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, a double, b double").dropDuplicates(["k", "ts"])
+    found = {}
+    for deals in (1, 16):
+        monkeypatch.setattr(scans, "DEALT", deals)
+        out = scans.affine(df, {"y": ("a", "b")}, "k", before="was_", span=50)
+        assert "hashpartitioning(__deal" in plan(out)
+        found[deals] = {(r.k, r.ts): (r.y, r.was_y) for r in out.collect()}
+    assert found[1] == found[16]
+    for k in {r[0] for r in rows}:
+        y = 0.0
+        for r in sorted(df.where(F.col("k").eqNullSafe(k)).collect(), key=lambda r: r.ts):
+            was, y = y, r.a * y + r.b
+            assert abs(found[1][k, r.ts][0] - y) < 1e-9 and abs(found[1][k, r.ts][1] - was) < 1e-9

@@ -64,7 +64,8 @@ ALL_SQL = f"{ALL_RECURSIVE}, z AS (SELECT *, {RSI} AS rsi_14, atr AS atr_14 FROM
 
 def win_03_many_symbols(spark, sf_dir):
     """All recursive indicators of a symbol for each supplier."""
-    return rounded(indicators.analyse(item_bars(spark, sf_dir, "l_suppkey")).select("symbol", "ts", *RECURSIVE))
+    bars = item_bars(spark, sf_dir, "l_suppkey").withColumn("true_range", indicators.true_range()).select("symbol", "ts", "close", "true_range")
+    return rounded(indicators.recursive(bars).select("symbol", "ts", *RECURSIVE))
 
 
 MANY_SQL = f"{ALL_RECURSIVE}, z AS (SELECT *, {RSI} AS rsi_14, atr AS atr_14 FROM r) SELECT symbol, ts, {sql.all_settled(' '.join(RECURSIVE))} FROM z".replace("SELECT l_returnflag AS symbol", "SELECT CAST(l_suppkey AS VARCHAR) AS symbol")
