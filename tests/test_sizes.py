@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import scans
-from tidemark.operators import contracts, quality
+from tidemark.operators import books, contracts, quality
 from tidemark.plans import portfolio_queries
 
 DAY = dt.datetime(2024, 1, 1)
@@ -76,3 +76,10 @@ def test_blocks_are_dealt_to_few_groups(spark, monkeypatch):
         for r in sorted(df.where(F.col("k").eqNullSafe(k)).collect(), key=lambda r: r.ts):
             was, y = y, r.a * y + r.b
             assert abs(found[1][k, r.ts][0] - y) < 1e-9 and abs(found[1][k, r.ts][1] - was) < 1e-9
+
+
+def test_books_shuffle_their_fills_once(spark):
+    """Units and costs run in one scan; before, each had its own, and each shuffled the fills twice."""
+    fills = spark.createDataFrame([(1, day(i), "BUY" if i % 3 else "SELL", 2.0 if i % 3 else 1.0, 10.0 + i, 0.1) for i in range(1, 20)], "k long, ts timestamp_ntz, side string, shares double, notional double, costs double")
+    for book in (books.average_cost(fills, "k"), books.netting_book(fills.select("k", "ts", F.col("shares").alias("units"), F.col("notional").alias("price")), "k")):
+        assert plan(book).count("FlatMapGroupsInArrow") == 1

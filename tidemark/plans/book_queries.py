@@ -45,7 +45,7 @@ def sim_25_average_cost(spark, sf_dir):
     legs = F.explode(F.array(leg(0, 0, "BUY", F.lit(1.0), 1.0), leg(1, 30, "SELL", share, 1.01), leg(2, 90, "SELL", 1 - share, 1.0201)))
     key = ("ts", "leg", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     f = line.withColumn("x", legs).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "x.*").where("shares > 0")
-    f = f.withColumn("notional", F.col("shares") * F.col("fill")).withColumn("costs", F.col("notional") * F.col("l_tax"))
+    f = f.withColumn("notional", F.col("shares") * F.col("fill")).withColumn("costs", F.col("notional") * F.col("l_tax")).drop("fill", "l_tax")
     out = books.average_cost(f, "l_suppkey", order=key)
     return rounded(out.select("l_suppkey", "ts", "leg", "l_orderkey", "l_linenumber", "l_partkey", "side", "action", "shares_after", "basis_notional", "basis_costs", "realized"), 3)
 
