@@ -8,8 +8,9 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import scans
-from tidemark.operators import books, contracts, quality
+from tidemark.operators import books, contracts, ingestion, quality
 from tidemark.plans import portfolio_queries
+from tidemark.sources.bars import BAR_SCHEMA
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -83,3 +84,22 @@ def test_books_shuffle_their_fills_once(spark):
     fills = spark.createDataFrame([(1, day(i), "BUY" if i % 3 else "SELL", 2.0 if i % 3 else 1.0, 10.0 + i, 0.1) for i in range(1, 20)], "k long, ts timestamp_ntz, side string, shares double, notional double, costs double")
     for book in (books.average_cost(fills, "k"), books.netting_book(fills.select("k", "ts", F.col("shares").alias("units"), F.col("notional").alias("price")), "k")):
         assert plan(book).count("FlatMapGroupsInArrow") == 1
+
+
+def test_duplicates_travel_without_a_text_of_their_values(spark):
+    row = lambda symbol, *v: (symbol, day(0), *v)
+    nan = float("nan")
+    rows = [row("a", 1.0, None, 0.0, nan, 1.0, None)] * 2 + [row("b", 1.0, None, 0.0, 1.0, 1.0, 1.0), row("b", 1.0, 1.0, 0.0, 1.0, 1.0, 1.0)] + [row("c", 1.0, 1.0, 0.0, 1.0, 1.0, None), row("c", 1.0, 1.0, -0.0, 1.0, 1.0, None)] + [row("d", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    found = quality.duplicates(spark.createDataFrame(rows, BAR_SCHEMA))
+    assert sorted((r.symbol, r.duplicate or "") for r in found.collect()) == [("a", ""), ("a", "duplicate_bar"), ("b", "conflicting_duplicate_bar"), ("b", "conflicting_duplicate_bar"), ("c", ""), ("c", "duplicate_bar"), ("d", "")]
+    assert "to_json" not in plan(found)
+
+
+def test_summary_of_a_run_takes_rows_as_they_came(spark):
+    """Excluded rows are counted from the findings, so that rows are not validated once more."""
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "symbol string")
+    merged = spark.createDataFrame([("inserted", False)], "change string, ignored boolean")
+    found = spark.createDataFrame([("null_value", "excluded"), ("null_value", "excluded"), ("bar_revised", "updated")], "check string, action string")
+    sessions = spark.createDataFrame([("kept",)], "change string")
+    out = ingestion.run_summary(3, rows, merged, found, sessions).first()
+    assert (out.bars_received, out.bars_excluded, out.bars_inserted, out.sessions_upserted, out.issues) == (3, 2, 1, 0, {"bar_revised": 1, "null_value": 2})

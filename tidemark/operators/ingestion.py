@@ -62,9 +62,9 @@ def findings(validated: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def run_summary(run_id: int, rows: DataFrame, merged: DataFrame, found: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row: run_id, status, how many bars came, were inserted, updated, unchanged, excluded or differed by noise only, sessions changed, and issues (check to number)."""
+    """Of a delivery's rows, their merge and their findings, where each excluded row is one, one row: run_id, status, how many bars came, were inserted, updated, unchanged, excluded or differed by noise only, sessions changed, and issues (check to number)."""
     counted = merged.agg(*[F.count_if(F.col("change") == c).alias(f"bars_{c}") for c in ("inserted", "updated", "unchanged")], F.count_if("ignored").alias("noise_ignored"))
-    received = rows.agg(F.count("*").alias("bars_received"), F.count("rule").alias("bars_excluded"))
+    received = rows.agg(F.count("*").alias("bars_received")).join(found.agg(F.count_if(F.col("action") == "excluded").alias("bars_excluded")))
     changed = sessions.agg(F.count_if(F.col("change").isin("inserted", "updated")).alias("sessions_upserted"))
     by_check = found.groupBy("check").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("check", "n")))).alias("issues"))
     return received.join(counted).join(changed).join(by_check).select(F.lit(run_id).alias("run_id"), F.lit("succeeded").alias("status"), "bars_received", "bars_inserted", "bars_updated", "bars_unchanged", "bars_excluded", "noise_ignored", "sessions_upserted", "issues")
@@ -87,7 +87,7 @@ def ingest(spark: SparkSession, folder: str, run_id: int, stored: DataFrame | No
     append_run(findings(checked, written), f"{folder}/events", run_id)
     found = spark.read.parquet(f"{folder}/events/run_id={run_id}")
     append_run(sessions, f"{folder}/sessions", run_id)
-    append_run(run_summary(run_id, checked, written, found, spark.read.parquet(f"{folder}/sessions/run_id={run_id}")), f"{folder}/runs", run_id)
+    append_run(run_summary(run_id, rows, written, found, spark.read.parquet(f"{folder}/sessions/run_id={run_id}")), f"{folder}/runs", run_id)
     return written.select("symbol", "ts", *BAR)
 
 

@@ -41,7 +41,7 @@ def duplicates(rows: DataFrame) -> DataFrame:
     """Adds duplicate: 'duplicate_bar' on all but one of identical rows of a key, 'conflicting_duplicate_bar' on all rows of a key
     whose values differ."""
     key, values = Window.partitionBy("symbol", "ts"), F.struct(*PRICES, "volume", "adj_close")
-    same = F.size(F.collect_set(F.to_json(values)).over(key)) == 1
+    same = F.min(values).over(key).eqNullSafe(F.max(values).over(key))
     place = F.row_number().over(key.orderBy(*PRICES, "volume", "adj_close"))
     return rows.withColumn("duplicate", F.when(~same, "conflicting_duplicate_bar").when(place > 1, "duplicate_bar"))
 
