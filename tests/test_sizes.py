@@ -8,9 +8,10 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import scans
-from tidemark.operators import books, contracts, ingestion, quality
-from tidemark.plans import portfolio_queries
-from tidemark.sources.bars import BAR_SCHEMA
+from tidemark.functions.semantics import rounded
+from tidemark.operators import books, contracts, features, ingestion, quality, trees
+from tidemark.plans import portfolio_queries, tree_queries
+from tidemark.sources.bars import BAR_SCHEMA, item_bars
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -103,3 +104,20 @@ def test_summary_of_a_run_takes_rows_as_they_came(spark):
     sessions = spark.createDataFrame([("kept",)], "change string")
     out = ingestion.run_summary(3, rows, merged, found, sessions).first()
     assert (out.bars_received, out.bars_excluded, out.bars_inserted, out.sessions_upserted, out.issues) == (3, 2, 1, 0, {"bar_revised": 1, "null_value": 2})
+
+
+def test_learning_reads_features_and_not_lines(spark, monkeypatch):
+    """The many jobs of boosting read the written features; before, each that read the rows read all lines again."""
+    seen = []
+    boost = trees.boost
+
+    def few(rows, *args, **more):
+        seen.extend(rows.inputFiles())
+        return boost(rows, *args, **more, rules=trees.Boosting(rounds=1, least=5))
+
+    monkeypatch.setattr(trees, "boost", few)
+    sf_dir = "/root/testdata/sf0.001"
+    out = tree_queries.ml_15_boosted(spark, sf_dir)
+    assert seen and not any("lineitem" in f for f in seen)
+    assert out.drop("probability").exceptAll(rounded(features.assemble(item_bars(spark, sf_dir)).select("symbol", "ts", "period", "target"))).count() == 0
+    assert out.where("probability is not null").count() > 0

@@ -10,6 +10,7 @@ from tidemark.operators.trees import Model, Tree
 from tidemark.plans import sql
 from tidemark.plans.price_queries import FEATURES
 from tidemark.sources.bars import item_bars
+from tidemark.sources.shared import fresh_folder
 
 
 def _rows(spark, sf_dir):
@@ -17,8 +18,10 @@ def _rows(spark, sf_dir):
 
 
 def ml_15_boosted(spark, sf_dir):
-    """160 rounds on the training rows, and what the model says of all rows."""
-    rows = _rows(spark, sf_dir)
+    """160 rounds on the training rows, and what the model says of all rows. Features, a row a bar, are written down once: learning reads them several times."""
+    path = fresh_folder(spark, "features")
+    _rows(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
     label = F.when(F.col("period") == "train", F.col("target"))
     model = trees.boost(rows.withColumn("label", label), features.NAMES, "label", classifier=True)
     return rounded(rows.select("symbol", "ts", "period", "target", trees.predicted(model).alias("probability")))
