@@ -5,12 +5,14 @@ import datetime as dt
 import io
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scans
-from tidemark.functions.semantics import rounded
+from tidemark.functions.semantics import correlation, rounded
 from tidemark.operators import books, contracts, features, ingestion, quality, trees
-from tidemark.plans import portfolio_queries, tree_queries
+from tidemark.plans import portfolio_queries, registry, tree_queries
 from tidemark.sources.bars import BAR_SCHEMA, item_bars
 
 DAY = dt.datetime(2024, 1, 1)
@@ -61,6 +63,25 @@ def test_pairs_of_strategies_read_their_equity_once(spark):
     assert "Join" not in plan(found)
 
 
+@pytest.mark.parametrize("name", ["agg_12_redundancy", "topk_05_importances"])
+def test_series_that_do_not_vary_have_no_correlation(spark, tmp_path, name):
+    """A strategy that never trades has constant returns, and constant prices have constant features: before, a division by zero."""
+    con = duckdb.connect()
+    lines = f"SELECT * {'REPLACE (100.0 * l_quantity AS l_extendedprice)' if name.startswith('topk') else ''} FROM '/root/testdata/sf0.001/lineitem.parquet'"
+    con.execute(f"COPY ({lines} WHERE l_shipdate < '1995-12-01') TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    cursor = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})")
+    got, want = (sorted(repr(tuple(r)) for r in rows) for rows in (df.collect(), cursor.fetchall()))
+    assert got == want and any("nan" in r for r in got)
+
+
+def test_correlation_of_pairs(spark):
+    rows = [("two", 1.0, 2.0), ("two", 2.0, 4.0), ("two", None, 9.0), ("one", 1.0, 1.0), ("one", None, 2.0), ("none", None, 1.0), ("even", 0.1, 1.0), ("even", 0.1, 2.0), ("even", 0.7, None)]
+    found = spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(correlation("x", "y").alias("v"))
+    assert {r.k: str(r.v) for r in found.withColumn("v", F.round("v", 9)).collect()} == {"two": "1.0", "one": "nan", "none": "None", "even": "nan"}
+
+
 def test_blocks_are_dealt_to_few_groups(spark, monkeypatch):
     """Small blocks share a Python call, whatever their number; what a block gives does not hang on its company."""
     rng = random.Random(2)

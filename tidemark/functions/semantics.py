@@ -56,6 +56,15 @@ def ratio(num: Column, den: Column) -> Column:
     return F.round(F.try_divide(num, den), RATIO_DECIMALS)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Correlation of the pairs without a null: NaN, as in the SQL, where one side does not vary (corr() then fails by a division by
+    zero), null without a pair."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    met = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(met, x)) * F.stddev_pop(F.when(met, y))
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(x, y), spread))
+
+
 def positive_ratio(num: Column, den: Column) -> Column:
     """num / den rounded; null unless den is above 0."""
     return F.when(den > 0, F.round(num / den, RATIO_DECIMALS))

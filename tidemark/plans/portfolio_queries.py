@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.semantics import rounded
+from tidemark.functions.semantics import correlation, rounded
 from tidemark.operators import indicators, metrics, portfolio, statistics, strategies
 from tidemark.plans import sql
 from tidemark.plans.indicator_queries import STATES_CTE, features
@@ -100,7 +100,7 @@ def agg_12_redundancy(spark, sf_dir):
     """Agreement, correlation and differing sessions of each unordered pair of strategies."""
     return rounded(
         _pairs(equity(spark, sf_dir)).groupBy("symbol", F.col("a.strategy").alias("first"), F.col("b.strategy").alias("second")).agg(
-            F.avg((F.col("a.position") == F.col("b.position")).cast("double")).alias("agreement"), F.corr("a.daily_return", "b.daily_return").alias("correlation"),
+            F.avg((F.col("a.position") == F.col("b.position")).cast("double")).alias("agreement"), correlation("a.daily_return", "b.daily_return").alias("correlation"),
             F.count_if(F.abs(F.col("a.position") - F.col("b.position")) > 1e-12).alias("differing"),
         )
     )

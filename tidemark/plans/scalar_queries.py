@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalars
-from tidemark.functions.semantics import rounded
+from tidemark.functions.semantics import correlation, rounded
 from tidemark.operators import features, ledger, portfolio, strategies, structure, trees
 from tidemark.plans import sql
 from tidemark.plans.indicator_queries import SWING_CTE
@@ -178,7 +178,7 @@ def topk_05_importances(spark, sf_dir):
     """The four features of each symbol that go most with its target, by the size of their correlation."""
     rows = features.assemble(item_bars(spark, sf_dir)).where("target is not null")
     one = rows.select("symbol", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x"), F.col("target").cast("double").alias("y")) for n in features.NAMES])).alias("f")).select("symbol", "f.*").where("x is not null")
-    found = one.groupBy("symbol", "feature").agg(F.round(F.corr("x", "y"), 9).alias("weight"))
+    found = one.groupBy("symbol", "feature").agg(F.round(correlation("x", "y"), 9).alias("weight"))
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.abs("weight")), "feature"))
     return rounded(found.withColumn("place", place).where("place <= 4"))
 
