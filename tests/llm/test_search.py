@@ -103,3 +103,57 @@ def test_pruned_blocks_hold_none_of_the_best():
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert search.search(df, F.col("doc_id") % 10 == 0).collect() == []
+
+
+def indexed(rows, asked, step=1000):
+    """Segments of rows of an id and words, and the queries of those asked for, weighed."""
+    counted = [Counter(x.encode() for x in w) for _, w in rows]
+    parts = [search.segment([i for i, _ in rows[a : a + step]], counted[a : a + step]) for a in range(0, len(rows), step)]
+    queries = search.Queries([(rows[n][0], search.np.array(sorted(map(search.term, set(counted[n]))), search.np.uint64).tobytes()) for n in asked])
+    found = search.np.zeros(len(queries.vocabulary))
+    for part in parts:
+        held, at = queries.known(search.np.frombuffer(part["terms"], search.np.uint64))
+        found[at[held]] += search.np.frombuffer(part["counts"], search.np.int32)[held]
+    queries.weigh(found, len(rows), sum(len(w) for _, w in rows))
+    return parts, queries
+
+
+@pytest.mark.parametrize("change", [{}, {"ASKED": 7, "CHUNK": 128, "NEAR": 0.0}, {"ASKED": 50, "CHUNK": 192, "COLUMNS": 8, "NEAR": 1e9}, {"CHUNK": 64, "COLUMN": 1.0, "DENSE": 0.0}])
+def test_many_queries_at_once(monkeypatch, change):
+    """Each query finds what it finds alone, whatever is a column, and as floors rise from shard to shard; copies go by id."""
+    for k, v in change.items():
+        monkeypatch.setattr(search, k, v)
+    rows = languages(8, 600)
+    rows += [(90_000 - i, rows[3][1]) for i in range(40)]
+    parts, queries = indexed(rows, range(0, len(rows), 5), 300)
+    assert len(queries.floors) < len(queries.ids)  # the copies that ask are one set
+    floors, top, got = search.np.zeros(len(queries.floors)), search.np.zeros((len(queries.floors), 10)), {}
+    for part in parts:
+        for n, s, i in zip(*search.Shard([part], queries, 10).answers(queries.at, queries.terms, 10, floors, top)):
+            got.setdefault(int(n), []).append((-round(float(s), 8), int(i)))
+    whole = search.Shard(parts, queries)
+    for n in range(len(queries.ids)):
+        scores, ids = whole.best(queries.of(n), 10)
+        assert sorted(got[int(queries.set_of[n])])[:10] == [(-round(float(s), 8), int(i)) for s, i in zip(scores, ids)]
+
+
+def test_floors_rise_from_shard_to_shard(spark, monkeypatch):
+    """Before, each shard of a task gave k rows for each query, so that a result grew with the square of the documents."""
+    monkeypatch.setattr(search, "SHARD_WORDS", 1)
+    rows = languages(2, 800)
+    parts, queries = indexed(rows, range(100), 50)
+    segments = spark.createDataFrame([p | {"query_id": None} for p in parts], search.INDEX).coalesce(1)
+    shared = spark.sparkContext.broadcast(queries)
+    found = search._run(segments, shared, 5).collect()
+    assert len(found) < 0.5 * 5 * len(parts) * len(queries.ids)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, []).append((-round(r.score, 8), r.doc_id))
+    whole = search.Shard(parts, queries)
+    for n, i in enumerate(queries.ids):
+        assert sorted(got[i])[:5] == [(-round(float(s), 8), int(d)) for s, d in zip(*whole.best(queries.of(n), 5))]
+
+
+def test_documents_without_queries(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "b c"), (10, None)], "doc_id long, text string")
+    assert search.search(df, F.col("doc_id") % 10 == 0).collect() == []
