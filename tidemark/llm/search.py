@@ -42,15 +42,15 @@ SEGMENT_BYTES, SEGMENT_DOCS, SHARD_WORDS, BLOCK = 4 << 20, 1 << 16, 5_000_000, 6
 #: Terms, counted for each query, that are broadcast at once.
 GROUP_TERMS = 4_000_000
 #: Segments that are searched first, at least, and one of how many.
-PILOTS, PILOT_SHARE = 8, 16
+PILOTS, PILOT_SHARE = 8, 64
 #: Frequent terms by which a shard's documents are put together.
 MARKERS = 16
 #: Documents that are searched at once, and queries that search them at once.
-CHUNK, ASKED = 16 * BLOCK, 256
+CHUNK, ASKED = 16 * BLOCK, 512
 #: Terms of a chunk kept as columns, at most; from which share of its pairs of document and query; the share of documents of dense ones.
 COLUMNS, COLUMN, DENSE = 512, 0.001, 0.3
 #: Times the floor up to which a chunk's bound is looked into by block.
-NEAR = 4.0
+NEAR = 2.0
 #: Part by which scores in single precision may differ, no less than COLUMNS / 2**23.
 SLACK = 1e-4
 DECIMALS = 9
@@ -318,7 +318,9 @@ class Shard:
         first, then columns, and those that most documents have only where they can still lift a block's best to the floor."""
         own = _ranges(start, length)
         self.scored += len(own)
-        rare = np.bincount(np.repeat(owner * (chunk.blocks * BLOCK), length) + chunk.docs[own], chunk.impact[own], pivots.size * BLOCK)
+        place = np.repeat(owner * (chunk.blocks * BLOCK), length)
+        place += chunk.docs[own]
+        rare = np.bincount(place, chunk.impact[own], pivots.size * BLOCK)
         rare = rare.astype(float, copy=False).reshape(*pivots.shape, BLOCK)
         low = np.maximum(_reach(floors[asking]), 1e-300)
         late = chunk.late
